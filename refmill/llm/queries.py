@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, pii
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing}
-ORACLES = {"op9_mixing": mixing.ORACLE}
+QUERIES = {"op1_pii": op1_pii, "op9_mixing": op9_mixing}
+ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
