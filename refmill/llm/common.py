@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,5 +47,12 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was started."""
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), str(Path(__file__).resolve().parents[2])]
+    spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for p in paths if p))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import mixing, pii, toxicity
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op9_mixing": op9_mixing}
+QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op9_mixing": op9_mixing}
 ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
