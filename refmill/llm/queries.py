@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, toxicity
+from . import mixing, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -20,9 +20,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_toxicity": op3_toxicity, "op5_quality": op5_quality, "op9_mixing": op9_mixing}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
+    "op7_pieces": op7_pieces,
+    "op9_mixing": op9_mixing,
+}
 ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
