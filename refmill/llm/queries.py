@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, pii, quality, toxicity
+from . import minhash, mixing, pieces, pii, quality, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash,
     "op7_pieces": op7_pieces,
     "op9_mixing": op9_mixing,
 }
