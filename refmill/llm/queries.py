@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, pieces, pii, quality, toxicity
+from . import minhash, mixing, pieces, pii, quality, substrings, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_pieces": op7_pieces,
+    "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
