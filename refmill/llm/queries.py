@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, pieces, pii, quality, substrings, toxicity
+from . import minhash, mixing, pieces, pii, quality, sharding, substrings, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_toxicity": op3_toxicity,
@@ -44,5 +48,6 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
