@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, pieces, pii, quality, sharding, substrings, toxicity
+from . import ann, minhash, mixing, pieces, pii, quality, sharding, substrings, toxicity, vecjoin
 from .common import table
 
 
@@ -12,10 +12,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_vecjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecjoin.report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +50,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
+    "op4_vecjoin": op4_vecjoin,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_pieces": op7_pieces,
