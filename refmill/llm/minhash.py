@@ -5,9 +5,10 @@ only one of them goes on. Bands of the signatures propose candidates. A candidat
 batch by batch, and the pair is dropped as soon as the posterior probability of its similarity reaching the
 threshold is under ``MISS``; survivors are verified on their whole shingle sets.
 
-In a band's bucket every member is first compared with the smallest one. Only members of buckets that still hold
-several components are then compared with each other, in blocks of ``BLOCK`` by ``BLOCK``, and only across
-components; a block returns the links that join components, never its pairs. So a group of thousands of copies
+In a band's bucket every member is first compared with the smallest one, then, if the bucket still holds several
+components, with ``HUBS`` others. Only members of buckets that hold several components even then are compared with
+all others, in blocks of ``BLOCK`` by ``BLOCK`` and only across components, and not within a bucket's largest one;
+a block returns the links that join components, never its pairs. So a group of thousands of copies
 costs its size, and all links that could join components are looked at.
 
 Edge cases: a null, empty or blank text has no shingle and links with nothing; a text of fewer words than a shingle
@@ -36,8 +37,10 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 MISS = 1e-6
+#: Members of a bucket that all others are compared with before blocks are.
+HUBS = 4
 #: Members of a bucket in one block.
-BLOCK = 128
+BLOCK = 512
 #: Ids that may be broadcast: 8 bytes each, 16 MB at most. Beyond, the texts are shuffled to the ids.
 BROADCAST_IDS = 2_000_000
 
@@ -146,7 +149,7 @@ def _sets(width: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
@@ -169,12 +172,30 @@ def _verified(threshold: tuple[int, int]):
     return run
 
 
+def _doubtful(least: np.ndarray):
+    """Of one block: the members with a plausible partner of another component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        comp, side = t["component"].to_numpy(), t["side"].to_numpy()
+        sig = _matrix(t["sig"])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found = np.zeros(len(comp), dtype=bool)
+        for i in left:
+            others = right[comp[right] != comp[i]]
+            hit = others[plausible(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], least)]
+            found[hit] = True
+            found[i] |= bool(len(hit))
+        return t.select(["bucket", "i", "j", "side", "doc_id", "component"]).filter(pa.array(found))
+
+    return run
+
+
 def _joining(threshold: tuple[int, int], least: np.ndarray):
     """Of one block: links across its components, each of which joins two of them."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, side = (t[c].to_numpy() for c in ("doc_id", "component", "side"))
-        sig = _matrix(t["sig"].combine_chunks() if t["sig"].num_chunks != 1 else t["sig"].chunk(0))
+        sig = _matrix(t["sig"])
         sets = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"].to_pylist()]
         root = {c: c for c in set(comp.tolist())}
 
@@ -208,11 +229,57 @@ def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar: pruned on signatures, then verified on whole sets."""
+    least = least_matches(threshold[0] / threshold[1])
+    a = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
+    b = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
+    pairs = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(least), "a long, b long"), "survivors")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(_of_ids(docs, ids).mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    links = stored(pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(threshold), "a long, b long"), "links")
+    release(docs.sparkSession)
+    return links
+
+
+def _still_open(held: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component) of buckets that hold several components."""
+    labelled = held.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return stored(labelled.join(several, "bucket"), "open-buckets")
+
+
+def _hub_pairs(opened: DataFrame) -> DataFrame:
+    """Each member with ``HUBS`` members of its bucket, drawn alike in all buckets, if their components differ."""
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "component")).alias(f"hub{k}") for k in range(HUBS)]
+    hubs = opened.groupBy("bucket").agg(*drawn).select("bucket", F.explode(F.array_distinct(F.array(*(f"hub{k}" for k in range(HUBS))))).alias("hub"))
+    pairs = opened.join(hubs, "bucket").filter(F.col("component") != F.col("hub.component"))
+    return pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+
+
+def _blocks(opened: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, doc_id, component): members outside a bucket's largest component meet all its members."""
+    counts = opened.groupBy("bucket", "component").count()
+    per = counts.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n"))
+    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("bucket", F.col("top.component").alias("main"), chunks(F.col("top.count")).alias("of_main"), chunks(F.col("n") - F.col("top.count")).alias("of_rest"))
+    cut = opened.join(per, "bucket").withColumn("is_main", F.col("component") == F.col("main"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    # A chunk of the rest meets those of the main component, numbered from -1 down, itself and each other one of the rest.
+    mains = F.transform(F.sequence(F.lit(1), F.col("of_main")), lambda x: -x)
+    rests = F.sequence(F.lit(0), F.col("of_rest") - 1)
+    cut = cut.withColumn("own", F.when(F.col("is_main"), -1 - F.col("chunk")).otherwise(F.col("chunk")))
+    cut = cut.withColumn("with", F.explode(F.when(F.col("is_main"), rests).otherwise(F.concat(rests, mains))))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") > F.col("with"), 0).otherwise(1)
+    return cut.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "doc_id", "component")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    least = least_matches(threshold[0] / threshold[1])
     signed = stored(docs.mapInArrow(_signed(width), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"), "signatures")
     able = signed.filter("n_shingles > 0 and doc_id is not null")
     firsts = able.groupBy("d0", "d1").agg(F.min("doc_id").alias("first"))
@@ -224,33 +291,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     large = per.filter("n > 2").groupBy("hub", "other", "n", "members").agg(F.min("bucket").alias("bucket"))
     held = stored(bands.join(large.select("bucket", "hub"), "bucket").select("bucket", "hub", "doc_id"), "members")
     pairs = per.filter("n = 2").select(F.col("hub").alias("a"), F.col("other").alias("b")).unionByName(held.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    a = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
-    b = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(least), "a long, b long"), "survivors")
     release(spark)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(_of_ids(docs, ids).mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    links = stored(pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(threshold), "a long, b long"), "links")
+    links = _links(docs, reps, pairs, width, threshold)
     comps = stored(components(links), "components")
-    # Buckets that still hold several components: compare across them.
-    labelled = held.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    still = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
-    open_ = stored(labelled.join(still.select("bucket", "n"), "bucket"), "open-buckets")
-    if open_.limit(1).count():
-        ids = open_.select("doc_id").distinct()
-        more = _of_ids(docs, ids).mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-        full = stored(more.join(_of_ids(reps, ids), "doc_id"), "open-sets")
-        chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-        cut = open_.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-        # A chunk meets itself and each later one; a pair of chunks is a task's group.
-        cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        cut = cut.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), F.when(F.col("chunk") == F.col("with"), 2).when(F.col("chunk") < F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "component")
-        got = cut.join(full, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold, least), "a long, b long")
-        more_links = stored(got, "more-links")
-        if more_links.limit(1).count():
-            comps = stored(components(links.unionByName(more_links)), "components")
+    # Buckets that still hold several components: a few more members as hubs, then all that is left, in blocks.
+    opened = _still_open(held, comps)
+    if opened.limit(1).count():
+        links = links.unionByName(_links(docs, reps, _hub_pairs(opened), width, threshold))
+        comps = stored(components(links), "components")
+        opened = _still_open(held, comps)
+    if opened.limit(1).count():
+        least = least_matches(threshold[0] / threshold[1])
+        block = _blocks(opened).join(reps, "doc_id").groupBy("bucket", "i", "j")
+        doubtful = stored(block.applyInArrow(_doubtful(least), "bucket long, i int, j int, side int, doc_id long, component long"), "doubtful")
+        ids = doubtful.select("doc_id").distinct()
+        sets = _of_ids(docs, ids).mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+        full = stored(sets.join(_of_ids(reps, ids), "doc_id"), "open-sets")
+        got = doubtful.join(full, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold, least), "a long, b long")
+        more = stored(got, "more-links")
+        if more.limit(1).count():
+            comps = stored(components(links.unionByName(more)), "components")
     release(spark)
     out = signed.select("doc_id", "n_shingles", "d0", "d1").join(firsts.filter("first is not null"), ["d0", "d1"], "left")
     out = out.withColumn("first", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))
