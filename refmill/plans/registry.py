@@ -1,5 +1,366 @@
 """Registry of queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import citations as C
+from ..functions import export as X
+from ..functions import similarity as S
+from ..functions import text as T
+from ..operators import bibliography as B
+from ..operators import citations as OC
+from ..operators import footnotes as OF
+from ..operators import layout as L
+from ..operators import verification as V
+from . import synthetic as Y
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "missing_grouped"
+
+
+def query(oracle: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+# -- texts ----------------------------------------------------------------------------------------------------
+
+_FOLD = "translate(text, 'İIıiŞşĞğÇçÖöÜü', 'iiiissggccoouu')"
+_NORMAL = f"trim(regexp_replace(regexp_replace(lower(strip_accents({_FOLD})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
+def fold_turkish(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(T.fold_turkish(F.col("text"))).alias("folded"))
+
+
+@query(f"SELECT doc_id, md5({_NORMAL}) AS normalized FROM documents")
+def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(T.normalized(F.col("text"))).alias("normalized"))
+
+
+@query(f"SELECT doc_id, CAST(len(ts) AS INT) AS n_tokens, md5(array_to_string(ts, ' ')) AS tokens FROM (SELECT doc_id, list_filter(string_split({_NORMAL}, ' '), lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t)) AS ts FROM documents)")
+def meaningful_tokens(spark: SparkSession, d: str) -> DataFrame:
+    ts = _docs(spark, d).select("doc_id", T.tokens(T.normalized(F.col("text"))).alias("ts"))
+    return ts.select("doc_id", F.size("ts").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("tokens"))
+
+
+_PAIRS = "SELECT a.p_partkey AS k, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON a.p_partkey = b.p_partkey - 1"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x")).join(p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("y")), "k")
+
+
+def _lev_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
+
+def _dice_sql(a: str, b: str) -> str:
+    g = lambda c: f"list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))"
+    return (
+        f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct({g(a)}), "
+        f"lambda h: least(len(list_filter({g(a)}, lambda u: u = h)), len(list_filter({g(b)}, lambda u: u = h))))), 0) / (length({a}) + length({b}) - 2) END)"
+    )
+
+
+def _norm_sql(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents(translate({c}, 'İIıiŞşĞğÇçÖöÜü', 'iiiissggccoouu'))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _toks_sql(n: str) -> str:
+    return f"list_filter(string_split({n}, ' '), lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t))"
+
+
+def _similar_sql(a: str, b: str) -> str:
+    """Over plain columns: wrapped in a scalar subquery so that each step is written once."""
+    return f"""(SELECT CASE WHEN na = '' OR nb = '' THEN 0.0 WHEN na = nb THEN 1.0
+      WHEN len(ta) >= 2 AND len(tb) >= 2 THEN len(list_distinct(list_intersect(ta, tb))) / len(list_distinct(list_concat(ta, tb)))
+      WHEN len(ta) > 0 AND len(tb) > 0 THEN {_dice_sql("ja", "jb")} ELSE {_dice_sql("na", "nb")} END
+      FROM (SELECT *, array_to_string(ta, ' ') AS ja, array_to_string(tb, ' ') AS jb FROM (SELECT na, nb, {_toks_sql("na")} AS ta, {_toks_sql("nb")} AS tb FROM (SELECT {_norm_sql(a)} AS na, {_norm_sql(b)} AS nb))))"""
+
+
+@query(f"SELECT k, round({_lev_sql('x', 'y')}, 6) AS ratio FROM ({_PAIRS})")
+def levenshtein_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("k", F.round(S.levenshtein_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+@query(f"SELECT k, round({_dice_sql('x', 'y')}, 6) AS dice FROM ({_PAIRS})")
+def dice(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("k", F.round(S.dice(F.col("x"), F.col("y")), 6).alias("dice"))
+
+
+@query(f"SELECT k, round({_similar_sql('x', 'y')}, 6) AS similarity FROM ({_PAIRS})")
+def string_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("k", F.round(S.string_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+# -- citations ------------------------------------------------------------------------------------------------
+
+# In the views names are plain ASCII words, so their keys need no more than lower case.
+_CITED = f"""SELECT doc_id, para_idx, kind, cit_no, display, keys FROM (
+  SELECT p_partkey % 100 AS doc_id, p_partkey AS para_idx, 'parenthetical' AS kind, 0 AS cit_no, concat({Y.FAMILY}, ', ', {Y.YEAR}) AS display, [lower({Y.FAMILY}) || ':' || {Y.YEAR}] AS keys FROM part
+  UNION ALL SELECT p_partkey % 100, p_partkey, 'parenthetical', 1, concat('see ', {Y.FIRST}, ' & ', {Y.FAMILY}, ', ', cast(1950 + p_partkey % 50 as string), 'a'),
+    list_distinct([lower({Y.FIRST}) || ':' || cast(1950 + p_partkey % 50 as string) || 'a', lower({Y.FAMILY}) || ':' || cast(1950 + p_partkey % 50 as string) || 'a']) FROM part
+  UNION ALL SELECT p_partkey % 100, p_partkey, 'narrative', 0, concat({Y.FIRST}, ' and ', {Y.FAMILY}, ' (', {Y.YEAR}, ')'), list_distinct([lower({Y.FIRST}) || ':' || {Y.YEAR}, lower({Y.FAMILY}) || ':' || {Y.YEAR}]) FROM part)"""
+_REFS = Y.REFERENCES.replace("FROM part", ", lower(" + Y.FAMILY + ") || ':' || " + Y.YEAR + " AS key FROM part")
+_MATCH = f"""{Y.named(cited=_CITED, refs=_REFS)}, hit AS (SELECT c.doc_id, c.para_idx, c.kind, c.cit_no, min(r.ref_idx) AS ref_idx FROM (SELECT *, unnest(keys) AS key FROM cited) c JOIN refs r ON c.doc_id = r.doc_id AND c.key = r.key GROUP BY ALL)"""
+_MISSING = _MATCH + ", missing AS (SELECT c.* FROM cited c ANTI JOIN hit h ON c.doc_id = h.doc_id AND c.para_idx = h.para_idx AND c.kind = h.kind AND c.cit_no = h.cit_no)"
+_KEYS = "array_to_string(list_sort(keys), '|')"
+
+
+def _citations(spark: SparkSession, d: str) -> DataFrame:
+    return OC.extracted(Y.view(spark, d, Y.PARAGRAPHS))
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    r = Y.view(spark, d, Y.REFERENCES)
+    return r.withColumn("keys", F.array(T.key(F.col("family"), F.col("year")))).withColumn("families", F.array("family"))
+
+
+def _sorted_keys():
+    return F.array_join(F.array_sort("keys"), "|").alias("keys")
+
+
+@query(f"{Y.named(cited=_CITED)} SELECT para_idx, cit_no, display FROM cited WHERE kind = 'parenthetical'")
+def citations_parenthetical(spark: SparkSession, d: str) -> DataFrame:
+    return _citations(spark, d).filter("kind = 'parenthetical'").select("para_idx", "cit_no", "display")
+
+
+@query(f"{Y.named(cited=_CITED)} SELECT para_idx, cit_no, display FROM cited WHERE kind = 'narrative'")
+def citations_narrative(spark: SparkSession, d: str) -> DataFrame:
+    return _citations(spark, d).filter("kind = 'narrative'").select("para_idx", "cit_no", "display")
+
+
+@query(f"{Y.named(cited=_CITED)} SELECT para_idx, kind, cit_no, {_KEYS} AS keys FROM cited")
+def citation_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _citations(spark, d).select("para_idx", "kind", "cit_no", _sorted_keys())
+
+
+@query(_MISSING + f" SELECT doc_id, para_idx, kind, cit_no, display, {_KEYS} AS keys FROM missing")
+def missing_citations(spark: SparkSession, d: str) -> DataFrame:
+    return OC.missing(_citations(spark, d), _references(spark, d)).select("doc_id", "para_idx", "kind", "cit_no", "display", _sorted_keys())
+
+
+@query(_MATCH + " SELECT doc_id, para_idx, kind, cit_no, count(*) AS n FROM hit GROUP BY ALL")
+def matched_citations(spark: SparkSession, d: str) -> DataFrame:
+    return OC.matched(_citations(spark, d), _references(spark, d)).groupBy("doc_id", "para_idx", "kind", "cit_no").agg(F.count("*").alias("n"))
+
+
+@query(_MISSING + f""", g AS (SELECT *, {_KEYS} AS group_key, row_number() OVER (PARTITION BY doc_id, {_KEYS} ORDER BY para_idx, CASE kind WHEN 'parenthetical' THEN 0 ELSE 1 END, cit_no) AS n FROM missing)
+  SELECT doc_id, group_key, max(display) FILTER (WHERE n = 1) AS display, count(*) AS occurrences, array_to_string(list_sort(list_distinct(list(para_idx + 1))), ',') AS paragraphs FROM g GROUP BY ALL""")
+def missing_grouped(spark: SparkSession, d: str) -> DataFrame:
+    rows = OC.grouped(OC.missing(_citations(spark, d), _references(spark, d)))
+    return rows.select("doc_id", "group_key", "display", "occurrences", F.array_join("paragraphs", ",").alias("paragraphs"))
+
+
+# -- footnotes ------------------------------------------------------------------------------------------------
+
+_PARTED = f"""SELECT doc_id, foot_ord, foot_id, CAST(i - 1 AS INT) AS part_idx, trim(ps[i]) AS part FROM (
+  SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '((?:[^;“"«»”]|[“"«»”][^“"«»”]*(?:[“"«»”]|$))+)', 1) AS ps FROM foot)) WHERE trim(ps[i]) <> ''"""
+
+
+def _footnotes(spark: SparkSession, d: str) -> DataFrame:
+    return Y.view(spark, d, Y.FOOTNOTES)
+
+
+@query(f"{Y.named(foot=Y.FOOTNOTES)} SELECT foot_ord, part_idx, part FROM ({_PARTED})")
+def footnote_split(spark: SparkSession, d: str) -> DataFrame:
+    return OF.parts(_footnotes(spark, d)).select("foot_ord", "part_idx", "part")
+
+
+@query()
+def footnote_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return OF.resolved(_footnotes(spark, d), _references(spark, d)).select("foot_ord", "part_idx", "kind", _sorted_keys(), "resolved_from")
+
+
+@query()
+def footnote_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return OF.rolled_up(OF.resolved(_footnotes(spark, d), _references(spark, d))).select("foot_ord", "kind", "n_parts", _sorted_keys())
+
+
+# -- bibliographies -------------------------------------------------------------------------------------------
+
+_SECTION = r"""SELECT doc_id, CASE WHEN p % 5 <> 0 THEN trim(regexp_replace(regexp_extract(text, '(?s)(?:^|\n)(?:## References|Kaynakça)\n(.*)$', 1), '(?s)\nAPPENDIX.*$', ''), E' \n') END AS section FROM (SELECT *, doc_id AS p FROM sectioned)"""
+
+
+@query(f"{Y.named(sectioned=Y.SECTIONED)} {_SECTION}")
+def section_extract(spark: SparkSession, d: str) -> DataFrame:
+    return Y.view(spark, d, Y.SECTIONED).select("doc_id", B.section(F.col("text")).alias("section"))
+
+
+@query(f"{Y.named(refs=Y.REFERENCES)} SELECT ref_idx, family || ', ' || initial || '.' AS authors FROM refs")
+def authors(spark: SparkSession, d: str) -> DataFrame:
+    part = F.trim(F.split_part("entry", F.lit("("), F.lit(1)))
+    return Y.view(spark, d, Y.REFERENCES).select("ref_idx", F.array_join(B.authors(part), "; ").alias("authors"))
+
+
+@query(f"{Y.named(refs=Y.REFERENCES)} SELECT ref_idx, family || ', ' || initial || '.' AS authors, CAST(year AS INT) AS year, title, journal, (ref_idx % 100 + 1) || '-' || (ref_idx % 100 + 9) AS pages FROM refs")
+def parse_entry(spark: SparkSession, d: str) -> DataFrame:
+    got = B.parsed(Y.view(spark, d, Y.REFERENCES).select("ref_idx", "entry"))
+    return got.select("ref_idx", F.array_join("authors", "; ").alias("authors"), "year", "title", "journal", "pages")
+
+
+@query()
+def reference_split(spark: SparkSession, d: str) -> DataFrame:
+    glued = Y.view(spark, d, Y.REFERENCES).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "entry"))), lambda x: x["entry"]), " ").alias("text"))
+    return glued.select("doc_id", F.posexplode(B.split_entries(F.col("text"))).alias("part_idx", "entry"))
+
+
+# -- verification ---------------------------------------------------------------------------------------------
+
+_SCORED = f"""{Y.named(refs=Y.REFERENCES, cands=Y.CANDIDATES)}, pair AS (
+  SELECT r.ref_idx, c.api_rank, c.hit_rank, c.source, r.title AS rt, c.title AS ct, r.journal AS rj, c.journal AS cj, CAST(r.year AS INT) AS ry, c.year AS cy, lower(r.family) AS rs, lower(split_part(c.author, ',', 1)) AS cs,
+    CASE WHEN r.ref_idx % 17 = 0 THEN '10.1000/' || r.ref_idx ELSE '' END AS rd, replace(c.doi, 'https://doi.org/', '') AS cd FROM refs r JOIN cands c USING (ref_idx)
+), scored AS (
+  SELECT ref_idx, api_rank, hit_rank, source, ct AS match_title, CAST(CASE WHEN rd <> '' AND rd = cd THEN 100 ELSE floor(least(100, 50 * {_similar_sql("rt", "ct")}
+    + CASE WHEN rs = cs OR (length(rs) >= 3 AND length(cs) >= 3 AND {_lev_sql("rs", "cs")} >= 0.85) THEN 25.0 ELSE 0.0 END
+    + CASE WHEN ry = cy THEN 15.0 WHEN abs(ry - cy) <= 1 THEN 7.5 ELSE 0.0 END + 10 * {_similar_sql("rj", "cj")}) + 0.5) END AS INT) AS score FROM pair
+)"""
+_BEST = _SCORED + """, best AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ref_idx ORDER BY score DESC, api_rank, hit_rank) AS n FROM scored) WHERE n = 1 AND score >= 30),
+verified AS (SELECT r.ref_idx, coalesce(b.score >= 40, false) AS found, b.source, b.match_title, b.score, CASE WHEN b.score >= 80 THEN 'high' WHEN b.score >= 60 THEN 'medium' WHEN b.score >= 40 THEN 'low' END AS confidence FROM refs r LEFT JOIN best b USING (ref_idx))"""
+
+
+def _fields(df: DataFrame) -> DataFrame:
+    return df.withColumn("isbn", F.lit(""))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    r = Y.view(spark, d, Y.REFERENCES)
+    doi = F.when(F.col("ref_idx") % 17 == 0, F.concat(F.lit("10.1000/"), F.col("ref_idx").cast("string"))).otherwise("")
+    return _fields(r.select("ref_idx", "title", F.array(F.concat("family", F.lit(", "), "initial", F.lit("."))).alias("authors"), F.col("year").cast("int").alias("year"), "journal", doi.alias("doi")))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(Y.view(spark, d, Y.CANDIDATES).withColumn("authors", F.array("author")).withColumn("year", F.col("year").cast("int")))
+
+
+@query(_SCORED + " SELECT * FROM scored")
+def match_score(spark: SparkSession, d: str) -> DataFrame:
+    return V.scored(_records(spark, d), _candidates(spark, d))
+
+
+@query(_BEST + " SELECT ref_idx, source, match_title, score FROM best")
+def best_match(spark: SparkSession, d: str) -> DataFrame:
+    return V.best(V.scored(_records(spark, d), _candidates(spark, d)))
+
+
+def _verified(spark: SparkSession, d: str) -> DataFrame:
+    return V.verified(_records(spark, d), _candidates(spark, d))
+
+
+@query(_BEST + " SELECT * FROM verified")
+def verify(spark: SparkSession, d: str) -> DataFrame:
+    return _verified(spark, d)
+
+
+@query(_BEST + """ SELECT count(*) AS total, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE NOT found) AS not_found, CAST(floor(count(*) FILTER (WHERE found) * 100 / count(*) + 0.5) AS BIGINT) AS rate,
+  count(*) FILTER (WHERE confidence = 'high') AS high_confidence, count(*) FILTER (WHERE confidence = 'medium') AS medium_confidence, count(*) FILTER (WHERE confidence = 'low') AS low_confidence FROM verified""")
+def verification_stats(spark: SparkSession, d: str) -> DataFrame:
+    return V.statistics(_verified(spark, d))
+
+
+@query(_BEST + " SELECT source, count(*) AS n FROM verified WHERE found GROUP BY source")
+def source_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return V.source_distribution(_verified(spark, d))
+
+
+@query()
+def catalog_candidates(spark: SparkSession, d: str) -> DataFrame:
+    works = _records(spark, d).withColumn("work_id", F.col("ref_idx")).drop("ref_idx")
+    return V.all_candidates(_records(spark, d), [V.CatalogTableConnector(works, "catalog", 0)]).select("ref_idx", "api_rank", "hit_rank", "source", "title")
+
+
+# -- exports --------------------------------------------------------------------------------------------------
+
+_KIND = "CASE ref_idx % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'book' WHEN 2 THEN 'chapter' ELSE 'web' END"
+_STRUCT = f"SELECT ref_idx, entry AS display, family, initial || '.' AS given, title, year, {_KIND} AS type, CASE WHEN ref_idx % 4 IN (0, 2) THEN journal ELSE '' END AS container, CASE WHEN ref_idx % 4 IN (1, 2) THEN 'Press' ELSE '' END AS publisher, CASE WHEN ref_idx % 8 = 1 THEN 'Ankara' ELSE '' END AS place, CASE WHEN ref_idx % 4 = 3 THEN 'https://a.example/' || ref_idx ELSE '' END AS url, CASE WHEN ref_idx % 17 = 0 THEN '10.1000/' || ref_idx ELSE '' END AS doi FROM refs"
+_ITEMS = Y.named(refs=Y.REFERENCES) + f", items AS ({_STRUCT})"
+_opt = lambda tag, c: f"CASE WHEN {c} <> '' THEN '{tag}  - ' || {c} END"
+
+
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    r = spark.sql(_STRUCT.replace("FROM refs", "FROM {refs}"), refs=Y.view(spark, d, Y.REFERENCES))
+    author = F.struct("family", "given", F.concat_ws(" ", "given", "family").alias("full"))
+    text = F.concat_ws(" ", "given", "family").alias("author_text")
+    s = F.struct("title", "year", "type", "container", "publisher", "place", "url", "doi", F.array(author).alias("authors"), text, F.concat_ws(", ", "family", "given").alias("bibliography_author_text"), F.col("year").alias("date_text"), F.lit("").alias("access_date"))
+    return r.select("ref_idx", "display", s.alias("s"))
+
+
+@query(_ITEMS + f""" SELECT ref_idx, concat_ws(E'\\n', 'TY  - ' || CASE type WHEN 'article' THEN 'JOUR' WHEN 'web' THEN 'WEB' WHEN 'chapter' THEN 'CHAP' ELSE 'BOOK' END, 'AU  - ' || family || ', ' || given, 'TI  - ' || title,
+  {_opt("T2", "container")}, {_opt("PB", "publisher")}, {_opt("CY", "place")}, 'PY  - ' || year, {_opt("DO", "doi")}, {_opt("UR", "url")}, 'N1  - Original: ' || display, 'ER  -') AS ris FROM items""")
+def ris(spark: SparkSession, d: str) -> DataFrame:
+    return _structured(spark, d).select("ref_idx", X.ris(F.col("display"), F.col("s")).alias("ris"))
+
+
+_field = lambda n, c: f"CASE WHEN {c} <> '' THEN '  {n} = {{' || {c} || '}}' END"
+
+
+@query(_ITEMS + f""" SELECT ref_idx, '@' || CASE type WHEN 'article' THEN 'article' WHEN 'web' THEN 'online' WHEN 'chapter' THEN 'incollection' ELSE 'book' END || '{{' || family || year || left(replace(title, ' ', ''), 18) || E',\\n' ||
+  concat_ws(E',\\n', {_field("title", "title")}, {_field("author", "given || ' ' || family")}, {_field("year", "year")}, CASE WHEN type = 'article' THEN {_field("journal", "container")} END, CASE WHEN type = 'chapter' THEN {_field("booktitle", "container")} END,
+  {_field("publisher", "publisher")}, {_field("address", "place")}, {_field("doi", "doi")}, {_field("url", "url")}, {_field("note", "'Original: ' || display")}) || E'\\n}}' AS bibtex FROM items""")
+def bibtex(spark: SparkSession, d: str) -> DataFrame:
+    return _structured(spark, d).select("ref_idx", X.bibtex(F.col("display"), F.col("s")).alias("bibtex"))
+
+
+@query(_ITEMS + " SELECT ref_idx, CASE type WHEN 'article' THEN 'article-journal' WHEN 'web' THEN 'webpage' ELSE type END AS type, title, CAST(year AS INT) AS year, nullif(doi, '') AS doi, nullif(url, '') AS url, nullif(container, '') AS container FROM items")
+def csl(spark: SparkSession, d: str) -> DataFrame:
+    c = _structured(spark, d).select("ref_idx", X.csl(F.col("ref_idx"), F.col("display"), F.col("s"), "2024-01-31").alias("c"))
+    return c.select("ref_idx", "c.type", "c.title", F.col("c.issued.date-parts")[0][0].alias("year"), F.col("c.DOI").alias("doi"), F.col("c.URL").alias("url"), F.col("c.container-title").alias("container"))
+
+
+@query(_ITEMS + " SELECT ref_idx, CASE WHEN doi <> '' THEN 'doi-ready' WHEN url <> '' THEN 'url-ready' ELSE 'scholar-needed' END AS status FROM items")
+def verification_status(spark: SparkSession, d: str) -> DataFrame:
+    return _structured(spark, d).select("ref_idx", X.status(F.col("display"), F.col("s")).alias("status"))
+
+
+_PRINTED = "concat_ws(', ', nullif(concat_ws(': ', nullif(place, ''), nullif(publisher, '')), ''), year)"
+
+
+@query(_ITEMS + f""" SELECT ref_idx, CASE WHEN type IN ('article', 'web') THEN given || ' ' || family || ', “' || title || '”' || CASE WHEN container <> '' THEN ', ' || container ELSE '' END || ' (' || year || ')' || CASE WHEN url <> '' THEN ', ' || url ELSE '' END || '.'
+    ELSE given || ' ' || family || ', ' || title || ' (' || CASE WHEN container <> '' THEN container || ', ' ELSE '' END || {_PRINTED} || ').' END AS footnote,
+  CASE WHEN type IN ('article', 'web') THEN regexp_replace(family || ', ' || given, '[.]+$', '') || '. “' || title || '”' || CASE WHEN container <> '' THEN '. ' || container ELSE '' END || '. ' || year || CASE WHEN url <> '' THEN '. ' || url ELSE '' END || '.'
+    ELSE regexp_replace(family || ', ' || given, '[.]+$', '') || '. ' || title || CASE WHEN container <> '' THEN '. ' || container ELSE '' END || '. ' || {_PRINTED} || '.' END AS bibliography FROM items""")
+def isnad_format(spark: SparkSession, d: str) -> DataFrame:
+    return _structured(spark, d).select("ref_idx", X.footnote(F.col("s")).alias("footnote"), X.bibliography_entry(F.col("s")).alias("bibliography"))
+
+
+# -- layout ---------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, trim(ls[i]) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(ls[i]) <> ''"
+
+
+@query(f"""WITH l AS ({_LINES}), f AS (SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(lower(line), '\\b\\d{{1,4}}\\b', '', 'g'), '\\s+', ' ', 'g')) AS form FROM l)
+  SELECT form, count(*) AS pages FROM f WHERE length(form) >= 8 GROUP BY form HAVING count(*) >= 3""")
+def running_lines(spark: SparkSession, d: str) -> DataFrame:
+    return L.running_lines(L.lines(_docs(spark, d)))
+
+
+@query(f"""WITH l AS ({_LINES}), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM l),
+n AS (SELECT *, CASE WHEN prev IS NOT NULL AND (regexp_matches(prev, '-$') OR regexp_matches(line, '^\\p{{Ll}}') OR NOT regexp_matches(prev, '[.?!:]$')) THEN 0 ELSE 1 END AS new FROM b),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS para_idx FROM n)
+SELECT doc_id, CAST(para_idx AS BIGINT) AS para_idx, count(*) AS n_lines FROM p GROUP BY ALL""")
+def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
+    return L.paragraphs(L.lines(_docs(spark, d))).select("doc_id", "para_idx", "n_lines")
+
+
+@query()
+def references_heading(spark: SparkSession, d: str) -> DataFrame:
+    rows = L.lines(Y.view(spark, d, Y.SECTIONED))
+    return rows.filter(C.is_references_heading(F.regexp_replace("line", "^#+ ", ""))).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
