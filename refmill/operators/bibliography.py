@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, trimmed
@@ -100,4 +100,53 @@ def parsed(entries: DataFrame, text: str = "entry") -> DataFrame:
     df = df.withColumn("journal", F.when(dated, container(F.col("_rest"))).when(F.size(plain) > 2, trimmed(F.regexp_replace(F.get(plain, F.lit(2)), r"\.\s*$", ""))).otherwise(""))
     pages = r"(?:pp?\.\s*|s\.\s*|:?\s*)(\d+)\s*[-–]\s*(\d+)"
     df = df.withColumn("pages", F.when(F.col("original_text").rlike(pages), F.concat_ws("-", F.regexp_extract("original_text", pages, 1), F.regexp_extract("original_text", pages, 2))).otherwise(""))
-    return df.filter(F.col("title") != "").drop("_b", "_before", "_after", "_rest")
+    found = ("original_text", "authors", "year", "title", "journal", "pages", "doi", "isbn")
+    keep = [c for c in entries.columns if c not in found]
+    # An explode, as a filter on the title would be pushed below all of the above and repeat it.
+    record = F.explode(F.filter(F.array(F.struct(*found)), lambda r: r["title"] != ""))
+    return df.select(*keep, record.alias("_r")).select(*keep, "_r.*")
+
+
+_NUMBER = r"^(?:\d+[.)]\s*|\[\d+\]\s*)"
+_NAME = rf"[{_CAPITAL}][a-zA-ZçğıöşüÇĞİÖŞÜ.'’-]+"
+_STRICT_AUTHOR = rf"^(?:\d+[.)]\s*|\[\d+\]\s*)?{_NAME}(?:\s+{_NAME})*,\s*[{_CAPITAL}]\."
+
+
+def starts_entry(line: Column) -> Column:
+    """Numbered, 'Surname, A.', or capitalised with a year in parentheses."""
+    return line.rlike(_NUMBER) | line.rlike(_STRICT_AUTHOR) | (line.rlike(f"^[{_CAPITAL}]") & line.rlike(r"\((?:19|20)\d{2}[a-z]?\)"))
+
+
+def _merged(lines: Column) -> Column:
+    """Lines joined to the one before unless they start an entry."""
+
+    def step(acc: Column, line: Column) -> Column:
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), line)))
+        return F.when((F.size(acc) > 0) & ~starts_entry(line), joined).otherwise(F.concat(acc, F.array(line)))
+
+    return F.aggregate(lines, F.array().cast("array<string>"), step)
+
+
+def entries_of(section_text: Column) -> Column:
+    """Entries of a bibliography: numbered ones, else blocks between blank lines, else single lines.
+
+    A block is parted at lines that start an entry; one that starts none goes on with the entry before.
+    """
+    clean = lambda xs: F.filter(F.transform(xs, trimmed), lambda x: x != "")
+    numbered = clean(F.split(section_text, r"\n\s*(?=\d+[.)]\s|\[\d+\]\s)"))
+    blocks = clean(F.split(section_text, r"\n\s*\n"))
+    lines_of = lambda b: clean(F.split(b, "\n"))
+    later = lambda ls: F.exists(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), starts_entry)
+    pieces = F.flatten(F.transform(blocks, lambda b: F.when(later(lines_of(b)), _merged(lines_of(b))).otherwise(F.array(b))))
+    by_block, by_line = _merged(pieces), _merged(lines_of(section_text))
+    is_numbered = section_text.rlike(r"(?:^|\n)\s*(?:\d+[.)]\s*|\[\d+\]\s*)") & (F.size(numbered) > 1)
+    return F.when(is_numbered, numbered).when(F.size(by_block) > 1, by_block).otherwise(by_line)
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """(doc_id, ref_idx, entry) of the bibliography sections of (doc_id, text); numbers keep the order of the text."""
+    found = docs.select("doc_id", F.explode(F.filter(F.array(section(F.col("text"))), lambda s: s.isNotNull())).alias("s"))
+    blocks = found.select("doc_id", F.posexplode(entries_of(F.col("s"))).alias("block", "e"))
+    parts = blocks.select("doc_id", "block", F.posexplode(split_entries(F.col("e"))).alias("part", "entry"))
+    order = Window.partitionBy("doc_id").orderBy("block", "part")
+    return parts.withColumn("ref_idx", F.row_number().over(order) - 1).select("doc_id", "ref_idx", "entry")

@@ -364,3 +364,22 @@ def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
 def references_heading(spark: SparkSession, d: str) -> DataFrame:
     rows = L.lines(Y.view(spark, d, Y.SECTIONED))
     return rows.filter(C.is_references_heading(F.regexp_replace("line", "^#+ ", ""))).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
+
+
+@query(f"{Y.named(refs=Y.REFERENCES)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS INT) AS ref_no, entry FROM refs")
+def section_references(spark: SparkSession, d: str) -> DataFrame:
+    r = Y.view(spark, d, Y.REFERENCES)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "entry"))), lambda x: x["entry"])
+    docs = r.groupBy("doc_id").agg(F.concat(F.lit("Body.\nReferences\n"), F.array_join(lines, "\n")).alias("text"))
+    return B.references(docs).select("doc_id", F.col("ref_idx").alias("ref_no"), "entry")
+
+
+@query(_BEST + """, r AS (SELECT ref_idx % 100 AS doc_id, found, row_number() OVER (PARTITION BY ref_idx % 100, found ORDER BY ref_idx) || '. ' || entry || CASE WHEN found THEN chr(10) || '   ' || source || ' | ' || score || '/100' ELSE '' END AS line,
+    row_number() OVER (PARTITION BY ref_idx % 100, found ORDER BY ref_idx) AS n FROM verified JOIN refs USING (ref_idx))
+  SELECT doc_id, 'Date: 2024-01-31' || chr(10) || 'References: ' || count(*) || chr(10) || 'Found: ' || count(*) FILTER (WHERE found) || chr(10) || 'Not found: ' || count(*) FILTER (WHERE NOT found) || chr(10) || 'Rate: ' || CAST(floor(count(*) FILTER (WHERE found) * 100 / count(*) + 0.5) AS BIGINT) || '%'
+    || chr(10) || chr(10) || 'FOUND' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (WHERE found), '') || chr(10) || chr(10) || 'NOT FOUND' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (WHERE NOT found), '') AS report FROM r GROUP BY doc_id""")
+def verification_report(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import reports
+
+    refs = Y.view(spark, d, Y.REFERENCES).select("ref_idx", "doc_id", F.col("entry").alias("original_text"))
+    return reports.verification_report(_verified(spark, d).join(refs, "ref_idx").withColumn("doc_id", F.col("ref_idx") % 100).withColumn("doi", F.lit("")), "2024-01-31")
