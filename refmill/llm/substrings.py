@@ -194,7 +194,8 @@ def _first_refinement(t: pa.Table) -> pa.Table:
         gram, doc, low, lead, more, flag = (c[order] for c in (gram, doc, low, lead, more, flag))
         new = np.concatenate([[True], gram[1:] != gram[:-1]])
         bucket = np.cumsum(new) - 1
-        several = (np.bincount(bucket, weights=head) > 1)[bucket]
+        # A witness stands for stretches that were sent elsewhere.
+        several = ((np.bincount(bucket, weights=head) > 1) | (np.bincount(bucket, weights=flag == 1) > 0))[bucket]
         # Of a frequent q-gram, every batch's witnesses go on: other batches may have equal windows.
         on = ((head & several) | (flag == 1)) & ~gone
         for keep, state in ((gone, False), (on, True)):
