@@ -17,12 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = stored(e, "edges")
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while not _is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,3 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.filter("u <> v").distinct(), "small-star")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node hangs on one other, and none on a node that hangs itself."""
+    ends = e.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    per = ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not per.filter("hangs > 1 or (hangs > 0 and holds > 0)").limit(1).count()

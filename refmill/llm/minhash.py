@@ -276,6 +276,13 @@ def _blocks(opened: DataFrame) -> DataFrame:
     return cut.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "doc_id", "component")
 
 
+def _joined_up(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components once more links are known."""
+    if not more.limit(1).count():
+        return comps
+    return stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -292,13 +299,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
     held = stored(bands.join(large.select("bucket", "hub"), "bucket").select("bucket", "hub", "doc_id"), "members")
     pairs = per.filter("n = 2").select(F.col("hub").alias("a"), F.col("other").alias("b")).unionByName(held.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).distinct()
     release(spark)
-    links = _links(docs, reps, pairs, width, threshold)
-    comps = stored(components(links), "components")
+    comps = stored(components(_links(docs, reps, pairs, width, threshold)), "components")
     # Buckets that still hold several components: a few more members as hubs, then all that is left, in blocks.
     opened = _still_open(held, comps)
     if opened.limit(1).count():
-        links = links.unionByName(_links(docs, reps, _hub_pairs(opened), width, threshold))
-        comps = stored(components(links), "components")
+        comps = _joined_up(comps, _links(docs, reps, _hub_pairs(opened), width, threshold))
         opened = _still_open(held, comps)
     if opened.limit(1).count():
         least = least_matches(threshold[0] / threshold[1])
@@ -308,9 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
         sets = _of_ids(docs, ids).mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
         full = stored(sets.join(_of_ids(reps, ids), "doc_id"), "open-sets")
         got = doubtful.join(full, "doc_id").groupBy("bucket", "i", "j").applyInArrow(_joining(threshold, least), "a long, b long")
-        more = stored(got, "more-links")
-        if more.limit(1).count():
-            comps = stored(components(links.unionByName(more)), "components")
+        comps = _joined_up(comps, stored(got, "more-links"))
     release(spark)
     out = signed.select("doc_id", "n_shingles", "d0", "d1").join(firsts.filter("first is not null"), ["d0", "d1"], "left")
     out = out.withColumn("first", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))
