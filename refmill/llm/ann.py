@@ -37,6 +37,8 @@ ROUNDS = 3
 POOL, HOPS = 160, 12
 #: Vectors of a starting cell, cells of a vector, and pivots at most (they go to every task).
 CELL, CELLS_EACH, MOST_PIVOTS = 256, 4, 4_096
+#: Nodes that every search may also start from, of the largest norms and by a hash in equal parts; how many it takes.
+SEEDS, SEEDS_EACH = 1_024, 20
 #: Nodes of a part; nodes that meet at once at a common neighbour.
 PART, MEETING = 1_000, 256
 
@@ -51,10 +53,11 @@ def _coded(dim: int, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b["vec"], dim)
-            x = np.column_stack([x, np.sqrt(np.maximum(0.0, most * most - (x * x).sum(axis=1)))])
+            norm = np.sqrt((x * x).sum(axis=1))
+            x = np.column_stack([x, np.sqrt(np.maximum(0.0, most * most - norm * norm))])
             step = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
             code = np.rint(x / step[:, None]).astype(np.int8)
-            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step)], names=["node", "code", "step"])
+            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step), pa.array(norm)], names=["node", "code", "step", "norm"])
 
     return run
 
@@ -195,6 +198,23 @@ def _expand(dim: int):
     return run
 
 
+def _seeded(ids: np.ndarray, seeds: np.ndarray, dim: int):
+    """Each query's best seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 2_000):
+            if not b.num_rows:
+                continue
+            s = _floats(b["code"], b["step"], dim)[:, :dim] @ seeds[:, :dim].T
+            k = min(SEEDS_EACH, len(ids))
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            v, w = np.repeat(b["query"].to_numpy(), k), ids[best].ravel()
+            other = v != w
+            yield pa.record_batch([pa.array(v[other]), pa.array(w[other]), pa.array(np.take_along_axis(s, best, axis=1).ravel()[other].astype(np.float32))], names=["v", "w", "s"])
+
+    return run
+
+
 def _pools(keep: int):
     """Of a part's queries: the best nodes of old pools and new finds, and whether they were expanded."""
 
@@ -258,8 +278,12 @@ def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, d
     asking = stored(queries.join(nodes, "node").select(F.col("node").alias("query"), "code", "step"), "asking")
     own = lists.join(queries, "node", "left_semi").select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e"))
     fresh = own.select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"), F.lit(False).alias("done"))
+    # Bounded by SEEDS. They reach what a query's own surroundings don't: other clusters, and vectors of large norm.
+    some = nodes.orderBy(F.desc("norm"), "node").limit(SEEDS // 2).unionByName(nodes.orderBy(F.xxhash64("node"), "node").limit(SEEDS // 2)).toPandas().drop_duplicates("node")
+    seeds = _floats(pa.array(some["code"], pa.binary()), pa.array(some["step"], pa.float64()), dim)
+    from_seeds = asking.mapInArrow(_seeded(some["node"].to_numpy(), seeds, dim), _EDGES).withColumn("done", F.lit(False))
     pool_type = "v long, w long, s float, done boolean, last float"
-    pool = stored(fresh.groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
+    pool = stored(fresh.unionByName(from_seeds).groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
     for _ in range(HOPS):
         ask = pool.filter("not done").select(F.col("v").alias("query"), F.col("w").alias("node"), "last").join(asking, "query")
         if not pool.filter("not done").limit(1).count():
@@ -285,7 +309,7 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most), "node long, code binary, step double"), "codes")
+    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most), "node long, code binary, step double, norm double"), "codes")
     asked = good.filter(F.col("vec_id") % every == 0).join(grouped.select("key", "vec", "node"), ["key", "vec"]).select(F.col("vec_id").alias("query_id"), "node")
     asked = stored(asked, "queries")
     queries = asked.select("node").distinct()
