@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
+from ..functions import records as R
 from ..functions import text as T
 
 #: What lies between semicolons that no quotation encloses.
@@ -59,17 +60,18 @@ def shortened(rows: DataFrame, references: DataFrame) -> DataFrame:
 def resolved(footnotes: DataFrame, references: DataFrame) -> DataFrame:
     """(doc_id, foot_ord, foot_id, part_idx, part, kind, keys, resolved_from).
 
-    Inline citations come first, then shortened ones, then repetitions of the last part of the document with keys.
+    Inline citations come first, then those written out, then shortened ones, then repetitions of the last part of the document with keys.
     """
     rows = parts(footnotes).withColumn("inline", inline_keys(F.col("part")))
-    short = shortened(rows.filter("inline is null"), references).join(references.select("doc_id", "ref_idx", F.col("keys").alias("short_keys")), ["doc_id", "ref_idx"]).drop("ref_idx")
+    rows = rows.withColumn("full", F.when(F.col("inline").isNull(), R.full_text_keys(F.col("part"))))
+    short = shortened(rows.filter("inline is null and full is null"), references).join(references.select("doc_id", "ref_idx", F.col("keys").alias("short_keys")), ["doc_id", "ref_idx"]).drop("ref_idx")
     rows = rows.join(short, ["doc_id", "foot_ord", "part_idx"], "left")
-    rows = rows.withColumn("own", F.coalesce("inline", "short_keys")).withColumn("repeat", F.col("own").isNull() & F.col("part").rlike(REPEAT))
+    rows = rows.withColumn("own", F.coalesce("inline", "full", "short_keys")).withColumn("repeat", F.col("own").isNull() & F.col("part").rlike(REPEAT))
     # The history of a document is read in its order; documents are apart.
     before = Window.partitionBy("doc_id").orderBy("foot_ord", "part_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("keys", F.coalesce("own", F.when(F.col("repeat"), F.last("own", ignorenulls=True).over(before))))
     rows = rows.withColumn("resolved_from", F.when(F.col("repeat"), F.last(F.when(F.col("keys").isNotNull(), F.col("foot_id")), ignorenulls=True).over(before)))
-    kind = F.when(F.col("inline").isNotNull(), "footnote-inline").when(F.col("short_keys").isNotNull(), "footnote-shortened").when(F.col("keys").isNotNull(), "footnote-repeat").otherwise("footnote-unresolved")
+    kind = F.when(F.col("inline").isNotNull(), "footnote-inline").when(F.col("full").isNotNull(), "footnote-fulltext").when(F.col("short_keys").isNotNull(), "footnote-shortened").when(F.col("keys").isNotNull(), "footnote-repeat").otherwise("footnote-unresolved")
     return rows.select("doc_id", "foot_ord", "foot_id", "part_idx", "part", kind.alias("kind"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), "resolved_from")
 
 

@@ -383,3 +383,27 @@ def verification_report(spark: SparkSession, d: str) -> DataFrame:
 
     refs = Y.view(spark, d, Y.REFERENCES).select("ref_idx", "doc_id", F.col("entry").alias("original_text"))
     return reports.verification_report(_verified(spark, d).join(refs, "ref_idx").withColumn("doc_id", F.col("ref_idx") % 100).withColumn("doi", F.lit("")), "2024-01-31")
+
+
+@query(f"""{Y.named(refs=Y.REFERENCES)} SELECT ref_idx, initial || '. ' || family AS author_text, year, title, journal || ', ' || regexp_extract(entry, 'Journal, (.*)[.]$', 1) AS container, 'article' AS type,
+  array_to_string(list_sort(list_distinct([lower(family) || ':' || year, lower(initial || left(family, 1)) || ':' || year])), '|') AS keys FROM refs""")
+def record_parse(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import records as R
+
+    got = R.parsed(Y.view(spark, d, Y.REFERENCES).select("ref_idx", "entry"))
+    return got.select("ref_idx", "structured.author_text", "structured.year", "structured.title", "structured.container", "structured.type", _sorted_keys())
+
+
+def _manuscripts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts: the body's paragraphs, a heading, and the bibliography, of each document of the views."""
+    lines = lambda df, n, c, o: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda x: x[c]), "\n").alias(n))
+    body, refs = lines(Y.view(spark, d, Y.PARAGRAPHS), "body", "text", "para_idx"), lines(Y.view(spark, d, Y.REFERENCES), "refs", "entry", "ref_idx")
+    return body.join(refs, "doc_id").select("doc_id", F.concat_ws("\n", "body", F.lit("Kaynakça"), "refs").alias("text"))
+
+
+@query(_MISSING + f""", n AS (SELECT doc_id, count(*) AS n_refs FROM refs GROUP BY doc_id), b AS (SELECT p_partkey % 100 AS doc_id, count(*) AS body FROM part GROUP BY ALL), m AS (SELECT doc_id, count(*) AS missing FROM missing GROUP BY doc_id)
+  SELECT doc_id, body + 1 + n_refs AS paragraphs, body AS body_paragraphs, 3 * body AS citations, n_refs AS "references", coalesce(missing, 0) AS missing FROM n JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""")
+def audit_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(_manuscripts(spark, d))["diagnostics"].select("doc_id", "paragraphs", "body_paragraphs", "citations", "references", "missing")

@@ -41,6 +41,24 @@ def test_shortened(spark):
     assert {r["kind"] for r in got.values()} == {"footnote-shortened"}
 
 
+def test_written_out(spark):
+    got = resolved(spark, ["Yılmaz, A., Kitap Adı (2020), s. 45.", "Mustafa Diğler- Seçkin Aydın, “Hüsn-i Hat ve Mimarimizdeki Yeri”, 2008.", "Johnson, A., Title (2021)", "Op. cit., p. 30."])
+    assert [got[i, 0]["kind"] for i in range(4)] == ["footnote-inline", "footnote-fulltext", "footnote-inline", "footnote-repeat"]
+    assert any("2020" in k for k in got[0, 0]["keys"]) and "digler:2008" in got[1, 0]["keys"]
+
+
+def test_audit(spark):
+    from refmill.plans.audit import audit
+
+    text = "As (Smith, 2020) and (Doe, 2019) say.\nAlso Doe (2019).\nReferences\nSmith, J. (2020). A title. Press."
+    docs = spark.createDataFrame([(1, text), (2, "No list (Kaya, 2018)."), (3, None)], "doc_id long, text string")
+    got = audit(docs)
+    assert {(r["doc_id"], r["display"], r["occurrences"]) for r in got["missing"].collect()} == {(1, "Doe, 2019", 2), (2, "Kaya, 2018", 1)}
+    d = {r["doc_id"]: r for r in got["diagnostics"].collect()}
+    assert (d[1]["paragraphs"], d[1]["body_paragraphs"], d[1]["citations"], d[1]["references"], d[1]["missing"], d[1]["has_bibliography"]) == (4, 2, 3, 1, 2, True)
+    assert not d[2]["has_bibliography"] and d[2]["citations"] == 1
+
+
 def test_semicolons_in_quotes(spark):
     df = spark.createDataFrame([("a “b; c” d; e ; ; f",)], "t string")
     assert df.select(OF.split_parts(F.col("t")).alias("p")).first()["p"] == ["a “b; c” d", "e", "f"]
