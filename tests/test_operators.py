@@ -173,3 +173,23 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         q = intake.write_citations(intake.arriving_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
         q.awaitTermination(60)
     assert [r["display"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Smith, 2020"]
+
+
+def test_docx_conversion(spark):
+    from refmill.functions import records as R
+    from refmill.sources import docx_out
+
+    text = ["As shown (Smith, 2020; Doe, 2019) here.", "Kaya (2018) too.", "References", "Smith, J. (2020). A title. Press."]
+    src = spark.createDataFrame([("a.docx", bytearray(docx(text, ["old"])))], "path string, content binary")
+    paragraphs = files.paragraphs(files.docx_parts(src)).cache()
+    refs = R.parsed(paragraphs.filter("para_idx = 3").select("path", F.col("para_idx").alias("ref_idx"), F.col("text").alias("entry")))
+    refs = refs.select("path", "ref_idx", "keys", X.footnote(F.col("structured")).alias("footnote"), X.bibliography_entry(F.col("structured")).alias("entry"))
+    notes = docx_out.notes_of(docx_out.located(paragraphs.filter("para_idx < 2")), refs)
+    books = refs.groupBy("path").agg(F.lit(2).alias("heading"), F.collect_list("entry").alias("entries"))
+    out = docx_out.converted(src, notes, books)
+    parts = files.docx_parts(out).cache()
+    assert [r["text"] for r in files.paragraphs(parts).orderBy("para_idx").collect()] == ["As shown here.", "Kaya too.", "References", "Smith, J. A title. Press, 2020."]
+    got = [r["text"] for r in files.footnotes(parts).orderBy("foot_ord").collect()]
+    assert got == ["old", "J. Smith, A title (Press, 2020).", "Kaya (2018)"]
+    with zipfile.ZipFile(io.BytesIO(out.first()["content"])) as z:
+        assert b"footnotes.xml" in z.read("word/_rels/document.xml.rels") and b"footnotes+xml" in z.read("[Content_Types].xml")
