@@ -47,8 +47,15 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+#: Rows of one Arrow batch where the session keeps Spark's own 10,000: texts may be long, and each core holds some batches.
+BATCH_ROWS = 1_500
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers on this machine find the package wherever the driver was started."""
+    """Python workers on this machine find the package wherever the driver was started, and get small batches."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), str(Path(__file__).resolve().parents[2])]
     spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(p for p in paths if p))
 

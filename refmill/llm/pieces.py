@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
 #: Characters of text that are worked on at a time.
-SLICE = 1_200_000
+SLICE = 800_000
 _PARTS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
