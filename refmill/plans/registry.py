@@ -407,3 +407,30 @@ def audit_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     from .audit import audit
 
     return audit(_manuscripts(spark, d))["diagnostics"].select("doc_id", "paragraphs", "body_paragraphs", "citations", "references", "missing")
+
+
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each reference as two lines, the second indented; forty lines a page under a running header."""
+    r = Y.view(spark, d, Y.REFERENCES)
+    cut = F.length("entry") - F.length(F.regexp_extract("entry", r"(\S+ \S+)$", 1))
+    lines = r.select("doc_id", "ref_idx", F.posexplode(F.array(F.trim(F.left("entry", cut)), F.trim(F.substr("entry", cut + 1)))).alias("k", "text"))
+    n = F.row_number().over(L.Window.partitionBy("doc_id").orderBy("ref_idx", "k")) - 1
+    lines = lines.withColumn("n", n).withColumn("page_no", F.floor(F.col("n") / 10).cast("int") + 1).withColumn("line_no", (F.col("n") % 10 + 1).cast("int"))
+    body = lines.select("doc_id", "page_no", "line_no", "text", (F.lit(50.0) + F.col("k") * 20).alias("min_x"), F.lit(400.0).alias("max_x"), (F.lit(580) - F.col("line_no") * 12).cast("int").alias("y"))
+    heads = body.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0).alias("line_no"), F.concat(F.col("page_no").cast("string"), F.lit(" Journal of Lines")).alias("text"), F.lit(50.0).alias("min_x"), F.lit(200.0).alias("max_x"), F.lit(630).alias("y"))
+    return body.unionByName(heads)
+
+
+@query(f"{Y.named(refs=Y.REFERENCES)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS INT) AS para_idx, entry AS text FROM refs")
+def page_bibliography(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import pages
+
+    lines = pages.in_columns(pages.without_headers(pages.within_margins(_page_lines(spark, d))))
+    return pages.bibliography_paragraphs(lines).select("doc_id", "para_idx", "text")
+
+
+@query()
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import pages
+
+    return pages.markdown(_page_lines(spark, d))
