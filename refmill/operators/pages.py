@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions.citations import is_references_heading
-from ..functions.text import B, trimmed
+from ..functions.text import B, bound, trimmed
 from .footnotes import ANY_QUOTE, REPEAT, shortened
 
 # The margins of a page, and the distances that part lines.
@@ -125,8 +125,7 @@ def bibliography_paragraphs(lines: DataFrame) -> DataFrame:
     def step(acc: Column, line: Column) -> Column:
         current = F.element_at(acc, -1)
         text = current["text"]
-        y = R.year_at(text)
-        bare_end = (y["whole"] != "") & (F.length(trimmed(F.substr(text, y["at"] + F.length(y["whole"]) + 1))) < 5)
+        bare_end = bound(R.year_at(text), lambda y: (y["whole"] != "") & (F.length(trimmed(F.substr(text, y["at"] + F.length(y["whole"]) + 1))) < 5))
         on = line["goes"] | F.endswith(text, F.lit("-")) | ~trimmed(text).rlike(r"[.!?][\"”»)\]]?\s*$") | bare_end | line["else"]
         longer = F.struct(current["page_no"].alias("page_no"), _appended(text, line["text"]).alias("text"))
         one = F.struct(line["page_no"].alias("page_no"), line["text"].alias("text"))
