@@ -325,3 +325,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
 def report(docs: DataFrame) -> DataFrame:
     """With the contract's shingles of four words."""
     return near_duplicates(docs, width=4)
+
+
+#: DuckDB SQL for :func:`report`: all pairs that share a shingle, and what they reach.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), u AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id, s.doc_id <= coalesce(c.low, s.doc_id) AS kept
+FROM s LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) c ON c.a = s.doc_id
+"""

@@ -60,4 +60,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
-ORACLES = {"op1_pii": pii.oracle(), "op9_mixing": mixing.ORACLE}
+ORACLES = {"op1_pii": pii.oracle(), "op4_vecjoin": vecjoin.ORACLE, "op6_minhash": minhash.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -178,3 +178,23 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
 
 def report(df: DataFrame) -> DataFrame:
     return near_vectors(df)
+
+
+#: DuckDB SQL for :func:`report` on vectors of one length: all pairs, and what links reach.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), n AS (
+  SELECT a, count(*) AS links FROM l GROUP BY a
+), c AS (
+  SELECT a, min(b) AS low FROM r GROUP BY a
+)
+SELECT m.vec_id, coalesce(n.links, 0) AS n_links, least(m.vec_id, coalesce(c.low, m.vec_id)) AS component_id, m.vec_id <= coalesce(c.low, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN n ON n.a = m.vec_id LEFT JOIN c ON c.a = m.vec_id
+"""
