@@ -34,12 +34,6 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
-def rows(x: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
-    """A list column of a matrix's rows."""
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).ravel(), kind or pa.from_numpy_dtype(x.dtype)))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
