@@ -7,10 +7,10 @@ starts from its own list and expands the best nodes of its pool that it hasn't e
 until the ``POOL`` best are all expanded. All steps are Spark joins and groupings by hashed parts, so a task holds a
 bounded share of nodes and a hub's meeting is split.
 
-Building and search compare vectors rounded to 8 bits; the pool's members are then scored in double precision on
-the original vectors. Vectors of different norms get one more component that brings them to the largest norm, so
-that a node's neighbours by angle are those by inner product. Equal vectors are one node that knows as many of its
-smallest ids as a result can hold.
+Building and search compare the vectors as 32-bit floats, with scores in double precision; the pool's members are then
+scored on the original vectors. Vectors of different norms get one more component that brings them to the largest
+norm, so that a node's nearest neighbours are those by inner product. It is kept apart: a row of large norm takes no
+precision from the others. Equal vectors are one node that knows as many of its smallest ids as a result can hold.
 
 Index and searches cover every row; only pivots are a sample, bounded by ``MOST_PIVOTS``.
 
@@ -48,52 +48,57 @@ def _part(column: str, parts: int):
 
 
 def _coded(dim: int, most: float):
-    """vec -> int8 code of the vector with its norm-filling component, and the code's step."""
+    """vec -> its bytes, the component that fills its norm up to ``most``, and its norm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b["vec"], dim)
             norm = np.sqrt((x * x).sum(axis=1))
-            x = np.column_stack([x, np.sqrt(np.maximum(0.0, most * most - norm * norm))])
-            step = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
-            code = np.rint(x / step[:, None]).astype(np.int8)
-            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step), pa.array(norm)], names=["node", "code", "step", "norm"])
+            fill = np.sqrt(np.maximum(0.0, most * most - norm * norm))
+            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in x.astype(np.float32)], pa.binary()), pa.array(fill), pa.array(norm)], names=["node", "code", "fill", "norm"])
 
     return run
 
 
-def _floats(code: pa.Array | pa.ChunkedArray, step: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(code.to_pylist()), dtype=np.int8).reshape(-1, dim + 1)
-    return x.astype(np.float32) * step.to_numpy(zero_copy_only=False).astype(np.float32)[:, None] if isinstance(step, pa.Array) else x.astype(np.float32) * step.to_numpy().astype(np.float32)[:, None]
+def _floats(code: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(code.to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
 
 
-def _celled(pivots: np.ndarray, each: int, dim: int):
+def _nearness(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """Minus half the squared distances of filled vectors, which orders them as their inner products do.
+
+    Its error depends on the two norms only, that of inner products of filled vectors on the table's largest norm.
+    """
+    return x @ y.T - ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)) / 2 - (fx[:, None] - fy) ** 2 / 2
+
+
+def _celled(pivots: np.ndarray, fills: np.ndarray, each: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 4_000):
             if b.num_rows:
-                near = -(_floats(b["code"], b["step"], dim) @ pivots.T)
+                near = -_nearness(_floats(b["code"], dim), b["fill"].to_numpy(), pivots, fills)
                 k = min(each, len(pivots))
                 cells = np.argpartition(near, k - 1, axis=1)[:, :k]
                 take = b.take(pa.array(np.repeat(np.arange(b.num_rows), k)))
-                yield pa.record_batch([pa.array(cells.ravel().astype(np.int32)), *(take[c] for c in ("node", "code", "step"))], names=["cell", "node", "code", "step"])
+                yield pa.record_batch([pa.array(cells.ravel().astype(np.int32)), *(take[c] for c in ("node", "code", "fill"))], names=["cell", "node", "code", "fill"])
 
     return run
 
 
 def _edges(v: np.ndarray, w: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "s": pa.array(s.astype(np.float32))})
+    return pa.table({"v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
-_EDGES = "v long, w long, s float"
+_EDGES = "v long, w long, s double"
 
 
 def _within_cell(keep: int, dim: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, x = t["node"].to_numpy(), _floats(t["code"], t["step"], dim)
-        out = [(ids[:0], ids[:0], np.zeros(0, np.float32))]
+        ids, x, fill = t["node"].to_numpy(), _floats(t["code"], dim), t["fill"].to_numpy()
+        out = [(ids[:0], ids[:0], np.zeros(0))]
         k = min(keep, len(ids) - 1)
         for a in range(0, len(ids) if k else 0, 512):
-            s = x[a : a + 512] @ x.T
+            s = _nearness(x[a : a + 512], fill[a : a + 512], x, fill)
             s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             out.append((np.repeat(ids[a : a + 512], k), ids[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
@@ -123,31 +128,31 @@ def _lists(keep: int):
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, dtype=np.int64)
         offsets = pa.array(np.append(first, len(v)).astype(np.int32))
         size = np.diff(np.append(first, len(v)))
-        last = np.where(size == keep, s[first + size - 1] if len(v) else s[:0], -np.inf).astype(np.float32)
-        return pa.table({"node": pa.array(v[first], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64())), "scores": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float32())), "last": pa.array(last)})
+        last = np.where(size == keep, s[first + size - 1] if len(v) else s[:0], -np.inf)
+        return pa.table({"node": pa.array(v[first], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64())), "scores": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float64())), "last": pa.array(last)})
 
     return run
 
 
-_LISTS = "node long, near array<long>, scores array<float>, last float"
+_LISTS = "node long, near array<long>, scores array<double>, last double"
 
 
 def _meeting(dim: int, size: int):
     """Of a part: nodes that share a neighbour are compared; what betters a node's list is returned."""
 
     def run(t: pa.Table) -> pa.Table:
-        at, who, last = (t[c].to_numpy() for c in ("at", "node", "last"))
-        x = _floats(t["code"], t["step"], dim)
+        at, who, last, fill = (t[c].to_numpy() for c in ("at", "node", "last", "fill"))
+        x = _floats(t["code"], dim)
         order = np.lexsort((who, at))
-        at, who, last, x = at[order], who[order], last[order], x[order]
+        at, who, last, fill, x = at[order], who[order], last[order], fill[order], x[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
-        out = [(who[:0], who[:0], np.zeros(0, np.float32))]
+        out = [(who[:0], who[:0], np.zeros(0))]
         for a, b in zip(starts, [*starts[1:], len(at)], strict=False):
             for c in range(a, b, size):  # a hub's meeting goes in turns
                 e = min(b, c + size)
                 if e - c < 2:
                     continue
-                s = x[c:e] @ x[c:e].T
+                s = _nearness(x[c:e], fill[c:e], x[c:e], fill[c:e])
                 np.fill_diagonal(s, -np.inf)
                 i, j = np.nonzero(s > last[c:e, None])
                 out.append((who[c + i], who[c + j], s[i, j]))
@@ -157,43 +162,35 @@ def _meeting(dim: int, size: int):
     return run
 
 
-def _neighbourhoods(t: pa.Table) -> pa.Table:
-    """Of a part's edges with codes: one row a node, codes end to end."""
-    v = t["v"].to_numpy()
-    order = np.argsort(v, kind="stable")
-    v = v[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, dtype=np.int64)
-    ends = np.append(first[1:], len(v))
-    codes = t["code"].to_pylist()
-    offsets = pa.array(np.append(first, len(v)).astype(np.int32))
-    codes = [b"".join([codes[k] for k in order[a:b]]) for a, b in zip(first, ends, strict=False)] if len(v) else []
-    pick = lambda c, kind: pa.ListArray.from_arrays(offsets, pa.array(t[c].to_numpy()[order], kind))
-    return pa.table({"node": pa.array(v[first], pa.int64()), "near": pick("w", pa.int64()), "steps": pick("step", pa.float32()), "codes": pa.array(codes, pa.binary())})
-
-
-def _expand(dim: int):
-    """Queries at nodes of a part, and the part's neighbourhoods: scores of the neighbours that could enter a pool."""
-
-    def run(asked: pa.Table, hoods: pa.Table) -> pa.Table:
-        index = {n: i for i, n in enumerate(hoods["node"].to_pylist())}
-        near, steps, codes = hoods["near"].to_pylist(), hoods["steps"].to_pylist(), hoods["codes"].to_pylist()
-        node, query, last = (asked[c].to_numpy() for c in ("node", "query", "last"))
-        x = _floats(asked["code"], asked["step"], dim)[:, :dim] if len(node) else np.zeros((0, dim), np.float32)
-        order = np.argsort(node, kind="stable")
-        node, query, last, x = node[order], query[order], last[order], x[order]
-        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else []
-        out = [(query[:0], query[:0], np.zeros(0, np.float32))]
-        for a, b in zip(starts, [*starts[1:], len(node)], strict=False):
-            k = index.get(int(node[a]))
-            if k is None:
-                continue
-            w = np.array(near[k])
-            y = np.frombuffer(codes[k], dtype=np.int8).reshape(-1, dim + 1)[:, :dim].astype(np.float32) * np.array(steps[k], dtype=np.float32)[:, None]
-            s = x[a:b] @ y.T
-            i, j = np.nonzero((s > last[a:b, None]) & (w[None, :] != query[a:b, None]))
-            out.append((query[a + i], w[j], s[i, j]))
-        v, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return _edges(*best_of(v, w, s, POOL))
+def _proposed(asked: pa.Table, lists: pa.Table) -> pa.Table:
+    """Queries at nodes of a part, and the part's lists: each query's different neighbours of its nodes."""
+    index = {n: i for i, n in enumerate(lists["node"].to_pylist())}
+    ends = np.concatenate([[0], np.cumsum(lists["near"].combine_chunks().value_lengths().to_numpy())]) if len(index) else np.zeros(1, dtype=np.int64)
+    near = lists["near"].combine_chunks().flatten().to_numpy() if len(index) else np.zeros(0, dtype=np.int64)
+    at = np.array([index.get(n, -1) for n in asked["node"].to_pylist()], dtype=np.int64)
+    query, last = (asked[c].to_numpy()[at >= 0] for c in ("query", "last"))
+    at = at[at >= 0]
+    size = ends[at + 1] - ends[at]
+    w = near[np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    query, last = np.repeat(query, size), np.repeat(last, size)
+    order = np.lexsort((w, query))
+    query, w, last = query[order], w[order], last[order]
+    new = (w != query) & np.concatenate([[True], (query[1:] != query[:-1]) | (w[1:] != w[:-1])]) if len(w) else np.zeros(0, dtype=bool)
+    return pa.table({"query": pa.array(query[new], pa.int64()), "w": pa.array(w[new], pa.int64()), "last": pa.array(last[new], pa.float64())})
+
+
+def _scored(dim: int):
+    """Proposed nodes of a part with the query's vector, and the part's nodes: inner products that could enter a pool."""
+
+    def run(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
+        index = {n: i for i, n in enumerate(nodes["node"].to_pylist())}
+        y = _floats(nodes["code"], dim)
+        query, w, last = (pairs[c].to_numpy() for c in ("query", "w", "last"))
+        at = np.array([index[n] for n in w.tolist()], dtype=np.int64)
+        s = np.zeros(len(w))
+        for a in range(0, len(w), 10_000):
+            s[a : a + 10_000] = (_floats(pairs["code"].slice(a, 10_000), dim) * y[at[a : a + 10_000]]).sum(axis=1)
+        return _edges(query[s > last], w[s > last], s[s > last])
 
     return run
 
@@ -205,12 +202,12 @@ def _seeded(ids: np.ndarray, seeds: np.ndarray, dim: int):
         for b in batches_of(batches, 2_000):
             if not b.num_rows:
                 continue
-            s = _floats(b["code"], b["step"], dim)[:, :dim] @ seeds[:, :dim].T
+            s = _floats(b["code"], dim) @ seeds.T
             k = min(SEEDS_EACH, len(ids))
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             v, w = np.repeat(b["query"].to_numpy(), k), ids[best].ravel()
             other = v != w
-            yield pa.record_batch([pa.array(v[other]), pa.array(w[other]), pa.array(np.take_along_axis(s, best, axis=1).ravel()[other].astype(np.float32))], names=["v", "w", "s"])
+            yield pa.record_batch([pa.array(v[other]), pa.array(w[other]), pa.array(np.take_along_axis(s, best, axis=1).ravel()[other])], names=["v", "w", "s"])
 
     return run
 
@@ -231,8 +228,8 @@ def _pools(keep: int):
         rank = np.arange(len(v)) - head[np.cumsum(first) - 1]
         k = rank < keep
         size = np.diff(np.append(head, len(v)))
-        last = np.where(size >= keep, s[np.minimum(head + keep - 1, len(v) - 1)] if len(v) else s[:0], -np.inf).astype(np.float32)
-        return pa.table({"v": pa.array(v[k], pa.int64()), "w": pa.array(w[k], pa.int64()), "s": pa.array(s[k].astype(np.float32)), "done": pa.array(done[k]), "last": pa.array(last[np.cumsum(first) - 1][k])})
+        last = np.where(size >= keep, s[np.minimum(head + keep - 1, len(v) - 1)] if len(v) else s[:0], -np.inf)
+        return pa.table({"v": pa.array(v[k], pa.int64()), "w": pa.array(w[k], pa.int64()), "s": pa.array(s[k], pa.float64()), "done": pa.array(done[k]), "last": pa.array(last[np.cumsum(first) - 1][k])})
 
     return run
 
@@ -247,20 +244,20 @@ def _exact(dim: int):
 
 
 def build(nodes: DataFrame, total: int, dim: int) -> DataFrame:
-    """The graph of (node, code, step): lists of each node's neighbours, best first."""
+    """The graph of (node, code, fill): lists of each node's neighbours, best first."""
     spark = nodes.sparkSession
     parts = max(1, -(-total // PART))
     n_pivots = min(MOST_PIVOTS, max(1, total // CELL))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(n_pivots).toPandas()  # bounded by MOST_PIVOTS
-    pivots = _floats(pa.array(sample["code"], pa.binary()), pa.array(sample["step"], pa.float64()), dim)
-    celled = nodes.mapInArrow(_celled(pivots, CELLS_EACH, dim), "cell int, node long, code binary, step double")
+    pivots = _floats(pa.array(sample["code"], pa.binary()), dim)
+    celled = nodes.mapInArrow(_celled(pivots, sample["fill"].to_numpy(), CELLS_EACH, dim), "cell int, node long, code binary, fill double")
     # A cell may be hot: it is dealt out in turns of about CELL * CELLS_EACH, each node by a hash of its id.
     sizes = F.broadcast(celled.groupBy("cell").count())  # at most MOST_PIVOTS rows
     turns = celled.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("count") / (CELL * CELLS_EACH))))
     edges = turns.groupBy("cell", "turn").applyInArrow(_within_cell(NEIGHBOURS // 2, dim), _EDGES)
     lists = stored(edges.groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
     for _ in range(ROUNDS):
-        sent = lists.join(nodes, "node").select(F.explode("near").alias("at"), "node", "last", "code", "step")
+        sent = lists.join(nodes, "node").select(F.explode("near").alias("at"), "node", "last", "code", "fill")
         found = sent.groupBy(_part("at", parts)).applyInArrow(_meeting(dim, MEETING), _EDGES)
         known = lists.select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e")).select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"))
         lists = stored(found.unionByName(known).groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
@@ -272,24 +269,28 @@ def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, d
     """(v, w): for each node of ``queries`` the best nodes that greedy search finds, itself left out."""
     spark = nodes.sparkSession
     parts = max(1, -(-total // PART))
-    edges = lists.select(F.col("node").alias("v"), F.explode("near").alias("w"))
-    hoods = edges.join(nodes.select(F.col("node").alias("w"), "code", F.col("step").cast("float").alias("step")), "w")
-    hoods = stored(hoods.groupBy(_part("v", parts)).applyInArrow(_neighbourhoods, "node long, near array<long>, steps array<float>, codes binary"), "neighbourhoods")
-    asking = stored(queries.join(nodes, "node").select(F.col("node").alias("query"), "code", "step"), "asking")
-    own = lists.join(queries, "node", "left_semi").select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e"))
-    fresh = own.select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"), F.lit(False).alias("done"))
+    near = lists.select("node", "near")
+    asking = stored(queries.join(nodes, "node").select(F.col("node").alias("query"), "code"), "asking")
+
+    def expanded(ask: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """v, w, s, done: the neighbours of (query, node, last) that could enter a pool and aren't ``known``."""
+        pairs = ask.groupBy(_part("node", parts)).cogroup(near.groupBy(_part("node", parts))).applyInArrow(_proposed, "query long, w long, last double").distinct()
+        pairs = pairs.join(known.select(F.col("v").alias("query"), "w"), ["query", "w"], "left_anti") if known is not None else pairs
+        found = pairs.join(asking, "query").groupBy(_part("w", parts)).cogroup(nodes.select("node", "code").groupBy(_part("node", parts))).applyInArrow(_scored(dim), _EDGES)
+        return found.withColumn("done", F.lit(False))
+
+    fresh = expanded(asking.select("query", F.col("query").alias("node"), F.lit(float("-inf")).alias("last")))
     # Bounded by SEEDS. They reach what a query's own surroundings don't: other clusters, and vectors of large norm.
     some = nodes.orderBy(F.desc("norm"), "node").limit(SEEDS // 2).unionByName(nodes.orderBy(F.xxhash64("node"), "node").limit(SEEDS // 2)).toPandas().drop_duplicates("node")
-    seeds = _floats(pa.array(some["code"], pa.binary()), pa.array(some["step"], pa.float64()), dim)
+    seeds = _floats(pa.array(some["code"], pa.binary()), dim)
     from_seeds = asking.mapInArrow(_seeded(some["node"].to_numpy(), seeds, dim), _EDGES).withColumn("done", F.lit(False))
-    pool_type = "v long, w long, s float, done boolean, last float"
+    pool_type = "v long, w long, s double, done boolean, last double"
     pool = stored(fresh.unionByName(from_seeds).groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
     for _ in range(HOPS):
-        ask = pool.filter("not done").select(F.col("v").alias("query"), F.col("w").alias("node"), "last").join(asking, "query")
+        ask = pool.filter("not done").select(F.col("v").alias("query"), F.col("w").alias("node"), "last")
         if not pool.filter("not done").limit(1).count():
             break
-        found = ask.groupBy(_part("node", parts)).cogroup(hoods.groupBy(_part("node", parts))).applyInArrow(_expand(dim), _EDGES)
-        both = pool.select("v", "w", "s", F.lit(True).alias("done")).unionByName(found.select("v", "w", "s", F.lit(False).alias("done")))
+        both = pool.select("v", "w", "s", F.lit(True).alias("done")).unionByName(expanded(ask, pool))
         pool = stored(both.groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
         release(spark)
     return pool.select("v", "w")
@@ -309,7 +310,7 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most), "node long, code binary, step double, norm double"), "codes")
+    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most), "node long, code binary, fill double, norm double"), "codes")
     asked = good.filter(F.col("vec_id") % every == 0).join(grouped.select("key", "vec", "node"), ["key", "vec"]).select(F.col("vec_id").alias("query_id"), "node")
     asked = stored(asked, "queries")
     queries = asked.select("node").distinct()

@@ -218,6 +218,27 @@ def test_nearest(spark, n):
     assert ann.nearest(spark.createDataFrame([], VECS)).count() == 0
 
 
+def recall_of(spark, x):
+    """Of the 20 nearest by brute force, the share that is found, over all queries; ids are positions."""
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECS).repartition(4)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shares = {}
+    for k in range(0, len(x), 20):
+        s = x @ x[k]
+        s[k] = -np.inf
+        shares[k] = len(got[k] & {int(i) for i in np.argsort(-s)[:20]}) / 20
+    return shares
+
+
+def test_nearest_beside_a_large_norm(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[7] *= 100
+    assert np.mean(list(recall_of(spark, x).values())) >= 0.95
+
+
 def labelled(spark):
     rng = random.Random(4)
     rows, labels = [], []
