@@ -7,8 +7,8 @@ starts from its own list and expands the best nodes of its pool that it hasn't e
 until the ``POOL`` best are all expanded. All steps are Spark joins and groupings by hashed parts, so a task holds a
 bounded share of nodes and a hub's meeting is split.
 
-Building and search compare the vectors as 32-bit floats, with scores in double precision; the pool's members are then
-scored on the original vectors. Vectors of different norms get one more component that brings them to the largest
+Building and search compare the vectors themselves in double precision, so near copies are told apart however many and
+close they are; vectors travel as 32-bit floats if that loses nothing, else as doubles. Vectors of different norms get one more component that brings them to the largest
 norm, so that a node's nearest neighbours are those by inner product. It is kept apart: a row of large norm takes no
 precision from the others. Equal vectors are one node that knows as many of its smallest ids as a result can hold.
 
@@ -47,7 +47,7 @@ def _part(column: str, parts: int):
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias("part")
 
 
-def _coded(dim: int, most: float):
+def _coded(dim: int, most: float, kind: type):
     """vec -> its bytes, the component that fills its norm up to ``most``, and its norm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,13 +55,14 @@ def _coded(dim: int, most: float):
             x = matrix(b["vec"], dim)
             norm = np.sqrt((x * x).sum(axis=1))
             fill = np.sqrt(np.maximum(0.0, most * most - norm * norm))
-            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in x.astype(np.float32)], pa.binary()), pa.array(fill), pa.array(norm)], names=["node", "code", "fill", "norm"])
+            yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in x.astype(kind)], pa.binary()), pa.array(fill), pa.array(norm)], names=["node", "code", "fill", "norm"])
 
     return run
 
 
 def _floats(code: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(code.to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
+    data = b"".join(code.to_pylist())
+    return np.frombuffer(data, dtype=np.float64 if len(data) == len(code) * dim * 8 else np.float32).reshape(-1, dim).astype(np.float64)
 
 
 def _nearness(x: np.ndarray, fx: np.ndarray, y: np.ndarray, fy: np.ndarray) -> np.ndarray:
@@ -306,11 +307,12 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("key", "vec").orderBy("vec_id"))
     some = good.withColumn("nth", nth).filter(F.col("nth") <= top + 1)
     grouped = stored(some.groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    total, most = grouped.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    wide = F.exists("vec", lambda x: x.cast("float").cast("double") != x)
+    total, most, wide = grouped.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.max(wide)).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most), "node long, code binary, fill double, norm double"), "codes")
+    nodes = stored(grouped.select("node", "vec").mapInArrow(_coded(dim, most, np.float64 if wide else np.float32), "node long, code binary, fill double, norm double"), "codes")
     asked = good.filter(F.col("vec_id") % every == 0).join(grouped.select("key", "vec", "node"), ["key", "vec"]).select(F.col("vec_id").alias("query_id"), "node")
     asked = stored(asked, "queries")
     queries = asked.select("node").distinct()

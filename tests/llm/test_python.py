@@ -239,6 +239,18 @@ def test_nearest_beside_a_large_norm(spark):
     assert np.mean(list(recall_of(spark, x).values())) >= 0.95
 
 
+@pytest.mark.parametrize(("apart", "kind"), [(1e-2, np.float32), (1e-4, np.float64)])
+def test_nearest_among_near_copies(spark, apart, kind):
+    """A third of the rows is one group, larger than a search's pool, at cosines of about 1 - apart^2."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
+    x = unit(rng.normal(size=(1500, 32)))
+    x[:500] = unit(x[0] + apart * rng.normal(size=(500, 32)) / np.sqrt(32))
+    shares = recall_of(spark, x.astype(kind).astype(np.float64))
+    assert np.mean([v for k, v in shares.items() if k < 500]) >= 0.95
+    assert np.mean([v for k, v in shares.items() if k >= 500]) >= 0.95
+
+
 def labelled(spark):
     rng = random.Random(4)
     rows, labels = [], []
