@@ -13,28 +13,39 @@ FIELDS = ("title", "authors", "year", "journal", "doi", "isbn")
 
 
 class CatalogTableConnector:
-    """Candidates from a table of works, ``TOP_HITS`` a reference: equal titles first, then most shared rare words.
+    """Candidates from a table of works, ``TOP_HITS`` a reference: equal titles first, then most shared words.
 
-    Both are equality joins, so no reference meets every work. Of works with one title only as many go on as can be
-    hits; words in more than ``common`` of all works don't tell works apart and are left to the rarer ones.
+    Titles with ``least`` words in common meet in equality joins, whatever their words' frequency: with words ordered
+    by it, both have a common word before their last ``least - 1``, so only those are joined. A title counts once, and
+    as many of its works go on as can be hits; a word of many titles is dealt out in parts of about ``part`` titles.
     """
 
-    def __init__(self, works: DataFrame, source: str, api_rank: int, least: int = 2, common: float = 0.01) -> None:
-        self.works, self.source, self.api_rank, self.least, self.common = works, source, api_rank, least, common
+    def __init__(self, works: DataFrame, source: str, api_rank: int, least: int = 2, part: int = 1_000) -> None:
+        self.works, self.source, self.api_rank, self.least, self.part = works, source, api_rank, least, part
 
     def candidates(self, refs: DataFrame) -> DataFrame:
         """(ref_idx, api_rank, hit_rank, source, <fields>)."""
         titled = lambda df, i: df.select(i, normalized(F.col("title")).alias("name")).filter("name <> ''")
-        word = lambda df, i: df.select(i, F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
+        word = lambda df: df.select("name").distinct().select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
         asked, known = titled(refs, "ref_idx"), titled(self.works, "work_id")
         nth = F.row_number().over(Window.partitionBy("name").orderBy("work_id"))
-        equal = asked.join(known.withColumn("nth", nth).filter(F.col("nth") <= TOP_HITS), "name").select("ref_idx", "work_id", F.lit(1).alias("equal"), F.lit(0).cast("long").alias("shared"))
-        of_works, limit = word(known, "work_id"), self.common * self.works.count()
-        rare = of_works.groupBy("word").count().filter(F.col("count") <= limit).select("word")
-        shared = word(asked, "ref_idx").join(of_works.join(rare, "word"), "word").groupBy("ref_idx", "work_id").agg(F.lit(0).alias("equal"), F.count("*").alias("shared")).filter(F.col("shared") >= self.least)
-        found = equal.unionByName(shared).groupBy("ref_idx", "work_id").agg(F.max("equal").alias("equal"), F.max("shared").alias("shared"))
-        rank = F.row_number().over(Window.partitionBy("ref_idx").orderBy(F.desc("equal"), F.desc("shared"), "work_id"))
-        top = found.withColumn("hit_rank", rank - 1).filter(F.col("hit_rank") < TOP_HITS)
+        first = known.withColumn("nth", nth).filter(F.col("nth") <= TOP_HITS).drop("nth")
+        counts = word(known).groupBy("word").agg(F.count("*").alias("n"))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("key.n") / self.part)).cast("int")
+
+        def keyed(df: DataFrame) -> DataFrame:
+            ordered = word(df).join(counts, "word", "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("words")).filter(F.size("words") >= self.least)
+            keys = F.explode(F.slice("words", F.lit(1), F.size("words") - (self.least - 1)))
+            return ordered.select("name", F.col("words.word").alias("words"), keys.alias("key")).select("name", "words", F.col("key.word").alias("key"), parts.alias("parts"))
+
+        left = keyed(asked).select(F.col("name").alias("asked"), F.col("words").alias("of_asked"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"))
+        right = keyed(known).select("name", "words", "key", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("at"))
+        shared = left.join(right, ["key", "at"]).select("asked", "name", F.size(F.array_intersect("of_asked", "words")).alias("shared")).filter(F.col("shared") >= self.least)
+        equal = asked.select("name").distinct().join(known.select("name").distinct(), "name").select(F.col("name").alias("asked"), "name", F.lit(0).alias("shared"))
+        found = equal.unionByName(shared).groupBy("asked", "name").agg(F.max("shared").alias("shared")).join(first, "name")
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc(F.col("asked") == F.col("name")), F.desc("shared"), "work_id"))
+        top = found.withColumn("hit_rank", rank - 1).filter(F.col("hit_rank") < TOP_HITS).select(F.col("asked").alias("name"), "hit_rank", "work_id")
+        top = asked.join(top, "name").select("ref_idx", "hit_rank", "work_id")
         return top.join(self.works, "work_id").select("ref_idx", F.lit(self.api_rank).alias("api_rank"), "hit_rank", F.lit(self.source).alias("source"), *FIELDS)
 
 
