@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import drop, stored
 from .vectors import batches_of, common_length, matrix, usable
 
 TOP = 20
@@ -246,7 +246,6 @@ def _exact(dim: int):
 
 def build(nodes: DataFrame, total: int, dim: int) -> DataFrame:
     """The graph of (node, code, fill): lists of each node's neighbours, best first."""
-    spark = nodes.sparkSession
     parts = max(1, -(-total // PART))
     n_pivots = min(MOST_PIVOTS, max(1, total // CELL))
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(n_pivots).toPandas()  # bounded by MOST_PIVOTS
@@ -261,14 +260,13 @@ def build(nodes: DataFrame, total: int, dim: int) -> DataFrame:
         sent = lists.join(nodes, "node").select(F.explode("near").alias("at"), "node", "last", "code", "fill")
         found = sent.groupBy(_part("at", parts)).applyInArrow(_meeting(dim, MEETING), _EDGES)
         known = lists.select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e")).select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"))
-        lists = stored(found.unionByName(known).groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
-        release(spark)
+        before, lists = lists, stored(found.unionByName(known).groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
+        drop(before)
     return lists
 
 
 def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, dim: int) -> DataFrame:
     """(v, w): for each node of ``queries`` the best nodes that greedy search finds, itself left out."""
-    spark = nodes.sparkSession
     parts = max(1, -(-total // PART))
     near = lists.select("node", "near")
     asking = stored(queries.join(nodes, "node").select(F.col("node").alias("query"), "code"), "asking")
@@ -292,8 +290,8 @@ def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, d
         if not pool.filter("not done").limit(1).count():
             break
         both = pool.select("v", "w", "s", F.lit(True).alias("done")).unionByName(expanded(ask, pool))
-        pool = stored(both.groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
-        release(spark)
+        before, pool = pool, stored(both.groupBy(_part("v", parts)).applyInArrow(_pools(POOL), pool_type), "pool")
+        drop(before)
     return pool.select("v", "w")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, stored
+from .common import partitions, stored
 from .shingles import _RANDOM, mixed, slices, span_hashes
 
 LENGTH = 100
@@ -292,11 +292,9 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     parts = partitions(spark, 4)
     records = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_buckets(parts), "part int, records binary")
     first = stored(records.groupBy("part").applyInArrow(_first_refinement, "doc_id long, low int, lead int, more int, open boolean"), "first-refinement")
-    release(spark)
     done = first.filter("not open").select("doc_id", F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
     spans = first.filter("open").select("doc_id", "low", "lead", "more").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("low", "lead", "more")).alias("spans"))
     rows = stored(docs.join(spans, "doc_id").mapInArrow(_cut_out, "gram long, doc_id long, low int, bytes binary"), "stretches")
-    release(spark)
     frequent = rows.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
     # few: each holds more than ``hot`` stretches
     plain = rows.join(frequent, "gram", "left_anti").withColumn("part", F.pmod(F.col("gram"), F.lit(parts)))
@@ -333,7 +331,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     gone = stored(repeated(docs, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
-    release(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
