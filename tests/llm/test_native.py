@@ -68,6 +68,42 @@ def test_redaction_keeps_the_rest(spark):
     assert got[1]["spans"] == "mine"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "n"),
+    [
+        ("social security number on file since 2019: 123-45-6789", "ssn", 1),  # a number between context and span
+        ("social " + "x" * 60 + " 123-45-6789", "ssn", 0),
+        ("ref 123-45-6789 and 5 more, ssn", "ssn", 1),
+        ("ref 123-45-6789 " + "x" * 20 + " ssn", "ssn", 0),
+    ],
+)
+def test_context_goes_by_position(spark, text, kind, n):
+    assert pii.report(spark.createDataFrame([(1, text, None, None)], DOCS)).first()[f"n_{kind}"] == n
+
+
+def test_spark_and_sql_agree_on_context(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    bits = ["card a5a 4111111111111111", "4111 1111 1111 1111", "7", "12", "pay", "visa", "ssn", "123-45-6789", "+49 30 901820", "call 5", "a@b.cc", "mail", "10.0.0.1", "host", "é", "😀", "\n", "DE89370400440532013000", "iban", "x" * 45]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    texts += [None, "", " ".join(rng.choice(bits) for _ in range(3000)), "a@b.cc " * 500]
+    rows = [(i, t, None, None) for i, t in enumerate(texts + texts[:3])]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    got = pii.report(spark.createDataFrame(rows, DOCS))
+    want = con.execute(f"select {', '.join(got.columns)} from ({pii.oracle()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", "en", "s")], DOCS)
+    for name in ("_pii", "_pii_spans", "_m_email", "_row", "_t", "key", "cell", "size", "bits"):
+        df = df.withColumn(name, F.lit(name))
+    assert pii.redact(df).drop("text").collect() == df.drop("text").collect()
+    assert mixing.mixed(df).drop("copies").collect() == df.collect()
+
+
 def water_fill(sizes):
     """Targets by repeated resharing."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -106,6 +142,38 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_longer_documents_are_likelier(spark):
+    """Documents of a size are included as often as their probability says, and the sample has its words."""
+    rows = [(i, "w " * n, None, "ab"[i % 2]) for i, n in enumerate([1, 3, 7, 20, 60, 150, 9] * 800)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for odd in (0, 1):
+        of = [r for r in got if r["doc_id"] % 2 == odd]
+        whole = int(of[0]["target"] / of[0]["source_size"])
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 75
+        hits: dict = {}
+        for r in of:
+            hits.setdefault((r["size"], r["inclusion"]), []).append(r["copies"] - whole)
+        p = [x for _, x in sorted(hits)]
+        assert len(p) == 7 and p == sorted(p) and 0 < p[0] < p[-1] <= 1
+        for (_, want), seen in hits.items():
+            assert abs(sum(seen) / len(seen) - want) < 5 * (want * (1 - want) / len(seen)) ** 0.5 + 0.01
+
+
+def test_equal_ranks_go_together(spark):
+    df = spark.createDataFrame([(7, "a b c", None, "s")] * 10 + [(8, "a b c", None, "t")] * 10, DOCS)
+    got = mixing.mix(df).collect()
+    assert len(got) == 20 and len({(r["doc_id"], r["copies"]) for r in got}) == 2
+
+
+def test_sources_in_order(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(200)], "a long, b long")
+    got = mixing.in_order(df.repartition(5), [F.col("b").desc()], ("a",)).collect()
+    before = 0
+    for n, r in enumerate(sorted(got, key=lambda r: -r["b"])):
+        assert (r["before_n"], r["before_a"]) == (n, before)
+        before += r["a"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert mixing.mix(none).count() == 0
