@@ -4,12 +4,15 @@ Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-9
 counts elsewhere) and words nearby adjust each span's score. The four base kinds keep every confirmed span;
 the kinds added by this method (``iban``, ``ssn``) also need a score of ``THRESHOLD``.
 
-A kind's matches are found twice over the whole text, as matches and as the gaps between them; the running sum
-of their lengths gives positions in code points. The expressions for Spark are written so that a failed match
-costs time in proportion to its length: a run is entered at its start, or where the last match ended, and
-never given back. They find what the plain expressions find.
-
-Edge cases: a null text is an empty one and has no span; several kinds may overlap; equal rows stay equal rows.
+A kind's matches are found over the whole text with what follows each, and as the gaps between them; the running sum
+of their lengths gives positions in code points. Context is the code points before and after a span by position,
+whatever other matches lie there. The expressions for Spark are written so that a failed match costs time in proportion
+to its length: a run is entered at its start, or where the last match ended, and never given back. They confirm the
+spans that the plain expressions confirm (for cards they also match lone digits, which no checksum confirms).
+
+Edge cases: a null text is an empty one and has no span; several kinds may overlap, and one stretch may be of several
+kinds; equal rows stay equal rows; an empty table gives an empty result. Very long texts cost time in proportion to
+their length. Columns of any name are kept; only one named as the output is replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 60
 CONTEXT_BONUS = 20
-#: Code points looked at before and after a span, at most up to the kind's neighbouring match.
+#: Code points looked at before and after a span.
 BEFORE, AFTER = 40, 20
+#: Matches that are worked through at a time.
+CHUNK = 64
 
 
 class Kind(NamedTuple):
@@ -80,43 +85,80 @@ def confirmed(name: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def zipped(matches: Column, gaps: Column) -> Column:
-    """Each match with the gaps before and after it."""
-    return F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("after")))
+def zipped(matches: Column, gaps: Column, after: Column) -> Column:
+    """Each match with the gap before it and the text after it."""
+    return F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("gap"), F.get(after, i).alias("after")))
 
 
 def spans(items: Column, kind: Kind) -> Column:
-    """Of the zipped matches and gaps (one gap more than matches)."""
+    """Of the zipped matches, a column by itself. They go in chunks, each from its own start, so appending stays cheap."""
     entry = "struct<kind:string,start:int,end:int,score:int>"
+    whole = lambda x: F.concat(x["gap"], x["m"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
-        near = F.lower(F.concat(F.right(x["gap"], F.lit(BEFORE)), F.lit(" "), F.left(x["after"], F.lit(AFTER))))
+        near = F.lower(F.concat(F.right(F.concat(acc["tail"], x["gap"]), F.lit(BEFORE)), F.lit(" "), x["after"]))
         score = F.lit(kind.points) + F.when(near.rlike(kind.context), CONTEXT_BONUS).otherwise(0)
         keep = confirmed(kind.name, x["m"])
         if kind.name not in BASE:
             keep = keep & (score >= THRESHOLD)
         one = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        tail = F.right(F.concat(acc["tail"], whole(x)), F.lit(BEFORE))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def chunk(z: Column) -> Column:
+        start = F.struct(z["start"].alias("at"), z["tail"].alias("tail"), F.array().cast(f"array<{entry}>").alias("out"))
+        return F.aggregate(z["items"], start, step, lambda acc: acc["out"])
+
+    # A match has a code point at least, so the last BEFORE items hold the text before a chunk.
+    each = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    cut = F.transform(
+        each,
+        lambda k: F.struct(
+            F.slice(items, k * CHUNK + 1, F.lit(CHUNK)).alias("items"),
+            F.right(F.array_join(F.transform(F.slice(items, F.greatest(k * CHUNK + 1 - BEFORE, F.lit(1)), F.least(k * CHUNK, F.lit(BEFORE))), whole), ""), F.lit(BEFORE)).alias("tail"),
+        ),
+    )
+    sized = lambda c: F.aggregate(c["items"], F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["m"]))
+    chunks = "array<struct<start:int,tail:string,items:array<struct<m:string,gap:string,after:string>>>>"
+    started = F.aggregate(
+        cut,
+        F.struct(F.lit(0).alias("at"), F.array().cast(chunks).alias("out")),
+        lambda acc, c: F.struct((acc["at"] + sized(c)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), c["tail"].alias("tail"), c["items"].alias("items")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.when(F.size(items) > 0, F.flatten(F.transform(started, chunk))).otherwise(F.array().cast(f"array<{entry}>"))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """``rows`` (_row, _t) with ``_pii``."""
+    for k in KINDS:
+        none = F.array().cast("array<string>")
+        maybe = F.col("_t").rlike(k.maybe)
+        # The lookahead always holds and takes nothing, so matches are those of the pattern alone.
+        after = F.regexp_extract_all("_t", F.lit(rf"(?:{k.pattern})(?=((?s:.{{0,{AFTER}}})))"), F.lit(1))
+        rows = rows.withColumn(f"_m_{k.name}", F.when(maybe, F.regexp_extract_all("_t", F.lit(k.pattern), F.lit(0))).otherwise(none))
+        some = F.size(f"_m_{k.name}") > 0
+        rows = rows.withColumn(f"_g_{k.name}", F.when(some, F.split("_t", k.pattern, -1)).otherwise(none)).withColumn(f"_a_{k.name}", F.when(some, after).otherwise(none))
+    for k in KINDS:
+        rows = rows.withColumn(f"_i_{k.name}", zipped(*(F.col(f"_{x}_{k.name}") for x in "mga")))
+    return rows.withColumn("_pii", F.concat(*(spans(F.col(f"_i_{k.name}"), k) for k in KINDS))).select("_row", "_t", "_pii")
+
+
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """The whole row apart, so that its names can't clash with any used here, and the text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{entry}>").alias("out"))
-    return F.coalesce(F.aggregate(items, start, step, lambda acc: acc["out"]), F.array().cast(f"array<{entry}>"))
+
+def _columns(docs: DataFrame, but: str) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != but]
 
 
 def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with ``out``: array<struct<kind, start, end, score>> by kind as listed, then start."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    got = docs
-    for k in KINDS:
-        none = F.array().cast("array<string>")
-        maybe = t.rlike(k.maybe)
-        got = got.withColumn(f"_m_{k.name}", F.when(maybe, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none))
-        got = got.withColumn(f"_g_{k.name}", F.when(F.size(f"_m_{k.name}") > 0, F.split(t, k.pattern, -1)).otherwise(none))
-    parts = []
-    for k in KINDS:
-        parts.append(spans(zipped(F.col(f"_m_{k.name}"), F.col(f"_g_{k.name}")), k))
-    return got.withColumn(out, F.concat(*parts)).drop(*(f"_{x}_{k.name}" for k in KINDS for x in "mg"))
+    return _found(_rows(docs, text)).select(*_columns(docs, out), F.col("_pii").alias(out))
 
 
 def named(found: Column, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -139,18 +181,18 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null. Other columns, their names included, stay as they are.
     """
-    got = find(docs, text, out="_pii_spans")
-    by_start = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        piece = F.concat(F.substr(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["neg_end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
     def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), acc["at"] + 1))
+        return F.concat(F.array_join(acc["out"], ""), F.substr(F.col("_t"), acc["at"] + 1))
 
     clean = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, finish)
-    return got.withColumn(text, F.when(F.size("_pii_spans") == 0, F.col(text)).otherwise(clean)).drop("_pii_spans")
+    new = F.when(F.size("_pii") == 0, F.col(f"_row.`{text}`")).otherwise(clean)
+    return _found(_rows(docs, text)).select(*(new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def oracle() -> str:
@@ -169,13 +211,13 @@ def oracle() -> str:
     parts = []
     for n, k in enumerate(KINDS):
         keep = ok[k.name] + ("" if k.name in BASE else f" AND score >= {THRESHOLD}")
+        near = f"substr(t, greatest(start - {BEFORE}, 0) + 1, least(start, {BEFORE})) || ' ' || substr(t, start + length(m) + 1, {AFTER})"
         parts.append(rf"""
   SELECT doc_id, rid, {n} AS kind_no, '{k.name}' AS kind, start, start + length(m) AS "end", score FROM (
-    SELECT doc_id, rid, m, start, {k.points} + CASE WHEN regexp_matches(lower(right(gap, {BEFORE}) || ' ' || left(after, {AFTER})), '{k.context}') THEN {CONTEXT_BONUS} ELSE 0 END AS score FROM (
-      SELECT doc_id, rid, ms[i] AS m, gs[i] AS gap, gs[i + 1] AS after,
-        (sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY rid ORDER BY i) - length(ms[i]))::BIGINT AS start FROM (
-        SELECT doc_id, rid, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
-          SELECT doc_id, rid, regexp_extract_all(t, '{k.plain}') AS ms, string_split_regex(t, '{k.plain}') AS gs FROM d)))
+    SELECT doc_id, rid, m, start, {k.points} + CASE WHEN regexp_matches(lower({near}), '{k.context}') THEN {CONTEXT_BONUS} ELSE 0 END AS score FROM (
+      SELECT doc_id, rid, t, ms[i] AS m, (sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY rid ORDER BY i) - length(ms[i]))::BIGINT AS start FROM (
+        SELECT doc_id, rid, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+          SELECT doc_id, rid, t, regexp_extract_all(t, '{k.plain}') AS ms, string_split_regex(t, '{k.plain}') AS gs FROM d)))
   ) WHERE {keep}""")
     count = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}')::BIGINT AS n_{k.name}" for k in KINDS)
     return f"""
