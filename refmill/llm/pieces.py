@@ -236,23 +236,26 @@ def _encoder(model: str, alpha: float, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
         for batch in batches:
-            texts, keys = batch["_text"].to_pylist(), batch["_key"].to_numpy(zero_copy_only=False).view(np.uint64)
+            texts, keys = batch["text"].to_pylist(), batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
             for s in _slices(texts):
                 ids, count = encode(texts[s], keys[s], v)
                 offsets = np.concatenate([[0], np.cumsum(count)])
                 lossless = [decode(ids[a:b].tolist(), v) == (t or "") for a, b, t in zip(offsets, offsets[1:], texts[s], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 rows = batch.slice(s.start, s.stop - s.start)
-                yield pa.record_batch([rows[c] for c in keep] + [pa.array(count, pa.int64()), lists, pa.array(lossless, pa.bool_())], names=[*keep, "n_tokens", "token_ids", "lossless"])
+                yield pa.record_batch([rows[f"kept{i}"] for i in range(len(keep))] + [pa.array(count, pa.int64()), lists, pa.array(lossless, pa.bool_())], names=[*keep, "n_tokens", "token_ids", "lossless"])
 
     return run
 
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None, model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
-    """``keep`` columns (all, by default) with n_tokens, token_ids and lossless: whether decoding gives the text again."""
+    """``keep`` columns (all, by default) with n_tokens, token_ids and lossless: whether decoding gives the text again.
+
+    Kept columns of these three names are replaced; any other name may be kept.
+    """
     keep = tuple(docs.columns) if keep is None else keep
     keep = tuple(c for c in keep if c not in ("n_tokens", "token_ids", "lossless"))
-    seeded = docs.select(*keep, F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0"))).alias("_key"))
+    seeded = docs.select(*(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0"))).alias("key"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, token_ids array<int>, lossless boolean"
     return seeded.mapInArrow(_encoder(model, alpha, list(keep)), schema)
 

@@ -138,17 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> Mo
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and a score from 0 to 1 of each row's text."""
+    """The ``keep`` columns and a score from 0 to 1 of each row's text; a kept column named ``score`` is replaced."""
+    keep = tuple(c for c in dict.fromkeys(keep) if c != "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch[c] for c in keep] + [pa.array(model.score(_matrix(batch, "text")), pa.float64())], names=[*keep, "score"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", score double"
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes) + "score double"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     got = score(docs, fit(docs, labels))
-    return got.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

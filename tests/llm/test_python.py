@@ -70,6 +70,24 @@ def test_near_duplicates(spark, monkeypatch, block):
             assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], len(sets[r["doc_id"]]), want[r["doc_id"]] == r["doc_id"])
 
 
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    """Rows are documents of their own, also beyond the size that is broadcast."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    a, b, c = ("alpha " + " ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (5, c), (5, c), (6, a + " more")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), width=4).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (5, 5, True), (5, 5, True), (6, 1, False)]
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(9)
+    long = [rng.choice("abcdefgh") * 3 + str(rng.randrange(5000)) for _ in range(60_000)]
+    other = long[:50_000] + ["changed"] * 2 + long[50_000:]
+    rows = [(4, " ".join(long)), (3, " ".join(other)), (2, " ".join(long[:30_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {4: 3, 3: 3, 2: 2}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert [r["kept"] for r in minhash.near_duplicates(spark.createDataFrame([(1, None)], DOCS)).collect()] == [True]
@@ -286,6 +304,64 @@ def test_scores_without_labels(spark, module):
     assert module.report(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("455 7175 | 4$$ 3.14", ""),  # plain numbers and signs are no words
+        ("1d10t $tup1d m0r0n", "idiot stupid moron"),
+        ("ｉｄｉｏｔ idіоt ᴍᴏʀᴏɴ ídïöt", "idiot idiot moron idiot"),
+        ("covid19 5pm a1", "covidi spm ai"),
+        ("Ünïcode—dash x\u0301y", "unicode dash xy"),
+        ("🅘 🇦 漢字", "a"),
+    ],
+)
+def test_folding(text, words):
+    assert toxicity.fold(text).split() == words.split() or (words == "a" and toxicity.fold(text).split() in (["a"], ["i", "a"]))
+
+
+def test_matches_are_those_of_a_plain_search():
+    rng = random.Random(4)
+    lexicon = {" scum ": 2.0, " idio": 1.5, " fool ": 1.0, " trash ": 3.0}
+    vocab = ["scum", "idiot", "idiots", "fool", "foolish", "trash", "can", "bin", "pond", "a", "the", "b" * 9]
+    find = toxicity.automaton(lexicon)
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 12))))
+        spared = [(i, i + len(toxicity.fold(p))) for p in toxicity.EXCEPTIONS for i in range(len(folded)) if folded.startswith(toxicity.fold(p), i)]
+        hits = Counter()
+        for t in lexicon:
+            for i in range(len(folded)):
+                if folded.startswith(t, i) and not any(a <= i and i + len(t) <= b for a, b in spared):
+                    hits[t] += 1
+        want = (0.0, 0.0, 0.0) if not hits else (min(20.0, sum(lexicon[t] for t in hits)), max(lexicon[t] for t in hits), min(20.0, sum(lexicon[t] * n for t, n in hits.items()) / folded.count(" ") ** 0.5))
+        assert toxicity.features(folded, find) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_of_odd_rows(spark, module):
+    docs = spark.createDataFrame([(1, "You idiot."), (1, "You idiot."), (2, None), (3, ""), (None, "a word"), (5, "long words " * 200_000)], DOCS).withColumn("score", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    got = module.score(docs, module.fit(docs, labels), keep=("doc_id", "score", "text")).collect()
+    assert len(got) == 6 and all(0 <= r["score"] <= 1 for r in got)
+    report = module.report(docs, labels).collect()
+    assert all(r["held_out"] is not None for r in report) and len({r["score"] for r in report if r["doc_id"] == 1}) == 1
+
+
+def test_encoding_keeps_any_name(spark):
+    df = spark.createDataFrame([(1, "some text", "x", "y"), (1, "some text", "x", "y"), (None, None, "x", "y")], "doc_id long, text string, _text string, _key string").withColumn("kept0", F.lit(1)).withColumn("n_tokens", F.lit("mine"))
+    got = pieces.tokenize(df).collect()
+    assert [(r["_text"], r["_key"], r["kept0"]) for r in got] == [("x", "y", 1)] * 3 and got[0] == got[1] and all(r["lossless"] for r in got)
+
+
+def test_stored_tables_go(spark):
+    from refmill.llm import common
+
+    table, n = common.counted(spark.range(10).toDF("x"), "some")
+    assert n == 10 and table.count() == 10
+    common.drop(table)
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(table.stored_at).count()
+
+
 def test_exceptions_cancel():
     find = toxicity.automaton({" trash ": 3.0})
     assert toxicity.features(toxicity.fold("the TRA5H man"), find)[0] == 3.0
