@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalized, tokens, trimmed
+from .text import bound, normalized, tokens, trimmed
 
 # Weights of the score and its thresholds.
 WEIGHTS = {"title": 50, "author": 25, "year": 15, "journal": 10}
@@ -33,14 +33,21 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).when(short, 0.0).otherwise(2.0 * common / (F.size(x) + F.size(y)))
 
 
-def string_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of weighty words where both have two or more, else Dice of what there is."""
-    na, nb = normalized(a), normalized(b)
-    ta, tb = tokens(na), tokens(nb)
+def comparable(c: Column) -> Column:
+    """struct<plain, words>: what ``similarity`` compares, for computing once a text."""
+    return bound(normalized(c), lambda n: F.struct(n.alias("plain"), tokens(n).alias("words")))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Of two comparable texts: Jaccard of weighty words where both have two or more, else Dice of what there is."""
+    ta, tb = a["words"], b["words"]
     jaccard = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
-    ja, jb = F.array_join(ta, " "), F.array_join(tb, " ")
-    few = F.when((ja != "") & (jb != ""), dice(ja, jb)).otherwise(dice(na, nb))
-    return F.when((na == "") | (nb == ""), 0.0).when(na == nb, 1.0).when((F.size(ta) >= 2) & (F.size(tb) >= 2), jaccard).otherwise(few)
+    few = F.when((F.size(ta) > 0) & (F.size(tb) > 0), dice(F.array_join(ta, " "), F.array_join(tb, " "))).otherwise(dice(a["plain"], b["plain"]))
+    return F.when((a["plain"] == "") | (b["plain"] == ""), 0.0).when(a["plain"] == b["plain"], 1.0).when((F.size(ta) >= 2) & (F.size(tb) >= 2), jaccard).otherwise(few)
+
+
+def string_similarity(a: Column, b: Column) -> Column:
+    return bound(F.struct(comparable(a).alias("a"), comparable(b).alias("b")), lambda p: similarity(p["a"], p["b"]))
 
 
 def surname(name: Column) -> Column:
@@ -53,10 +60,13 @@ def surnames_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | fuzzy)
 
 
-def author_score(ref: Column, found: Column) -> Column:
+def surnames(authors: Column) -> Column:
+    """Normalised surnames of a list of names."""
+    return F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda n: normalized(surname(n))), lambda n: n != "")
+
+
+def author_score(own: Column, other: Column) -> Column:
     """Share of the reference's surnames that the candidate has."""
-    names = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda n: normalized(surname(n))), lambda n: n != "")
-    own, other = names(ref), names(found)
     hits = F.size(F.filter(own, lambda a: F.exists(other, lambda b: surnames_match(a, b))))
     return F.when((F.size(own) == 0) | (F.size(other) == 0), 0.0).otherwise(hits / F.size(own))
 
@@ -71,15 +81,23 @@ def isbn(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9Xx]", ""))
 
 
-def match_score(ref: Column, cand: Column) -> Column:
-    """0 to 100 of two structs (title, authors, year, journal, doi, isbn); an equal identifier is 100."""
-    same = lambda f, name: (f(ref[name]) != "") & (f(ref[name]) == f(cand[name]))
+def prepared(c: Column) -> Column:
+    """What a match compares of a struct (title, authors, year, journal, doi, isbn), for computing once a record."""
+    return F.struct(comparable(c["title"]).alias("title"), surnames(c["authors"]).alias("surnames"), c["year"].alias("year"), comparable(c["journal"]).alias("journal"), doi(c["doi"]).alias("doi"), isbn(c["isbn"]).alias("isbn"))
+
+
+def prepared_score(ref: Column, cand: Column) -> Column:
+    """0 to 100 of two prepared records; an equal identifier is 100."""
+    same = lambda name: (ref[name] != "") & (ref[name] == cand[name])
     apart = F.abs(ref["year"] - cand["year"])
     year = F.when(apart == 0, float(WEIGHTS["year"])).when(apart <= YEAR_TOLERANCE, WEIGHTS["year"] * 0.5).otherwise(0.0)
-    given = lambda c: F.coalesce(c, F.lit("")) != ""
-    journal = F.when(given(ref["journal"]) & given(cand["journal"]), string_similarity(ref["journal"], cand["journal"]) * WEIGHTS["journal"]).otherwise(0.0)
-    total = string_similarity(ref["title"], cand["title"]) * WEIGHTS["title"] + author_score(ref["authors"], cand["authors"]) * WEIGHTS["author"] + F.coalesce(year, F.lit(0.0)) + journal
-    return F.when(same(doi, "doi") | same(isbn, "isbn"), 100).otherwise(F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)) + 0.5).cast("int"))
+    total = similarity(ref["title"], cand["title"]) * WEIGHTS["title"] + author_score(ref["surnames"], cand["surnames"]) * WEIGHTS["author"] + F.coalesce(year, F.lit(0.0)) + similarity(ref["journal"], cand["journal"]) * WEIGHTS["journal"]
+    return F.when(same("doi") | same("isbn"), 100).otherwise(F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)) + 0.5).cast("int"))
+
+
+def match_score(ref: Column, cand: Column) -> Column:
+    """Of two structs (title, authors, year, journal, doi, isbn)."""
+    return bound(F.struct(prepared(ref).alias("a"), prepared(cand).alias("b")), lambda p: prepared_score(p["a"], p["b"]))
 
 
 def confidence(score: Column) -> Column:

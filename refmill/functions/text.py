@@ -69,8 +69,8 @@ def fold_lower(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """For comparisons: folded, without accents, lower case, other signs as single blanks."""
-    plain = F.lower(without_accents(fold_turkish(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    plain = F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), without_accents(fold_turkish(c))).otherwise(F.coalesce(c, F.lit(""))))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def tokens(normal: Column) -> Column:
@@ -81,7 +81,7 @@ def tokens(normal: Column) -> Column:
 
 def spaced(c: Column) -> Column:
     """Folded lower-case letters and digits of any script, other signs as single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold_lower(c), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(fold_lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def key_part(c: Column) -> Column:

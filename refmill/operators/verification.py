@@ -59,9 +59,11 @@ def all_candidates(refs: DataFrame, connectors: list[CatalogTableConnector]) ->
 
 
 def scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(ref_idx, api_rank, hit_rank, source, match_title, score)."""
-    both = refs.select("ref_idx", F.struct(*FIELDS).alias("ref")).join(candidates.select("ref_idx", "api_rank", "hit_rank", "source", F.struct(*FIELDS).alias("cand")), "ref_idx")
-    return both.select("ref_idx", "api_rank", "hit_rank", "source", F.col("cand.title").alias("match_title"), S.match_score(F.col("ref"), F.col("cand")).alias("score"))
+    """(ref_idx, api_rank, hit_rank, source, match_title, score). Records are normalised before they meet."""
+    ready = lambda df: S.prepared(F.struct(*(F.col(f) for f in FIELDS)))
+    left = refs.select("ref_idx", ready(refs).alias("ref"))
+    right = candidates.select("ref_idx", "api_rank", "hit_rank", "source", F.col("title").alias("match_title"), ready(candidates).alias("cand"))
+    return left.join(right, "ref_idx").select("ref_idx", "api_rank", "hit_rank", "source", "match_title", S.prepared_score(F.col("ref"), F.col("cand")).alias("score"))
 
 
 def best(scores: DataFrame) -> DataFrame:
@@ -86,3 +88,10 @@ def statistics(results: DataFrame) -> DataFrame:
 
 def source_distribution(results: DataFrame) -> DataFrame:
     return results.filter("found and source is not null").groupBy("source").agg(F.count("*").alias("n"))
+
+
+def shown(results: DataFrame, which: str = "all") -> DataFrame:
+    """The results that a list shows: ``all``, ``found`` or ``not-found``."""
+    if which not in ("all", "found", "not-found"):
+        raise ValueError(which)
+    return results if which == "all" else results.filter("found" if which == "found" else "not found")
