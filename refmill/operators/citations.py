@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as T
 
 
+#: What numbers a citation in a document.
+IDS = ("doc_id", "para_idx", "cit_no")
+
+
 def extracted(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, kind, cit_no, display, keys): one row a citation, numbered within kind and paragraph."""
-    # A name whose year's parentheses belong to a citation in parentheses is no narrative one.
-    both = F.concat(
-        F.transform(C.parenthetical(F.col("text")), lambda c, i: F.struct(F.lit("parenthetical").alias("kind"), i.alias("cit_no"), c["display"].alias("display"), c["keys"].alias("keys"))),
-        F.transform(C.narrative(F.col("text")), lambda c, i: F.struct(F.lit("narrative").alias("kind"), i.alias("cit_no"), c["display"].alias("display"), c["keys"].alias("keys"))),
-    )
-    return paragraphs.select("doc_id", "para_idx", F.explode(both).alias("c")).select("doc_id", "para_idx", "c.*")
+    """(doc_id, para_idx, cit_no, kind, display, keys, start, end): one row a citation, numbered by its place in the paragraph."""
+    return paragraphs.select("doc_id", "para_idx", F.posexplode(C.found(F.col("text"))).alias("cit_no", "c")).select("doc_id", "para_idx", "cit_no", "c.*")
 
 
 def reference_keys(references: DataFrame) -> DataFrame:
@@ -24,21 +23,24 @@ def reference_keys(references: DataFrame) -> DataFrame:
     return references.select("doc_id", "ref_idx", F.explode("keys").alias("key")).groupBy("doc_id", "key").agg(F.min("ref_idx").alias("ref_idx"))
 
 
-def _looked_up(citations: DataFrame, references: DataFrame) -> DataFrame:
-    """Citations with ``ref_idx`` of the first of their keys that a reference owns, else null."""
-    ids = ["doc_id", "para_idx", "kind", "cit_no"]
-    keyed = citations.select(*ids, F.posexplode("keys").alias("key_no", "key"))
-    hit = keyed.join(reference_keys(references), ["doc_id", "key"]).groupBy(*ids).agg(F.min_by("ref_idx", "key_no").alias("ref_idx"))
-    return citations.join(hit, ids, "left")
+def looked_up(citations: DataFrame, references: DataFrame, ids: tuple[str, ...] = IDS) -> DataFrame:
+    """Citations with ``ref_idx`` of the first of their keys that a reference owns, else null.
+
+    A citation travels with its keys and is put together again, so that it is extracted once.
+    """
+    keyed = citations.select("*", F.posexplode_outer("keys").alias("_key_no", "key")).join(reference_keys(references), ["doc_id", "key"], "left")
+    owned = F.min(F.when(F.col("ref_idx").isNotNull(), F.struct("_key_no", "ref_idx")))["ref_idx"]
+    rest = [F.first(c).alias(c) for c in citations.columns if c not in ids]
+    return keyed.groupBy(*ids).agg(*rest, owned.alias("ref_idx")).select(*citations.columns, "ref_idx")
 
 
-def matched(citations: DataFrame, references: DataFrame) -> DataFrame:
-    return _looked_up(citations, references).filter("ref_idx is not null")
+def matched(citations: DataFrame, references: DataFrame, ids: tuple[str, ...] = IDS) -> DataFrame:
+    return looked_up(citations, references, ids).filter("ref_idx is not null")
 
 
-def missing(citations: DataFrame, references: DataFrame) -> DataFrame:
+def missing(citations: DataFrame, references: DataFrame, ids: tuple[str, ...] = IDS) -> DataFrame:
     """Citations none of whose keys is in their document's bibliography; one without keys is always missing."""
-    return _looked_up(citations, references).filter("ref_idx is null").drop("ref_idx")
+    return looked_up(citations, references, ids).filter("ref_idx is null").drop("ref_idx")
 
 
 def group_key() -> Column:
@@ -46,10 +48,17 @@ def group_key() -> Column:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """(doc_id, group_key, display, keys, occurrences, paragraphs) of missing citations; paragraphs count from 1."""
-    order = F.struct("para_idx", F.when(F.col("kind") == "parenthetical", 0).otherwise(1), "cit_no")
-    return (
-        rows.withColumn("group_key", group_key())
-        .groupBy("doc_id", "group_key")
-        .agg(F.min_by("display", order).alias("display"), F.min_by("keys", order).alias("keys"), F.count("*").alias("occurrences"), F.sort_array(F.collect_set(F.col("para_idx") + 1)).alias("paragraphs"))
-    )
+    """(doc_id, group_key, display, keys, occurrences, paragraphs, items) of missing citations; paragraphs count from 1.
+
+    ``items`` are the occurrences by their place in the document, and the first of them is displayed.
+    """
+    items = F.array_sort(F.collect_list(F.struct("para_idx", "cit_no", "kind", "display", "keys", "start", "end")))
+    got = rows.withColumn("group_key", group_key()).groupBy("doc_id", "group_key").agg(items.alias("items"))
+    paragraphs = F.array_distinct(F.transform("items", lambda i: i["para_idx"] + 1))
+    return got.select("doc_id", "group_key", F.col("items")[0]["display"].alias("display"), F.col("items")[0]["keys"].alias("keys"), F.size("items").cast("long").alias("occurrences"), paragraphs.alias("paragraphs"), "items")
+
+
+def in_turkish_order(groups: DataFrame) -> DataFrame:
+    """``groups`` with ``position``, from 1 in each document: by the displayed text as Turkish sorts it."""
+    order = Window.partitionBy("doc_id").orderBy(F.collate("display", "tr"), "display", "group_key")
+    return groups.withColumn("position", F.row_number().over(order))

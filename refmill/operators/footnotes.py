@@ -22,15 +22,15 @@ def split_parts(text: Column) -> Column:
 
 
 def parts(footnotes: DataFrame) -> DataFrame:
-    """(doc_id, foot_ord, foot_id, part_idx, part)."""
-    return footnotes.select("doc_id", "foot_ord", "foot_id", F.posexplode(split_parts(F.col("text"))).alias("part_idx", "part"))
+    """(doc_id, foot_ord, foot_id, part_idx, part); a footnote without parts is one part as it stands."""
+    each = F.transform(F.array(split_parts(F.col("text"))), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.coalesce(F.col("text"), F.lit("")))))[0]
+    return footnotes.select("doc_id", "foot_ord", "foot_id", F.posexplode(each).alias("part_idx", "part"))
 
 
 def inline_keys(part: Column) -> Column:
     """Keys of citations in a part without quotes, null for none."""
-    found = F.concat(C.parenthetical(part), C.narrative(part))
-    keys = F.array_distinct(F.flatten(F.transform(found, lambda c: c["keys"])))
-    return F.when(~part.rlike(ANY_QUOTE) & (F.size(keys) > 0), keys)
+    keys = F.array_distinct(F.flatten(F.transform(C.found(part), lambda c: c["keys"])))
+    return F.when(~part.rlike(ANY_QUOTE), T.bound(keys, lambda k: F.when(F.size(k) > 0, k)))
 
 
 def shortened(rows: DataFrame, references: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def resolved(footnotes: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
-    """(doc_id, foot_ord, foot_id, kind, keys, n_parts): the first kind that is resolved, and all keys once."""
+    """(doc_id, foot_ord, foot_id, kind, keys, n_parts, resolved_from): the first kind that is resolved, and all keys once."""
     order = F.struct((F.col("kind") == "footnote-unresolved").cast("int"), "part_idx")
     ordered = F.array_sort(F.collect_list(F.struct("part_idx", "keys")))
-    return rows.groupBy("doc_id", "foot_ord", "foot_id").agg(F.min_by("kind", order).alias("kind"), F.array_distinct(F.flatten(F.transform(ordered, lambda p: p["keys"]))).alias("keys"), F.count("*").alias("n_parts"))
+    return rows.groupBy("doc_id", "foot_ord", "foot_id").agg(F.min_by("kind", order).alias("kind"), F.array_distinct(F.flatten(F.transform(ordered, lambda p: p["keys"]))).alias("keys"), F.count("*").alias("n_parts"), F.min_by("resolved_from", order).alias("resolved_from"))
