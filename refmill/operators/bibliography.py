@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, trimmed
 
+# Headings that open a bibliography, and those that end it.
 _HEADER = r"(?:^|\n)\s*(?:#+\s*)?(?i:Kaynak[çÇ]a|Kaynaklar|References|Bibliography|Referanslar)\s*\n"
 _APPENDIX = r"(?:^|\n)\s*(?:#+\s*)?(?i:EKLER|EK\s+\d+|APPENDIX|APPENDICES)(?![A-Za-z0-9_])"
 _CAPITAL = "A-ZÇĞİÖŞÜ"
@@ -40,16 +43,21 @@ def section_of_plain_text(text: Column) -> Column:
     return F.when(text.rlike(_HEADER) & (F.length(after) > 10), after).when(whole, trimmed(text))
 
 
+#: Stands before what starts an entry while texts are joined and parted again; no text holds this code point.
+_MARK = "\uffff"
+
+
+def _parted(marked: Column) -> Column:
+    """Texts joined by blanks, parted before marks: one pass, however many there are."""
+    return F.filter(F.split(F.array_join(marked, " "), f" {_MARK}"), lambda x: x != "")
+
+
 def split_entries(text: Column) -> Column:
     """Entries that run together, parted before 'Name ... (year)'; a part without a year goes to the one before."""
     pieces = F.filter(F.split(trimmed(text), _BOUNDARY), lambda p: p != "")
 
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last, p)))
-        return F.when((F.size(acc) > 0) & ~p.rlike(_YEAR), joined).otherwise(F.concat(acc, F.array(trimmed(p))))
-
-    merged = F.aggregate(pieces, F.array().cast("array<string>"), step)
+    first = lambda p, i: F.when((i > 0) & ~p.rlike(_YEAR), p).when(i > 0, F.concat(F.lit(_MARK), trimmed(p))).otherwise(trimmed(p))
+    merged = _parted(F.transform(pieces, first))
     return F.filter(merged, lambda e: F.length(e) > 5)
 
 
@@ -108,6 +116,7 @@ def parsed(entries: DataFrame, text: str = "entry") -> DataFrame:
 
 
 _NUMBER = r"^(?:\d+[.)]\s*|\[\d+\]\s*)"
+# How an entry of 'Surname, A.' starts.
 _NAME = rf"[{_CAPITAL}][a-zA-ZçğıöşüÇĞİÖŞÜ.'’-]+"
 _STRICT_AUTHOR = rf"^(?:\d+[.)]\s*|\[\d+\]\s*)?{_NAME}(?:\s+{_NAME})*,\s*[{_CAPITAL}]\."
 
@@ -119,12 +128,7 @@ def starts_entry(line: Column) -> Column:
 
 def _merged(lines: Column) -> Column:
     """Lines joined to the one before unless they start an entry."""
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), line)))
-        return F.when((F.size(acc) > 0) & ~starts_entry(line), joined).otherwise(F.concat(acc, F.array(line)))
-
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    return _parted(F.transform(lines, lambda line, i: F.when((i > 0) & starts_entry(line), F.concat(F.lit(_MARK), line)).otherwise(line)))
 
 
 def entries_of(section_text: Column) -> Column:
@@ -143,9 +147,9 @@ def entries_of(section_text: Column) -> Column:
     return F.when(is_numbered, numbered).when(F.size(by_block) > 1, by_block).otherwise(by_line)
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref_idx, entry) of the bibliography sections of (doc_id, text); numbers keep the order of the text."""
-    found = docs.select("doc_id", F.explode(F.filter(F.array(section(F.col("text"))), lambda s: s.isNotNull())).alias("s"))
+def references(docs: DataFrame, part: Callable[[Column], Column] = section) -> DataFrame:
+    """(doc_id, ref_idx, entry) of the bibliographies of (doc_id, text), which ``part`` takes from a text; numbers keep its order."""
+    found = docs.select("doc_id", F.explode(F.filter(F.array(part(F.col("text"))), lambda s: s.isNotNull())).alias("s"))
     blocks = found.select("doc_id", F.posexplode(entries_of(F.col("s"))).alias("block", "e"))
     parts = blocks.select("doc_id", "block", F.posexplode(split_entries(F.col("e"))).alias("part", "entry"))
     order = Window.partitionBy("doc_id").orderBy("block", "part")

@@ -14,24 +14,41 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def running_form(line: Column) -> Column:
-    """Lower case, without page numbers, blanks joined."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"(?<![A-Za-z0-9_])\d{1,4}(?![A-Za-z0-9_])", ""), r"\s+", " "))
+    """Lower case, blanks for page numbers, blanks joined."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"(?<![A-Za-z0-9_])\d{1,4}(?![A-Za-z0-9_])", " "), r"\s+", " "))
 
 
-def running_lines(rows: DataFrame, page: str = "doc_id", least_length: int = 8, least_pages: int = 3) -> DataFrame:
-    """(form, pages): lines that stand on ``least_pages`` pages or more, page numbers aside."""
-    form = rows.select(page, running_form(F.col("line")).alias("form")).filter(F.length("form") >= least_length)
-    return form.distinct().groupBy("form").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+#: Pages at least, and the share of a document's pages, on which a running line stands.
+LEAST_PAGES, LEAST_SHARE = 3, 0.4
 
 
-def without_running_lines(rows: DataFrame, page: str = "doc_id") -> DataFrame:
-    """``rows`` whose form isn't a running line."""
-    return rows.withColumn("_form", running_form(F.col("line"))).join(running_lines(rows, page).select(F.col("form").alias("_form")), "_form", "left_anti").drop("_form")
+def paged(rows: DataFrame, per_page: int) -> DataFrame:
+    """Lines (doc_id, line_no, line) with ``page_no``, from 1."""
+    return rows.withColumn("page_no", F.floor(F.col("line_no") / per_page).cast("int") + 1)
+
+
+def running_lines(rows: DataFrame, least_length: int = 8) -> DataFrame:
+    """(doc_id, form, pages): a document's lines that stand on enough of its pages, page numbers aside.
+
+    ``rows`` has doc_id, page_no (from 1) and line. Pages are gathered before rows are shuffled: a form travels once.
+    """
+    pages = rows.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
+    forms = rows.select("doc_id", "page_no", running_form(F.col("line")).alias("form")).filter(F.length("form") >= least_length)
+    forms = forms.groupBy("doc_id", "form").agg(F.size(F.collect_set("page_no")).cast("long").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    return forms.join(pages, "doc_id").filter(F.col("pages") >= F.ceil(F.col("n_pages") * LEAST_SHARE)).drop("n_pages")
+
+
+def without_running_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` whose form isn't a running line of their document."""
+    running = running_lines(rows).select("doc_id", F.col("form").alias("_form"))
+    return rows.withColumn("_form", running_form(F.col("line"))).join(running, ["doc_id", "_form"], "left_anti").drop("_form")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """(doc_id, para_idx, text, n_lines) of (doc_id, line_no, line): a line goes on if the one before has no sentence end.
 
+    Lines with a page_no give paragraphs the page on which they start.
+
     It also goes on after a hyphen, which is dropped, and when it starts in lower case.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -40,4 +57,5 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     numbered = rows.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("para_idx", F.sum("new").over(order) - 1)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     joined = F.aggregate(parts, F.lit(""), lambda acc, x: F.when(acc == "", x).when(acc.rlike("-$") & ~acc.rlike(r"(?i)https?:|www\."), F.concat(F.regexp_replace(acc, "-$", ""), x)).otherwise(F.concat(acc, F.lit(" "), x)))
-    return numbered.groupBy("doc_id", "para_idx").agg(joined.alias("text"), F.count("*").alias("n_lines"))
+    pages = [F.min("page_no").alias("page_no")] if "page_no" in rows.columns else []
+    return numbered.groupBy("doc_id", "para_idx").agg(joined.alias("text"), F.count("*").alias("n_lines"), *pages)

@@ -13,6 +13,7 @@ from ..functions import records as R
 from ..functions.citations import is_references_heading
 from ..functions.text import B, bound, trimmed
 from .footnotes import ANY_QUOTE, REPEAT, shortened
+from .layout import without_running_lines
 
 # The margins of a page, and the distances that part lines.
 TOP, BOTTOM = 640, 25
@@ -160,6 +161,13 @@ def markdown(lines: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page_no").agg(F.array_join(ordered("_block", "block"), "\n\n").alias("text"))
 
 
+def document_markdown(lines: DataFrame) -> DataFrame:
+    """(doc_id, text): the pages of each document without its running lines, as Markdown, parted by blank lines."""
+    kept = without_running_lines(lines.withColumn("line", F.col("text"))).drop("line")
+    pages = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return markdown(kept).groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n\n").alias("text"))
+
+
 def footnotes_in_body(paragraphs: DataFrame, references: DataFrame) -> DataFrame:
     """(doc_id, foot_ord, foot_id, text, page_no) of body paragraphs that start with a number and cite something.
 
