@@ -57,6 +57,41 @@ def verification_url(s: Column) -> Column:
     return F.when((s["type"] == "web") & (s["url"] != ""), s["url"]).when(s["type"] == "book", F.concat(F.lit(GOOGLE), query)).otherwise(F.concat(F.lit(SCHOLAR), query))
 
 
+def verification_target(s: Column) -> Column:
+    """struct<kind, label, url>: where a reference can be looked up."""
+    kind = F.when((s["type"] == "web") & (s["url"] != ""), "web").when(s["type"] == "book", "google").otherwise("scholar")
+    return F.struct(kind.alias("kind"), F.initcap(kind).alias("label"), verification_url(s).alias("url"))
+
+
+def record(number: Column, display: Column, s: Column, accessed: str) -> Column:
+    """The verification record of a reference, ``number`` counting from 1: its fields, its look-up and its exports."""
+    target = verification_target(s)
+    fields = {
+        "id": F.concat(F.lit("src-"), number.cast("string")),
+        "display": display,
+        "title": F.coalesce(_some(s["title"]), display),
+        "author": F.coalesce(s["author_text"], F.lit("")),
+        "year": F.coalesce(s["year"], F.lit("")),
+        "type": F.coalesce(_some(s["type"]), F.lit("web")),
+        "doi": extract_doi(display, s["doi"]),
+        "url": F.coalesce(s["url"], F.lit("")),
+        "verification_url": target["url"],
+        "verification_label": target["label"],
+        "verification_kind": target["kind"],
+        "query": lookup_query(s),
+        "status": status(display, s),
+        "csl": csl(number, display, s, accessed),
+        "ris": ris(display, s),
+        "bibtex": bibtex(display, s),
+    }
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
+def paragraph_list(paragraphs: Column) -> Column:
+    """Numbers of paragraphs as a list to be read; a dash for none."""
+    return F.when(F.size(paragraphs) > 0, F.array_join(F.transform(paragraphs, lambda p: p.cast("string")), ", ")).otherwise("-")
+
+
 def issued_year(s: Column) -> Column:
     """The number a year starts with, else its text."""
     number = F.regexp_extract(s["year"], r"^\s*(\d+)", 1)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import export as X
 from ..functions import records as R
 from ..functions.citations import is_references_heading
 from ..functions.text import visible
 from ..operators import bibliography as B
 from ..operators import citations as OC
+from ..operators import footnotes as OF
+from ..operators import layout as L
+from ..operators import pages as P
 
 
 def paragraphs_of(docs: DataFrame) -> DataFrame:
@@ -28,19 +32,77 @@ def references_of(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, ref_idx, para_idx, display, keys, structured) of bibliography paragraphs, entries that run together apart."""
     bare = F.regexp_replace("text", r"^\[\d+\]\s*", "")
     entries = paragraphs.filter("part = 'bibliography' and text <> ''").select("doc_id", "para_idx", F.posexplode(B.split_entries(bare)).alias("part_no", "entry"))
-    # Numbers that grow with the order in the document; they need no gaps closed.
-    entries = entries.withColumn("ref_idx", F.col("para_idx").cast("long") * 1_000 + F.col("part_no")).drop("part_no")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx", "part_no")) - 1
+    entries = entries.withColumn("ref_idx", number.cast("long")).drop("part_no")
     return R.parsed(entries).drop("entry")
 
 
-def audit(docs: DataFrame) -> dict[str, DataFrame]:
-    """Tables ``citations``, ``references``, ``missing`` (grouped) and ``diagnostics`` of (doc_id, text) documents."""
-    paragraphs = split_at_heading(paragraphs_of(docs))
-    cites = OC.extracted(paragraphs.filter("part = 'body'"))
-    refs = references_of(paragraphs)
-    gaps = OC.missing(cites, refs)
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+FOOT_IDS = ("doc_id", "foot_ord", "part_idx")
+
+
+def audited_footnotes(footnotes: DataFrame, references: DataFrame) -> dict[str, DataFrame]:
+    """Tables ``footnotes`` (parts with kind and keys), ``missing_footnotes`` (grouped) and ``unresolved_footnotes``.
+
+    ``footnotes`` has doc_id, foot_ord, foot_id, text; ``references`` doc_id, ref_idx, keys, title, families. A part
+    with keys is missing if no reference of its document owns one of them, and a part without keys is unresolved.
+    """
+    parts = OF.resolved(footnotes, references)
+    gaps = OC.missing(parts.filter(F.size("keys") > 0), references, FOOT_IDS)
+    order = F.struct("foot_ord", "part_idx", "foot_id", "part", "keys")
+    groups = gaps.withColumn("display", F.col("part")).withColumn("group_key", OC.group_key()).groupBy("doc_id", "group_key").agg(F.array_sort(F.collect_list(order)).alias("items"))
+    first = F.col("items")[0]
+    groups = groups.select("doc_id", "group_key", first["part"].alias("display"), first["keys"].alias("keys"), F.size("items").cast("long").alias("occurrences"), F.array_distinct("items.foot_id").alias("foot_ids"))
+    return {"footnotes": parts, "missing_footnotes": groups, "unresolved_footnotes": parts.filter(F.size("keys") == 0)}
+
+
+def records(references: DataFrame, accessed: str) -> DataFrame:
+    """(doc_id, ref_idx, id, display, ...): the verification record of each reference, numbered in its document from 1."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_idx"))
+    rows = references.withColumn("number", number).select("doc_id", "ref_idx", X.record(F.col("number"), F.col("display"), F.col("structured"), accessed).alias("r"))
+    return rows.select("doc_id", "ref_idx", "r.*")
+
+
+def _audited(paragraphs: DataFrame, refs: DataFrame, footnotes: DataFrame | None, accessed: str) -> dict[str, DataFrame]:
+    """The tables of an audit, of (doc_id, para_idx, part, text) paragraphs and their references."""
+    cites = OC.looked_up(OC.extracted(paragraphs.filter("part = 'body'")), refs)
+    out = {"citations": cites.drop("ref_idx"), "references": refs, "missing": OC.grouped(cites.filter("ref_idx is null")), "records": records(refs, accessed)}
     whole = paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("part") == "body").alias("body_paragraphs"), F.max((F.col("part") == "heading").cast("int")).cast("boolean").alias("has_bibliography"))
-    for df, name in ((cites, "citations"), (refs, "references"), (gaps, "missing")):
-        whole = whole.join(count(df, name), "doc_id", "left")
-    return {"citations": cites, "references": refs, "missing": OC.grouped(gaps), "diagnostics": whole.fillna(0, ["citations", "references", "missing"])}
+    counts = [cites.groupBy("doc_id").agg(F.count("*").alias("citations"), F.count_if(F.col("ref_idx").isNull()).alias("missing"))]
+    counts.append(refs.groupBy("doc_id").agg(F.count("*").alias("references")))
+    if footnotes is not None:
+        out |= audited_footnotes(footnotes, _titled(refs))
+        counts.append(out["footnotes"].groupBy("doc_id").agg(F.count_distinct("foot_ord").alias("footnotes"), F.count_if(F.size("keys") == 0).alias("unresolved_footnotes")))
+    for c in counts:
+        whole = whole.join(c, "doc_id", "left")
+    return out | {"diagnostics": whole.fillna(0, [n for c in counts for n in c.columns if n != "doc_id"])}
+
+
+def _titled(refs: DataFrame) -> DataFrame:
+    return refs.select("doc_id", "ref_idx", "keys", "structured.title", F.col("structured.authors.family").alias("families"))
+
+
+def audit(docs: DataFrame, footnotes: DataFrame | None = None, accessed: str = "2024-01-31") -> dict[str, DataFrame]:
+    """Tables ``citations``, ``references``, ``missing`` (grouped), ``records`` and ``diagnostics`` of (doc_id, text) documents.
+
+    With ``footnotes`` (doc_id, foot_ord, foot_id, text) also those of :func:`audited_footnotes`, which are counted too.
+    """
+    paragraphs = split_at_heading(paragraphs_of(docs))
+    return _audited(paragraphs, references_of(paragraphs), footnotes, accessed)
+
+
+def audit_pages(lines: DataFrame, accessed: str = "2024-01-31") -> dict[str, DataFrame]:
+    """The tables of :func:`audit`, footnotes included, of page lines (doc_id, page_no, line_no, text, min_x, max_x, y).
+
+    Margins, running lines and headers go, columns are put in order, and lines are joined to paragraphs and entries;
+    footnotes are the body's paragraphs that start with a number and cite something.
+    """
+    inside = P.within_margins(lines)
+    running = L.without_running_lines(inside.withColumn("line", F.col("text"))).drop("line")
+    parted = P.sections(P.in_columns(P.without_headers(running)))
+    body = L.paragraphs(parted.filter("part = 'body'").select("doc_id", F.col("reading").alias("line_no"), F.col("text").alias("line"), "page_no"))
+    entries = P.bibliography_paragraphs(parted.filter("part = 'bibliography'"))
+    refs = references_of(entries.withColumn("part", F.lit("bibliography")))
+    notes = P.footnotes_in_body(body, _titled(refs))
+    heads = parted.filter("part = 'heading'").select("doc_id", F.lit(-1).cast("long").alias("para_idx"), "text", "part")
+    paragraphs = body.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text", F.lit("body").alias("part")).unionByName(heads).unionByName(entries.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text", F.lit("bibliography").alias("part")))
+    return _audited(paragraphs, refs, notes, accessed)

@@ -113,13 +113,15 @@ def string_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 # -- citations ------------------------------------------------------------------------------------------------
 
-# In the views names are plain ASCII words, so their keys need no more than lower case.
-_CITED = f"""SELECT doc_id, para_idx, kind, cit_no, display, keys FROM (
-  SELECT p_partkey % 100 AS doc_id, p_partkey AS para_idx, 'parenthetical' AS kind, 0 AS cit_no, concat({Y.FAMILY}, ', ', {Y.YEAR}) AS display, [lower({Y.FAMILY}) || ':' || {Y.YEAR}] AS keys FROM part
-  UNION ALL SELECT p_partkey % 100, p_partkey, 'parenthetical', 1, concat('see ', {Y.FIRST}, ' & ', {Y.FAMILY}, ', ', cast(1950 + p_partkey % 50 as string), 'a'),
-    list_distinct([lower({Y.FIRST}) || ':' || cast(1950 + p_partkey % 50 as string) || 'a', lower({Y.FAMILY}) || ':' || cast(1950 + p_partkey % 50 as string) || 'a']) FROM part
-  UNION ALL SELECT p_partkey % 100, p_partkey, 'narrative', 0, concat({Y.FIRST}, ' and ', {Y.FAMILY}, ' (', {Y.YEAR}, ')'), list_distinct([lower({Y.FIRST}) || ':' || {Y.YEAR}, lower({Y.FAMILY}) || ':' || {Y.YEAR}]) FROM part)"""
-_REFS = Y.REFERENCES.replace("FROM part", ", lower(" + Y.FAMILY + ") || ':' || " + Y.YEAR + " AS key FROM part")
+# All names of the views but one are plain ASCII words, so their keys need no more than lower case.
+_CITED = f"""SELECT {Y.DOC} AS doc_id, p_partkey AS para_idx, c.kind AS kind, c.no AS cit_no, c.display AS display, list_distinct(c.keys) AS keys FROM (SELECT *, unnest([
+    {{'no': 0, 'kind': 'narrative', 'display': concat({Y.FIRST}, ' (', {Y.YEAR}, ')'), 'keys': [lower({Y.FIRST}) || ':' || {Y.YEAR}]}},
+    {{'no': 1, 'kind': 'parenthetical', 'display': concat('see ', {Y.FIRST}, ', ', {Y.YEAR}), 'keys': [lower({Y.FIRST}) || ':' || {Y.YEAR}]}},
+    {{'no': 2, 'kind': 'parenthetical', 'display': concat({Y.FAMILY}, ', ', {Y.YEAR}), 'keys': [lower({Y.FAMILY}) || ':' || {Y.YEAR}]}},
+    {{'no': 3, 'kind': 'parenthetical', 'display': concat('see ', {Y.FIRST}, ' & ', {Y.FAMILY}, ', ', {Y.OTHER_YEAR}, 'a'), 'keys': [lower({Y.FIRST}) || ':' || {Y.OTHER_YEAR} || 'a', lower({Y.FAMILY}) || ':' || {Y.OTHER_YEAR} || 'a']}},
+    {{'no': 4, 'kind': 'parenthetical', 'display': concat('Öztürk & World Bank, ', {Y.YEAR}), 'keys': ['ozturk:' || {Y.YEAR}, 'worldbank:' || {Y.YEAR}]}},
+    {{'no': 5, 'kind': 'narrative', 'display': concat({Y.FIRST}, ' and ', {Y.FAMILY}, ' (', {Y.YEAR}, ')'), 'keys': [lower({Y.FIRST}) || ':' || {Y.YEAR}, lower({Y.FAMILY}) || ':' || {Y.YEAR}]}}]) AS c FROM part)"""
+_REFS = Y.LISTED.replace("FROM part", ", lower(" + Y.FAMILY + ") || ':' || " + Y.YEAR + " AS key FROM part")
 _MATCH = f"""{Y.named(cited=_CITED, refs=_REFS)}, hit AS (SELECT c.doc_id, c.para_idx, c.kind, c.cit_no, min(r.ref_idx) AS ref_idx FROM (SELECT *, unnest(keys) AS key FROM cited) c JOIN refs r ON c.doc_id = r.doc_id AND c.key = r.key GROUP BY ALL)"""
 _MISSING = _MATCH + ", missing AS (SELECT c.* FROM cited c ANTI JOIN hit h ON c.doc_id = h.doc_id AND c.para_idx = h.para_idx AND c.kind = h.kind AND c.cit_no = h.cit_no)"
 _KEYS = "array_to_string(list_sort(keys), '|')"
@@ -130,7 +132,7 @@ def _citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    r = Y.view(spark, d, Y.REFERENCES)
+    r = Y.view(spark, d, Y.LISTED)
     return r.withColumn("keys", F.array(T.key(F.col("family"), F.col("year")))).withColumn("families", F.array("family"))
 
 
@@ -163,7 +165,7 @@ def matched_citations(spark: SparkSession, d: str) -> DataFrame:
     return OC.matched(_citations(spark, d), _references(spark, d)).groupBy("doc_id", "para_idx", "kind", "cit_no").agg(F.count("*").alias("n"))
 
 
-@query(_MISSING + f""", g AS (SELECT *, {_KEYS} AS group_key, row_number() OVER (PARTITION BY doc_id, {_KEYS} ORDER BY para_idx, CASE kind WHEN 'parenthetical' THEN 0 ELSE 1 END, cit_no) AS n FROM missing)
+@query(_MISSING + f""", g AS (SELECT *, {_KEYS} AS group_key, row_number() OVER (PARTITION BY doc_id, {_KEYS} ORDER BY para_idx, cit_no) AS n FROM missing)
   SELECT doc_id, group_key, max(display) FILTER (WHERE n = 1) AS display, count(*) AS occurrences, array_to_string(list_sort(list_distinct(list(para_idx + 1))), ',') AS paragraphs FROM g GROUP BY ALL""")
 def missing_grouped(spark: SparkSession, d: str) -> DataFrame:
     rows = OC.grouped(OC.missing(_citations(spark, d), _references(spark, d)))
@@ -346,10 +348,12 @@ def isnad_format(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "SELECT doc_id, CAST(i - 1 AS INT) AS line_no, trim(ls[i]) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(ls[i]) <> ''"
 
 
-@query(f"""WITH l AS ({_LINES}), f AS (SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(lower(line), '\\b\\d{{1,4}}\\b', '', 'g'), '\\s+', ' ', 'g')) AS form FROM l)
-  SELECT form, count(*) AS pages FROM f WHERE length(form) >= 8 GROUP BY form HAVING count(*) >= 3""")
+@query(f"""WITH l AS (SELECT *, line_no // 4 AS page_no FROM ({_LINES})), n AS (SELECT doc_id, max(page_no) + 1 AS n_pages FROM l GROUP BY doc_id),
+f AS (SELECT DISTINCT doc_id, page_no, trim(regexp_replace(regexp_replace(lower(line), '\\b\\d{{1,4}}\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS form FROM l)
+  SELECT doc_id, form, count(*) AS pages FROM f JOIN n USING (doc_id) WHERE length(form) >= 8 GROUP BY doc_id, form, n_pages HAVING count(*) >= greatest(3, ceil(n_pages * 0.4))""")
 def running_lines(spark: SparkSession, d: str) -> DataFrame:
-    return L.running_lines(L.lines(_docs(spark, d)))
+    """Of documents in pages of four lines."""
+    return L.running_lines(L.paged(L.lines(_docs(spark, d)), 4))
 
 
 @query(f"""WITH l AS ({_LINES}), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM l),
@@ -374,15 +378,15 @@ def section_references(spark: SparkSession, d: str) -> DataFrame:
     return B.references(docs).select("doc_id", F.col("ref_idx").alias("ref_no"), "entry")
 
 
-@query(_BEST + """, r AS (SELECT ref_idx % 100 AS doc_id, found, row_number() OVER (PARTITION BY ref_idx % 100, found ORDER BY ref_idx) || '. ' || entry || CASE WHEN found THEN chr(10) || '   ' || source || ' | ' || score || '/100' ELSE '' END AS line,
-    row_number() OVER (PARTITION BY ref_idx % 100, found ORDER BY ref_idx) AS n FROM verified JOIN refs USING (ref_idx))
+@query(_BEST + """, r AS (SELECT doc_id, found, row_number() OVER (PARTITION BY doc_id, found ORDER BY ref_idx) || '. ' || entry || CASE WHEN found THEN chr(10) || '   ' || source || ' | ' || score || '/100' ELSE chr(10) || '   Authors: ' || family || ', ' || initial || '.' || chr(10) || '   Year: ' || year END AS line,
+    row_number() OVER (PARTITION BY doc_id, found ORDER BY ref_idx) AS n FROM verified JOIN refs USING (ref_idx))
   SELECT doc_id, 'Date: 2024-01-31' || chr(10) || 'References: ' || count(*) || chr(10) || 'Found: ' || count(*) FILTER (WHERE found) || chr(10) || 'Not found: ' || count(*) FILTER (WHERE NOT found) || chr(10) || 'Rate: ' || CAST(floor(count(*) FILTER (WHERE found) * 100 / count(*) + 0.5) AS BIGINT) || '%'
     || chr(10) || chr(10) || 'FOUND' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (WHERE found), '') || chr(10) || chr(10) || 'NOT FOUND' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (WHERE NOT found), '') AS report FROM r GROUP BY doc_id""")
 def verification_report(spark: SparkSession, d: str) -> DataFrame:
     from ..sources import reports
 
-    refs = Y.view(spark, d, Y.REFERENCES).select("ref_idx", "doc_id", F.col("entry").alias("original_text"))
-    return reports.verification_report(_verified(spark, d).join(refs, "ref_idx").withColumn("doc_id", F.col("ref_idx") % 100).withColumn("doi", F.lit("")), "2024-01-31")
+    refs = Y.view(spark, d, Y.REFERENCES).select("ref_idx", "doc_id", F.col("entry").alias("original_text"), F.array(F.concat("family", F.lit(", "), "initial", F.lit("."))).alias("authors"), "year")
+    return reports.verification_report(_verified(spark, d).join(refs, "ref_idx").withColumn("doi", F.lit("")), "2024-01-31")
 
 
 @query(f"""{Y.named(refs=Y.REFERENCES)} SELECT ref_idx, initial || '. ' || family AS author_text, year, title, journal || ', ' || regexp_extract(entry, 'Journal, (.*)[.]$', 1) AS container, 'article' AS type,
@@ -397,12 +401,12 @@ def record_parse(spark: SparkSession, d: str) -> DataFrame:
 def _manuscripts(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts: the body's paragraphs, a heading, and the bibliography, of each document of the views."""
     lines = lambda df, n, c, o: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda x: x[c]), "\n").alias(n))
-    body, refs = lines(Y.view(spark, d, Y.PARAGRAPHS), "body", "text", "para_idx"), lines(Y.view(spark, d, Y.REFERENCES), "refs", "entry", "ref_idx")
+    body, refs = lines(Y.view(spark, d, Y.PARAGRAPHS), "body", "text", "para_idx"), lines(Y.view(spark, d, Y.LISTED), "refs", "entry", "ref_idx")
     return body.join(refs, "doc_id").select("doc_id", F.concat_ws("\n", "body", F.lit("Kaynakça"), "refs").alias("text"))
 
 
-@query(_MISSING + f""", n AS (SELECT doc_id, count(*) AS n_refs FROM refs GROUP BY doc_id), b AS (SELECT p_partkey % 100 AS doc_id, count(*) AS body FROM part GROUP BY ALL), m AS (SELECT doc_id, count(*) AS missing FROM missing GROUP BY doc_id)
-  SELECT doc_id, body + 1 + n_refs AS paragraphs, body AS body_paragraphs, 3 * body AS citations, n_refs AS "references", coalesce(missing, 0) AS missing FROM n JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""")
+@query(_MISSING + f""", n AS (SELECT doc_id, count(*) AS n_refs FROM refs GROUP BY doc_id), b AS (SELECT {Y.DOC} AS doc_id, count(*) AS body FROM part GROUP BY ALL), m AS (SELECT doc_id, count(*) AS missing FROM missing GROUP BY doc_id)
+  SELECT doc_id, body + 1 + n_refs AS paragraphs, body AS body_paragraphs, 6 * body AS citations, n_refs AS "references", coalesce(missing, 0) AS missing FROM n JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def audit_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     from .audit import audit
 
@@ -434,3 +438,45 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import pages
 
     return pages.markdown(_page_lines(spark, d))
+
+
+_AUDITED = _MATCH + f""", notes AS ({Y.NOTES}), own AS (SELECT n.doc_id, foot_ord, foot_id, text, CASE WHEN foot_ord % 3 = 0 THEN lower({Y.FAMILY}) || ':' || {Y.YEAR} END AS own FROM notes n JOIN part ON p_partkey = foot_ord
+), keyed AS (SELECT *, CASE foot_ord % 3 WHEN 0 THEN own WHEN 1 THEN lag(own) OVER (PARTITION BY doc_id ORDER BY foot_ord) END AS key FROM own)"""
+
+
+def _audited_notes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    from .audit import audit
+
+    return audit(_manuscripts(spark, d), Y.view(spark, d, Y.NOTES))
+
+
+@query(_AUDITED + """, gaps AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY foot_ord) AS n FROM keyed k WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = k.doc_id AND r.key = k.key))
+  SELECT doc_id, key AS group_key, max(text) FILTER (WHERE n = 1) AS display, count(*) AS occurrences, string_agg(foot_id, ',' ORDER BY foot_ord) AS foot_ids FROM gaps GROUP BY doc_id, key""")
+def missing_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    return _audited_notes(spark, d)["missing_footnotes"].select("doc_id", "group_key", "display", "occurrences", F.array_join("foot_ids", ",").alias("foot_ids"))
+
+
+@query(_AUDITED + " SELECT doc_id, foot_ord, text AS part FROM keyed WHERE key IS NULL")
+def unresolved_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    return _audited_notes(spark, d)["unresolved_footnotes"].select("doc_id", "foot_ord", "part")
+
+
+@query(_AUDITED + " SELECT doc_id, count(*) AS footnotes, count(*) FILTER (WHERE key IS NULL) AS unresolved_footnotes FROM keyed GROUP BY doc_id")
+def footnote_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _audited_notes(spark, d)["diagnostics"].select("doc_id", "footnotes", "unresolved_footnotes")
+
+
+@query(_ITEMS + """ SELECT ref_idx, 'src-' || row_number() OVER (PARTITION BY cast(floor(ref_idx / 100) as bigint) ORDER BY ref_idx) AS id, title, given || ' ' || family AS author, year, type, doi, CASE WHEN type = 'web' THEN 'web' WHEN type = 'book' THEN 'google' ELSE 'scholar' END AS verification_kind,
+  CASE WHEN type = 'web' THEN 'Web' WHEN type = 'book' THEN 'Google' ELSE 'Scholar' END AS verification_label, title || ' ' || given || ' ' || family || ' ' || year AS query FROM items""")
+def verification_records(spark: SparkSession, d: str) -> DataFrame:
+    from .audit import records
+
+    rows = _structured(spark, d).select(F.floor(F.col("ref_idx") / 100).alias("doc_id"), "ref_idx", "display", F.col("s").alias("structured"))
+    return records(rows, "2024-01-31").select("ref_idx", "id", "title", "author", "year", "type", "doi", "verification_kind", "verification_label", "query")
+
+
+@query()
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import reports
+
+    return reports.audit_report(_audited_notes(spark, d), "2024-01-31", footnotes=True)

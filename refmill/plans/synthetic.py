@@ -10,21 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 FAMILY = "concat(upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2))"
 FIRST = "concat(upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2))"
 YEAR = "cast(1950 + p_partkey % 70 as string)"
+OTHER_YEAR = "cast(1950 + p_partkey % 50 as string)"
+#: A hundred parts make a document, so documents keep their size and grow in number.
+DOC = "cast(floor(p_partkey / 100) as bigint)"
 
-#: One bibliography entry a part; a document has those with p_partkey % 100.
-REFERENCES = f"""SELECT p_partkey AS ref_idx, p_partkey % 100 AS doc_id, {FAMILY} AS family, upper(substr(p_name, 1, 1)) AS initial, {YEAR} AS year,
+#: One bibliography entry a part.
+REFERENCES = f"""SELECT p_partkey AS ref_idx, {DOC} AS doc_id, {FAMILY} AS family, upper(substr(p_name, 1, 1)) AS initial, {YEAR} AS year,
   concat(p_name, ' ', p_type) AS title, concat(p_brand, ' Journal') AS journal,
   concat({FAMILY}, ', ', upper(substr(p_name, 1, 1)), '. (', {YEAR}, '). ', p_name, ' ', p_type, '. ', p_brand, ' Journal, ', cast(p_size as string), '(', cast(p_partkey % 12 + 1 as string), '), ',
     cast(p_partkey % 100 + 1 as string), '-', cast(p_partkey % 100 + 9 as string), '.') AS entry
-FROM part WHERE p_partkey % 3 <> 0"""
+FROM part"""
+#: Bibliographies that leave out a third of what is cited, for the queries that look for missing entries.
+LISTED = f"{REFERENCES} WHERE p_partkey % 3 <> 0"
+
+#: One paragraph a part, with six citations: two in the text, one of them before its parenthesis, and four in
+#: parentheses; one of those is written twice, one has a letter beyond ASCII and a corporate name.
+PARAGRAPHS = f"""SELECT p_partkey AS para_idx, {DOC} AS doc_id,
+  concat({FIRST}, ' (', {YEAR}, ') says so (see ', {FIRST}, ', ', {YEAR}, '). Earlier work (', {FAMILY}, ', ', {YEAR}, '; ', {FAMILY}, ', ', {YEAR}, '; see ', {FIRST}, ' & ', {FAMILY}, ', ', {OTHER_YEAR}, 'a; Öztürk & World Bank, ', {YEAR}, ') and ',
+    {FIRST}, ' and ', {FAMILY}, ' (', {YEAR}, ') agree, against (', p_type, ') in ', p_brand, '.') AS text
+FROM part"""
 
-#: One paragraph a part, with two citations in parentheses and one in the text.
-PARAGRAPHS = f"""SELECT p_partkey AS para_idx, p_partkey % 100 AS doc_id,
-  concat('Earlier work (', {FAMILY}, ', ', {YEAR}, '; see ', {FIRST}, ' & ', {FAMILY}, ', ', cast(1950 + p_partkey % 50 as string), 'a) and ', {FIRST}, ' and ', {FAMILY}, ' (', {YEAR}, ') agree, against (', p_type, ') in ', p_brand, '.') AS text
+#: Footnotes: a citation, a repetition of the last one, and one that cites nothing.
+NOTES = f"""SELECT {DOC} AS doc_id, p_partkey AS foot_ord, cast(p_partkey as string) AS foot_id,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('(', {FAMILY}, ', ', {YEAR}, ')') WHEN p_partkey % 3 = 1 THEN concat('Ibid., p. ', cast(p_size as string), '.') ELSE concat('Nothing is cited in note ', cast(p_size as string), '.') END AS text
 FROM part"""
 
 #: Footnotes of four kinds.
-FOOTNOTES = f"""SELECT p_partkey % 100 AS doc_id, p_partkey AS foot_ord, cast(p_partkey as string) AS foot_id,
+FOOTNOTES = f"""SELECT {DOC} AS doc_id, p_partkey AS foot_ord, cast(p_partkey as string) AS foot_id,
   CASE WHEN p_partkey % 4 = 0 THEN concat('(', {FAMILY}, ', ', {YEAR}, ')')
     WHEN p_partkey % 4 = 1 THEN concat('Ibid., p. ', cast(p_size as string), '.')
     WHEN p_partkey % 4 = 2 THEN concat({FAMILY}, ', “', p_name, ' ', p_type, '; more”, ', cast(p_size as string), '; ', {FIRST}, ', other.')

@@ -87,6 +87,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, text) of a folder of mixed files, by their endings: docx, txt, or unsupported with a null text."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"])
+    docx = paragraphs(docx_parts(files.filter("ending = 'docx'"))).groupBy("path").agg(F.lit("docx").alias("kind"), F.array_join(lines, "\n").alias("text"))
+    other = files.filter("ending <> 'docx'")
+    plain = F.col("ending").isin("txt", "text", "md")
+    return docx.unionByName(other.select("path", F.when(plain, "txt").otherwise("unsupported").alias("kind"), F.when(plain, F.decode("content", "UTF-8")).alias("text")))
+
+
 def pasted(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Texts given as they are; under ten characters is an error."""
     if any(len(t.strip()) < 10 for t in texts):

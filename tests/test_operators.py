@@ -131,11 +131,91 @@ def test_pdf_lines(spark):
 
 
 def test_running_lines_and_paragraphs(spark):
-    rows = spark.createDataFrame([(d, 0, f"Journal of Things {d}") for d in range(4)] + [(9, 0, "A hyphen-"), (9, 1, "ated line"), (9, 2, "ends here."), (9, 3, "New one.")], "doc_id long, line_no int, line string")
-    assert [(r["form"], r["pages"]) for r in L.running_lines(rows).collect()] == [("journal of things", 4)]
-    assert L.without_running_lines(rows).count() == 4
-    got = L.paragraphs(rows.filter("doc_id = 9")).orderBy("para_idx").collect()
-    assert [r["text"] for r in got] == ["A hyphenated line ends here.", "New one."]
+    """Counts are of one document's pages: three of them, and two fifths, at least."""
+    one = [(1, p, p * 9, f"Journal of Things {p}") for p in range(1, 5)]
+    many = [(2, p, p * 9, "Journal of Things" if p < 4 else f"page {p} of many") for p in range(1, 11)]
+    apart = [(d, 1, 0, "Stands on one page each") for d in (3, 4, 5)]
+    rows = spark.createDataFrame(one + many + apart, "doc_id long, page_no int, line_no int, line string")
+    assert [(r["doc_id"], r["form"], r["pages"]) for r in L.running_lines(rows).orderBy("doc_id", "form").collect()] == [(1, "journal of things", 4), (2, "page of many", 7)]
+    assert L.without_running_lines(rows).count() == 3 + 3
+    lines = spark.createDataFrame([(9, 0, "A hyphen-"), (9, 1, "ated line"), (9, 2, "ends here."), (9, 3, "New one.")], "doc_id long, line_no int, line string")
+    got = L.paragraphs(L.paged(lines, 3)).orderBy("para_idx").collect()
+    assert [(r["text"], r["page_no"]) for r in got] == [("A hyphenated line ends here.", 1), ("New one.", 2)]
+
+
+def test_citations_by_their_place(spark):
+    text = "Smith (2020) says so (see Smith, 2020; Smith, 2020; Çelik & World Bank, 2019a), and 😀 Doe et al. (1999)."
+    rows = OC.extracted(spark.createDataFrame([(1, 0, text), (1, 1, ""), (1, 2, None)], "doc_id long, para_idx int, text string")).orderBy("cit_no").collect()
+    assert [(r["kind"], r["display"]) for r in rows] == [
+        ("narrative", "Smith (2020)"), ("parenthetical", "see Smith, 2020"), ("parenthetical", "Smith, 2020"), ("parenthetical", "Çelik & World Bank, 2019a"), ("narrative", "Doe et al. (1999)"),
+    ]
+    assert [text[r["start"] : r["end"]] for r in rows] == [" (2020)", "(see Smith, 2020; Smith, 2020; Çelik & World Bank, 2019a)"] + ["(see Smith, 2020; Smith, 2020; Çelik & World Bank, 2019a)"] * 2 + [" (1999)"]
+    assert rows[3]["keys"] == ["celik:2019a", "worldbank:2019a"]
+
+
+def test_groups_show_the_first_and_keep_all(spark):
+    paragraphs = spark.createDataFrame([(1, 1, "Çelik (2020), and Zeki (2001)."), (1, 0, "Dağ (2000). Smith (2020) says so (see Smith, 2020)."), (1, 2, "Cebeci (2011)")], "doc_id long, para_idx int, text string")
+    refs = spark.createDataFrame([], "doc_id long, ref_idx int, keys array<string>")
+    groups = OC.in_turkish_order(OC.grouped(OC.missing(OC.extracted(paragraphs), refs))).orderBy("position").collect()
+    assert [r["display"] for r in groups] == ["Cebeci (2011)", "Çelik (2020)", "Dağ (2000)", "Smith (2020)", "Zeki (2001)"]
+    smith = groups[3]
+    assert (smith["occurrences"], smith["paragraphs"], [i["display"] for i in smith["items"]]) == (2, [1], ["Smith (2020)", "see Smith, 2020"])
+
+
+def test_more_references_than_a_thousand_in_one_paragraph(spark):
+    from refmill.plans.audit import references_of
+
+    entries = " ".join(f"Smith, J. ({1950 + i % 70}). Title {i} of things. Press." for i in range(1005))
+    rows = spark.createDataFrame([(1, 4, entries, "bibliography"), (1, 5, "Doe, A. (2001). Another title. Press.", "bibliography")], "doc_id long, para_idx int, text string, part string")
+    got = references_of(rows).select("ref_idx").collect()
+    assert sorted(r["ref_idx"] for r in got) == list(range(1006))
+
+
+def test_audit_of_footnotes(spark):
+    from refmill.plans.audit import audit
+    from refmill.sources import reports
+
+    docs = spark.createDataFrame([(1, "A body.\nReferences\nSmith, J. (2020). A title. Press.")], "doc_id long, text string")
+    notes = [(1, 0, "1", "(Smith, 2020)"), (1, 1, "2", "Ibid., p. 4."), (1, 2, "3", "(Doe, 2019)"), (1, 3, "4", "A.g.e., s. 50."), (1, 4, "5", "Nothing cited here."), (1, 5, "6", ";")]
+    got = audit(docs, spark.createDataFrame(notes, "doc_id long, foot_ord int, foot_id string, text string"))
+    assert [(r["group_key"], r["display"], r["occurrences"], r["foot_ids"]) for r in got["missing_footnotes"].collect()] == [("doe:2019", "(Doe, 2019)", 2, ["3", "4"])]
+    assert sorted((r["foot_id"], r["part"]) for r in got["unresolved_footnotes"].collect()) == [("5", "Nothing cited here."), ("6", ";")]
+    d = got["diagnostics"].first()
+    assert (d["footnotes"], d["unresolved_footnotes"], d["citations"], d["references"]) == (6, 2, 0, 1)
+    assert reports.audit_report(got, "2024-01-31", footnotes=True).first()["report"].split("\n") == [
+        "Date: 2024-01-31", "Citations in footnotes: 6", "References: 1", "Sources missing: 1", "Footnotes not resolved: 2", "", "Sources missing:", "- (Doe, 2019) | 2 times", "", "Footnotes not resolved:",
+        "- 5: Nothing cited here.", "- 6: ;", "", "Records:", "- Smith, J. (2020). A title. Press. | scholar-needed",
+    ]
+    (record,) = got["records"].collect()
+    assert (record["id"], record["verification_kind"], record["verification_label"], record["author"]) == ("src-1", "google", "Google", "J. Smith")
+    report = reports.audit_report(audit(spark.createDataFrame([(1, "So (Doe, 2019).\nAnd Doe (2019).")], "doc_id long, text string")), "2024-01-31").first()["report"]
+    assert "- Doe, 2019 | 2 times | paragraph 1, 2" in report
+
+
+def test_audit_of_pages(spark):
+    from refmill.plans.audit import audit_pages
+
+    texts = {1: ["Journal of Lines", "Smith (2020) found things that", "matter. Doe (2019) did not.", "A second line ends here."], 2: ["Journal of Lines", "More is in the text (Kaya, 2018).", "1 (Smith, 2020) is a note."], 3: ["Journal of Lines", "References", "Smith, J. (2020). A title of some length", "that goes on. Press."]}
+    rows = [(1, p, i, t, 50.0, 400.0, 650 - 14 * i) for p, ts in texts.items() for i, t in enumerate(ts)]
+    got = audit_pages(spark.createDataFrame(rows, "doc_id long, page_no int, line_no int, text string, min_x double, max_x double, y int"))
+    assert sorted(r["display"] for r in got["missing"].collect()) == ["Doe (2019)", "Kaya, 2018"]
+    assert [r["display"] for r in got["references"].collect()] == ["Smith, J. (2020). A title of some length that goes on. Press."]
+    assert got["diagnostics"].first()["has_bibliography"] and got["unresolved_footnotes"].count() == 0
+
+
+def test_verification_of_texts(spark):
+    from refmill.operators import verification as V
+    from refmill.plans.verification import verification
+
+    works = spark.createDataFrame([(1, "Modern Web Development", ["Smith, J."], 2020, "Press", "", ""), (2, "Other Web Things", ["Doe, A."], 2001, "", "", "")], "work_id long, title string, authors array<string>, year int, journal string, doi string, isbn string")
+    docs = spark.createDataFrame([(1, "Text.\nReferences\nSmith, J. (2020). Modern Web Development. Press.\nKaya, B. (1999). Never seen anywhere. House."), (2, "Doe, A. (2001). Other web things. House.\nSmith, J. (2020). Modern Web Development. Press.")], "doc_id long, text string")
+    got = verification(docs, [V.CatalogTableConnector(works, "catalog", 0)])
+    assert {(r["doc_id"], r["original_text"][:4], r["found"]) for r in got["results"].collect()} == {(1, "Smit", True), (1, "Kaya", False), (2, "Doe,", True), (2, "Smit", True)}
+    s = got["statistics"].first()
+    assert (s["total"], s["found"], s["rate"]) == (4, 3, 75)
+    assert V.shown(got["results"], "not-found").count() == 1 and V.shown(got["results"]).count() == 4
+    with pytest.raises(ValueError, match="some"):
+        V.shown(got["results"], "some")
 
 
 @pytest.mark.parametrize(
