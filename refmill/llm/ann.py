@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy graph search.
 
 The graph starts from cells: each vector joins the cells of its nearest pivots and takes its best neighbours
-there. NN-descent then improves it round by round: every node sends itself to the nodes on its list, and nodes that
-meet at a common neighbour are compared, neighbours of neighbours; each keeps its ``NEIGHBOURS`` best. A query
-starts from its own list and expands the best nodes of its pool that it hasn't expanded, all at once in each round,
-until the ``POOL`` best are all expanded. All steps are Spark joins and groupings by hashed parts, so a task holds a
-bounded share of nodes and a hub's meeting is split.
+there. NN-descent then improves it round by round: links count both ways, so the ``MEET`` best of a node's list and
+the nodes that have it among theirs meet at it and are compared, neighbours of neighbours; each keeps its
+``NEIGHBOURS`` best, and what lists it is offered to it too. Rounds go on until few lists change. A query starts from
+its own list and expands the best nodes of its pool that it hasn't expanded, along their lists and ``BACK`` links into
+them, all at once in each round, until the ``POOL`` best are all expanded. All steps are Spark joins and groupings by hashed parts, so a task holds a bounded share
+of nodes; the meeting at a hub is dealt out in turns, by another hash in each round, so that all members can meet.
 
 Building and search compare the vectors themselves in double precision, so near copies are told apart however many and
 close they are; vectors travel as 32-bit floats if that loses nothing, else as doubles. Vectors of different norms get one more component that brings them to the largest
@@ -31,15 +32,18 @@ from .common import drop, stored
 from .vectors import batches_of, common_length, matrix, usable
 
 TOP = 20
-NEIGHBOURS = 40
-ROUNDS = 3
+NEIGHBOURS, MEET = 40, 20
+#: Rounds at most, and the share of list entries that a round must change for another one.
+ROUNDS, LEAST_CHANGE = 6, 0.01
+#: Links into a node that a search may follow backwards.
+BACK = 24
 #: Best nodes that a search keeps expanding, and how many rounds it takes at most.
 POOL, HOPS = 160, 12
 #: Vectors of a starting cell, cells of a vector, and pivots at most (they go to every task).
 CELL, CELLS_EACH, MOST_PIVOTS = 256, 4, 4_096
 #: Nodes that every search may also start from, of the largest norms and by a hash in equal parts; how many it takes.
 SEEDS, SEEDS_EACH = 1_024, 20
-#: Nodes of a part; nodes that meet at once at a common neighbour.
+#: Nodes of a part; nodes of about one turn of a meeting.
 PART, MEETING = 1_000, 256
 
 
@@ -122,76 +126,66 @@ def best_of(v: np.ndarray, w: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.
 
 
 def _lists(keep: int):
-    """Of a part's edges: each node's list, best first, with its last score if the list is full."""
+    """Of a part's edges: each node's list, best first, with its last score if the list is full and its new entries."""
 
     def run(t: pa.Table) -> pa.Table:
-        v, w, s = best_of(t["v"].to_numpy(), t["w"].to_numpy(), t["s"].to_numpy(), keep)
+        v, w, s, known = (t[c].to_numpy() for c in ("v", "w", "s", "known"))
+        # Known entries come first among equal ones, whatever the last bits of their scores.
+        order = np.lexsort((~known, w, v))
+        v, w, s, known = v[order], w[order], s[order], known[order]
+        one = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, dtype=bool)
+        v, w, s, known = v[one], w[one], s[one], known[one]
+        order = np.lexsort((w, -s, v))
+        v, w, s, known = v[order], w[order], s[order], known[order]
+        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, dtype=np.int64)
+        rank = np.arange(len(v)) - np.repeat(head, np.diff(np.append(head, len(v))))
+        k = rank < keep
+        v, w, s, known = v[k], w[k], s[k], known[k]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, dtype=np.int64)
         offsets = pa.array(np.append(first, len(v)).astype(np.int32))
         size = np.diff(np.append(first, len(v)))
         last = np.where(size == keep, s[first + size - 1] if len(v) else s[:0], -np.inf)
-        return pa.table({"node": pa.array(v[first], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64())), "scores": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float64())), "last": pa.array(last)})
+        new = np.add.reduceat((~known).astype(np.int64), first) if len(v) else first
+        return pa.table({"node": pa.array(v[first], pa.int64()), "near": pa.ListArray.from_arrays(offsets, pa.array(w, pa.int64())), "scores": pa.ListArray.from_arrays(offsets, pa.array(s, pa.float64())), "last": pa.array(last), "new": pa.array(new, pa.int64())})
 
     return run
 
 
-_LISTS = "node long, near array<long>, scores array<double>, last double"
+_LISTS = "node long, near array<long>, scores array<double>, last double, new long"
 
 
-def _meeting(dim: int, size: int):
-    """Of a part: nodes that share a neighbour are compared; what betters a node's list is returned."""
+def _meeting(dim: int):
+    """Of a part: nodes that meet in a turn are compared; what betters a node's list is returned."""
 
     def run(t: pa.Table) -> pa.Table:
-        at, who, last, fill = (t[c].to_numpy() for c in ("at", "node", "last", "fill"))
+        at, turn, who, last, fill = (t[c].to_numpy() for c in ("at", "turn", "node", "last", "fill"))
         x = _floats(t["code"], dim)
-        order = np.lexsort((who, at))
-        at, who, last, fill, x = at[order], who[order], last[order], fill[order], x[order]
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+        order = np.lexsort((who, turn, at))
+        at, turn, who, last, fill, x = at[order], turn[order], who[order], last[order], fill[order], x[order]
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (turn[1:] != turn[:-1])])) if len(at) else []
         out = [(who[:0], who[:0], np.zeros(0))]
         for a, b in zip(starts, [*starts[1:], len(at)], strict=False):
-            for c in range(a, b, size):  # a hub's meeting goes in turns
-                e = min(b, c + size)
-                if e - c < 2:
-                    continue
-                s = _nearness(x[c:e], fill[c:e], x[c:e], fill[c:e])
-                np.fill_diagonal(s, -np.inf)
-                i, j = np.nonzero(s > last[c:e, None])
-                out.append((who[c + i], who[c + j], s[i, j]))
+            if b - a < 2:
+                continue
+            s = _nearness(x[a:b], fill[a:b], x[a:b], fill[a:b])
+            np.fill_diagonal(s, -np.inf)
+            i, j = np.nonzero(s > last[a:b, None])
+            out.append((who[a + i], who[a + j], s[i, j]))
         v, w, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return _edges(*best_of(v, w, s, NEIGHBOURS))
 
     return run
 
 
-def _proposed(asked: pa.Table, lists: pa.Table) -> pa.Table:
-    """Queries at nodes of a part, and the part's lists: each query's different neighbours of its nodes."""
-    index = {n: i for i, n in enumerate(lists["node"].to_pylist())}
-    ends = np.concatenate([[0], np.cumsum(lists["near"].combine_chunks().value_lengths().to_numpy())]) if len(index) else np.zeros(1, dtype=np.int64)
-    near = lists["near"].combine_chunks().flatten().to_numpy() if len(index) else np.zeros(0, dtype=np.int64)
-    at = np.array([index.get(n, -1) for n in asked["node"].to_pylist()], dtype=np.int64)
-    query, last = (asked[c].to_numpy()[at >= 0] for c in ("query", "last"))
-    at = at[at >= 0]
-    size = ends[at + 1] - ends[at]
-    w = near[np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-    query, last = np.repeat(query, size), np.repeat(last, size)
-    order = np.lexsort((w, query))
-    query, w, last = query[order], w[order], last[order]
-    new = (w != query) & np.concatenate([[True], (query[1:] != query[:-1]) | (w[1:] != w[:-1])]) if len(w) else np.zeros(0, dtype=bool)
-    return pa.table({"query": pa.array(query[new], pa.int64()), "w": pa.array(w[new], pa.int64()), "last": pa.array(last[new], pa.float64())})
-
-
 def _scored(dim: int):
-    """Proposed nodes of a part with the query's vector, and the part's nodes: inner products that could enter a pool."""
-
-    def run(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
-        index = {n: i for i, n in enumerate(nodes["node"].to_pylist())}
-        y = _floats(nodes["code"], dim)
-        query, w, last = (pairs[c].to_numpy() for c in ("query", "w", "last"))
-        at = np.array([index[n] for n in w.tolist()], dtype=np.int64)
-        s = np.zeros(len(w))
-        for a in range(0, len(w), 10_000):
-            s[a : a + 10_000] = (_floats(pairs["code"].slice(a, 10_000), dim) * y[at[a : a + 10_000]]).sum(axis=1)
-        return _edges(query[s > last], w[s > last], s[s > last])
+    """Proposed nodes with their vectors and the queries': inner products that could enter a pool."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 10_000):
+            if b.num_rows:
+                s = (_floats(b["code"], dim) * _floats(b["code_w"], dim)).sum(axis=1)
+                keep = pa.array(s > b["last"].to_numpy())
+                yield pa.record_batch([c.filter(keep) for c in (b["query"], b["w"], pa.array(s))], names=["v", "w", "s"])
 
     return run
 
@@ -255,27 +249,52 @@ def build(nodes: DataFrame, total: int, dim: int) -> DataFrame:
     sizes = F.broadcast(celled.groupBy("cell").count())  # at most MOST_PIVOTS rows
     turns = celled.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("count") / (CELL * CELLS_EACH))))
     edges = turns.groupBy("cell", "turn").applyInArrow(_within_cell(NEIGHBOURS // 2, dim), _EDGES)
-    lists = stored(edges.groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
-    for _ in range(ROUNDS):
-        sent = lists.join(nodes, "node").select(F.explode("near").alias("at"), "node", "last", "code", "fill")
-        found = sent.groupBy(_part("at", parts)).applyInArrow(_meeting(dim, MEETING), _EDGES)
-        known = lists.select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e")).select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"))
-        before, lists = lists, stored(found.unionByName(known).groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS), "lists")
-        drop(before)
+    listed = lambda e: e.groupBy(_part("v", parts)).applyInArrow(_lists(NEIGHBOURS), _LISTS)
+    lists = stored(listed(edges.withColumn("known", F.lit(False))), "lists")
+    for k in range(ROUNDS):
+        best = lists.select("node", F.explode(F.slice("near", 1, MEET)).alias("at"))
+        links = best.unionByName(best.select(F.col("at").alias("node"), F.col("node").alias("at"))).distinct()
+        links = stored(links, "links")
+        hubs = links.groupBy("at").count().filter(F.col("count") > MEETING)
+        turn = F.coalesce(F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("count") / MEETING)).cast("int"), F.lit(0))
+        sent = links.join(hubs, "at", "left").select("at", turn.alias("turn"), "node")
+        sent = sent.join(lists.select("node", "last").join(nodes, "node"), "node").select("at", "turn", "node", "last", "code", "fill")
+        part = F.pmod(F.xxhash64("at", "turn"), F.lit(parts)).cast("int").alias("part")
+        found = sent.groupBy(part).applyInArrow(_meeting(dim), _EDGES).withColumn("known", F.lit(False))
+        own = lists.select(F.col("node").alias("v"), F.explode(F.arrays_zip("near", "scores")).alias("e")).select("v", F.col("e.near").alias("w"), F.col("e.scores").alias("s"), F.lit(True).alias("known"))
+        offered = own.select(F.col("w").alias("v"), F.col("v").alias("w"), "s", F.lit(False).alias("known"))
+        before, lists = lists, stored(listed(found.unionByName(own).unionByName(offered)), "lists")
+        drop(before, links)
+        new, n = lists.agg(F.sum("new"), F.sum(F.size("near"))).first()
+        if (new or 0) < LEAST_CHANGE * (n or 0):
+            break
     return lists
 
 
+def both_ways(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, near): each node's list, and ``BACK`` nodes that list it, those of large norm first.
+
+    In a dense group lists name the group alone; what lies around it is found by the links that lead into it.
+    """
+    own = lists.select("node", F.explode("near").alias("w"))
+    back = lists.join(nodes.select("node", "norm"), "node").select(F.explode("near").alias("at"), "node", "norm")
+    nth = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("norm"), F.xxhash64("node"), "node"))
+    back = back.withColumn("nth", nth).filter(F.col("nth") <= BACK).select(F.col("at").alias("node"), F.col("node").alias("w"))
+    return stored(own.unionByName(back).groupBy("node").agg(F.collect_set("w").alias("near")), "links-both-ways")
+
+
 def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, dim: int) -> DataFrame:
     """(v, w): for each node of ``queries`` the best nodes that greedy search finds, itself left out."""
     parts = max(1, -(-total // PART))
-    near = lists.select("node", "near")
+    near = both_ways(lists, nodes)
     asking = stored(queries.join(nodes, "node").select(F.col("node").alias("query"), "code"), "asking")
 
     def expanded(ask: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """v, w, s, done: the neighbours of (query, node, last) that could enter a pool and aren't ``known``."""
-        pairs = ask.groupBy(_part("node", parts)).cogroup(near.groupBy(_part("node", parts))).applyInArrow(_proposed, "query long, w long, last double").distinct()
+        pairs = ask.join(near, "node").select("query", F.explode("near").alias("w"), "last").filter("w <> query").distinct()
         pairs = pairs.join(known.select(F.col("v").alias("query"), "w"), ["query", "w"], "left_anti") if known is not None else pairs
-        found = pairs.join(asking, "query").groupBy(_part("w", parts)).cogroup(nodes.select("node", "code").groupBy(_part("node", parts))).applyInArrow(_scored(dim), _EDGES)
+        theirs = nodes.select(F.col("node").alias("w"), F.col("code").alias("code_w"))
+        found = pairs.join(asking, "query").join(theirs, "w").select("query", "w", "last", "code", "code_w").mapInArrow(_scored(dim), _EDGES)
         return found.withColumn("done", F.lit(False))
 
     fresh = expanded(asking.select("query", F.col("query").alias("node"), F.lit(float("-inf")).alias("last")))
