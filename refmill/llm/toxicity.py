@@ -71,18 +71,18 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-_SUBSTITUTED = re.compile(rf"[a-z]*[{re.escape(''.join(SUBSTITUTES))}][a-z{re.escape(''.join(SUBSTITUTES))}]*")
 _AS_LETTERS = str.maketrans(SUBSTITUTES)
 
 
-def _word(token: re.Match) -> str:
+def _word(token: str) -> str:
     """A token with substitutes as a word, or as nothing if no letter is in it."""
-    return token[0].translate(_AS_LETTERS) if any("a" <= c <= "z" for c in token[0]) else " "
+    return token.translate(_AS_LETTERS) if any("a" <= c <= "z" for c in token) else ""
 
 
 def fold(text: str | None) -> str:
     """Words of a to z between single blanks, with one at either end."""
-    return f" {' '.join(_SUBSTITUTED.sub(_word, (text or '').translate(_FOLD)).split())} "
+    words = (text or "").translate(_FOLD).split()
+    return f" {' '.join(filter(None, [w if w.isalpha() else _word(w) for w in words]))} "
 
 
 def _terms(words: set[str]) -> set[str]:
