@@ -37,6 +37,8 @@ THRESHOLD = 0.9
 #: Vectors of a cell, on average, and pivots at most: they go to every task.
 CELL, MOST_PIVOTS = 8_192, 4_096
 BLOCK = 4_096
+#: Rows of a block that are compared at a time, and links of them that are kept as indices.
+SLAB, SPARSE = 512, 1 << 16
 #: Added to bounds on angles, far above their rounding.
 SLACK = 1e-6
 CORE, REST, COPY = 0, 1, 2
@@ -107,24 +109,29 @@ def _linked(threshold: float, dim: int):
         side, ids, n = (t[c].to_numpy() for c in ("side", "vec_id", "n"))
         u = unit(matrix(t["vec"], dim))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found_l, found_r = [], []
-        for a in range(0, len(left), 512):
-            hit = u[left[a : a + 512]] @ u[right].T >= threshold
-            i, j = np.nonzero(hit)
-            found_l.append(left[a + i])
-            found_r.append(right[j])
-        i = np.concatenate([*found_l, np.zeros(0, dtype=np.int64)])
-        j = np.concatenate([*found_r, np.zeros(0, dtype=np.int64)])
-        other = i != j
-        i, j = i[other], j[other]
-        links = np.bincount(i, weights=n[j], minlength=len(ids))
-        once = side[i] != 2  # within one chunk a pair shows from either end
-        links += np.bincount(j[once], weights=n[i[once]], minlength=len(ids))
+        links, slabs = np.zeros(len(ids)), []
+        # A slab of rows at a time: its links are counted at once and kept as indices, or as bits where there are many.
+        for a in range(0, len(left), SLAB):
+            rows = left[a : a + SLAB]
+            hit = u[rows] @ u[right].T >= threshold
+            hit[rows[:, None] == right[None, :]] = False
+            links[rows] += hit @ n[right]
+            once = np.flatnonzero(side[rows] != 2)  # within one chunk a pair shows from either end
+            links[right] += n[rows[once]] @ hit[once]
+            i, j = np.nonzero(hit) if np.count_nonzero(hit) <= SPARSE else (None, np.packbits(hit, axis=1))
+            slabs.append((rows, i, j))
         root = ids.copy()
+        none = np.iinfo(np.int64).max
         while True:
             before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
+            for rows, i, j in slabs:
+                if i is not None:
+                    np.minimum.at(root, rows[i], root[right[j]])
+                    np.minimum.at(root, right[j], root[rows[i]])
+                    continue
+                hit = np.unpackbits(j, axis=1, count=len(right)).astype(bool)
+                root[rows] = np.minimum(root[rows], np.where(hit, root[right][None, :], none).min(axis=1))
+                root[right] = np.minimum(root[right], np.where(hit, root[rows][:, None], none).min(axis=0))
             if (before == root).all():
                 break
         some = links > 0
@@ -159,14 +166,14 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
     chunks = {(c["cell"], c["kind"]): -(-c["count"] // block) for c in placed.groupBy("cell", "kind").count().collect()}  # at most three rows a cell
     blocks = placed.mapInArrow(_blocked(chunks, r), "block string, side int, vec_id long, n long, vec array<double>")
     got = stored(blocks.groupBy("block").applyInArrow(_linked(threshold, dim), "vec_id long, links long, root long"), "block-links")
-    core_id = F.create_map(*(F.lit(x) for s in stats if s["core_id"] is not None for x in (s["cell"], s["core_id"]))) if any(s["core_id"] is not None for s in stats) else None
     links = got.select("vec_id", "links")
     edges = got.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
-    if core_id is not None:
-        core_n = F.create_map(*(F.lit(x) for s in stats if s["core_id"] is not None for x in (s["cell"], s["core_n"])))
-        core = placed.filter(F.col("kind") == CORE)
-        links = links.unionByName(core.select("vec_id", (core_n[F.col("cell")] - F.col("n")).alias("links")))
-        edges = edges.unionByName(core.select(F.col("vec_id").alias("a"), core_id[F.col("cell")].alias("b")))
+    cores = [(s["cell"], s["core_id"], s["core_n"]) for s in stats if s["core_id"] is not None]
+    if cores:
+        known = F.broadcast(df.sparkSession.createDataFrame(cores, "cell int, core_id long, core_n long"))  # MOST_PIVOTS rows at most
+        core = placed.filter(F.col("kind") == CORE).select("cell", "vec_id", "n").join(known, "cell")
+        links = links.unionByName(core.select("vec_id", (F.col("core_n") - F.col("n")).alias("links")))
+        edges = edges.unionByName(core.select(F.col("vec_id").alias("a"), F.col("core_id").alias("b")))
     comps = components(edges)
     summed = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     each = distinct.select("key", "vec", F.col("vec_id").alias("first"), "n").join(summed.withColumnRenamed("vec_id", "first"), "first", "left").join(comps.withColumnRenamed("id", "first"), "first", "left")
