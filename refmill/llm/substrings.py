@@ -16,7 +16,8 @@ A q-gram that is frequent within one batch of rows is known to be no bucket of o
 for a few witnesses, so no task gathers a common line of all documents. In step 3 the windows of a q-gram with
 more than ``HOT`` stretches are aggregated by their own identifiers instead of meeting in one task.
 
-Identifiers are 64-bit hashes; matches never cross documents.
+Stretches are equal if two 64-bit hashes agree, windows if their bytes do (two hashes for those of a frequent q-gram);
+matches never cross documents. Records go to parts whose number grows with the bytes of the texts.
 
 Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; of equal rows with one doc_id neither is
 earlier; a row with a null doc_id loses nothing and makes others lose nothing; other columns are not read.
@@ -32,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import drop, partitions, stored
 from .shingles import _RANDOM, mixed, slices, span_hashes
 
+_OTHER = np.random.default_rng(20_26).integers(1, 1 << 63, size=(256,), dtype=np.uint64)
+
 LENGTH = 100
 Q = 25
 WINDOW = LENGTH - Q + 1
@@ -42,6 +45,8 @@ WINDOW = LENGTH - Q + 1
 WITNESSES = 64
 #: Stretches of one q-gram that may be refined in one task.
 HOT = 100_000
+#: Bytes of text whose records make a part, if that gives more parts than four for each shuffle partition.
+PART_BYTES = 256 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -55,13 +60,13 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def representatives(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(at, low, high, q-gram hash, stretch hash): windows starting at low..high have the q-gram at ``at`` as least.
+    """(at, low, high, q-gram hash, two stretch hashes): windows starting at low..high have the q-gram at ``at`` as least.
 
     ``raw`` holds texts end to end, ``ends`` says where each ends. Of equal q-grams in a window the first counts.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
     values = _RANDOM[raw]
     at = np.arange(len(raw) - Q + 1)
     h = span_hashes(values, at, at + Q)
@@ -77,7 +82,7 @@ def representatives(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]
     np.add.at(cross, ends, -1)
     good = np.cumsum(cross)[: len(m)] == 0
     if not good.any():
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
     # Runs of windows with one least value.
     change = np.concatenate([[True], (m[1:] != m[:-1]) | (good[1:] != good[:-1])])
     first = np.flatnonzero(change)
@@ -105,16 +110,16 @@ def representatives(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]
     at, low, high = (np.concatenate(c) for c in zip(*out, strict=True))
     with np.errstate(over="ignore"):
         stretch = mixed(span_hashes(values, low, high + LENGTH) + (at - low).astype(np.uint64))
-    return at, low, high, h[at], stretch
+    return at, low, high, h[at], stretch, span_hashes(_OTHER[raw], low, high + LENGTH)
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
 
 
-_FIELDS = ("gram", "stretch", "doc", "low", "lead", "more", "flag")
+_FIELDS = ("gram", "stretch", "other", "doc", "low", "lead", "more", "flag")
 #: Of a record: bytes of its stretch before the q-gram, windows beyond the first, 0 plain, 1 refined already, 2 gone.
-_TYPES = (np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8)
+_TYPES = (np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8)
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -130,11 +135,14 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [t[c].to_numpy() for c in _FIELDS]
 
 
-def _later(gram: np.ndarray, stretch: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, head, gone): sorted by bucket and stretch, the heads of stretches, and what comes strictly after its head."""
+def _later(gram: np.ndarray, stretch: np.ndarray, other: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, head, gone): sorted by bucket and stretch, the heads of stretches, and what comes strictly after its head.
+
+    Where stretches agree in one hash alone, later ones may count as heads; those are refined on.
+    """
     order = np.lexsort((low, doc, stretch, gram))
-    g, s, d, p = gram[order], stretch[order], doc[order], low[order]
-    head = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
+    g, s, o, d, p = gram[order], stretch[order], other[order], doc[order], low[order]
+    head = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
     top = np.flatnonzero(head)[np.cumsum(head) - 1]
     return order, head, (d != d[top]) | (p != p[top])
 
@@ -148,17 +156,17 @@ def _buckets(parts: int):
             found = []
             for s in slices(texts):
                 raw, ends = _joined(texts[s])
-                at, low, high, gram, stretch = representatives(raw, ends)
+                at, low, high, gram, stretch, other = representatives(raw, ends)
                 owner = np.searchsorted(ends, at, side="right")
                 begin = np.concatenate([[0], ends[:-1]])[owner] if len(owner) else at
-                found.append((gram, stretch, ids[s][owner], (low - begin).astype(np.int32), (at - low).astype(np.uint8), (high - low).astype(np.uint8)))
+                found.append((gram, stretch, other, ids[s][owner], (low - begin).astype(np.int32), (at - low).astype(np.uint8), (high - low).astype(np.uint8)))
             if not found:
                 continue
-            gram, stretch, doc, low, lead, more = (np.concatenate(c) for c in zip(*found, strict=True))
+            gram, stretch, other, doc, low, lead, more = (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(gram):
                 continue
-            order, head, gone = _later(gram, stretch, doc, low)
-            gram, stretch, doc, low, lead, more = (c[order] for c in (gram, stretch, doc, low, lead, more))
+            order, head, gone = _later(gram, stretch, other, doc, low)
+            gram, stretch, other, doc, low, lead, more = (c[order] for c in (gram, stretch, other, doc, low, lead, more))
             flag = np.where(gone, 2, 0).astype(np.uint8)
             # Different stretches of one q-gram, counted in this batch.
             new = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -172,25 +180,25 @@ def _buckets(parts: int):
             spread = gone | (many & (nth >= WITNESSES))
             part[spread] = doc[spread] % parts
             gram = np.where(gone, np.uint64(0), gram)
-            stretch = np.where(gone, np.uint64(0), stretch)
+            stretch, other = (np.where(gone, np.uint64(0), c) for c in (stretch, other))
             flag[many & (nth >= WITNESSES)] = 3
             by_part = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by_part])) + 1
             rows = np.split(by_part, cuts)
-            yield pa.record_batch([pa.array(part[[r[0] for r in rows]].astype(np.int32)), pa.array([_pack([c[r] for c in (gram, stretch, doc, low, lead, more, flag)]) for r in rows], pa.binary())], names=["part", "records"])
+            yield pa.record_batch([pa.array(part[[r[0] for r in rows]].astype(np.int32)), pa.array([_pack([c[r] for c in (gram, stretch, other, doc, low, lead, more, flag)]) for r in rows], pa.binary())], names=["part", "records"])
 
     return run
 
 
 def _first_refinement(t: pa.Table) -> pa.Table:
     """Of one part: stretches that are gone (open false), and those to refine on (open true)."""
-    gram, stretch, doc, low, lead, more, flag = (np.concatenate(c) for c in zip(*(_unpack(b) for b in t["records"].to_pylist()), strict=True))
+    gram, stretch, other, doc, low, lead, more, flag = (np.concatenate(c) for c in zip(*(_unpack(b) for b in t["records"].to_pylist()), strict=True))
     sure = flag >= 2
     out = [(doc[sure], low[sure], lead[sure], more[sure], flag[sure] == 3)]
     rest = ~sure
-    gram, stretch, doc, low, lead, more, flag = (c[rest] for c in (gram, stretch, doc, low, lead, more, flag))
+    gram, stretch, other, doc, low, lead, more, flag = (c[rest] for c in (gram, stretch, other, doc, low, lead, more, flag))
     if len(gram):
-        order, head, gone = _later(gram, stretch, doc, low)
+        order, head, gone = _later(gram, stretch, other, doc, low)
         gram, doc, low, lead, more, flag = (c[order] for c in (gram, doc, low, lead, more, flag))
         new = np.concatenate([[True], gram[1:] != gram[:-1]])
         bucket = np.cumsum(new) - 1
@@ -257,6 +265,14 @@ def refine(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alive[keep], bucket[keep]
 
 
+def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Whether the windows at ``a`` and ``b`` hold the same bytes."""
+    if not len(a):
+        return np.zeros(0, dtype=bool)
+    view = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    return np.concatenate([(view[a[i : i + step]] == view[b[i : i + step]]).all(axis=1) for i in range(0, len(a), step)])
+
+
 def _gone(raw: np.ndarray, start: np.ndarray, row: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.Table:
     """Intervals of windows that aren't the first of their bucket."""
     alive, bucket = refine(raw, start)
@@ -264,7 +280,9 @@ def _gone(raw: np.ndarray, start: np.ndarray, row: np.ndarray, doc: np.ndarray,
     alive, bucket = alive[order], bucket[order]
     head = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=bool)
     top = alive[head][np.cumsum(head) - 1]
-    late = np.sort(alive[(doc[alive] != doc[top]) | (at[alive] != at[top])])
+    late = (doc[alive] != doc[top]) | (at[alive] != at[top])
+    alive, top = alive[late], top[late]
+    late = np.sort(alive[_same(raw, start[alive], start[top])])
     new = np.concatenate([[True], (late[1:] != late[:-1] + 1) | (row[late[1:]] != row[late[:-1]])]) if len(late) else np.zeros(0, dtype=bool)
     first = late[new]
     last = late[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(late) - 1]])] if len(late) else late
@@ -281,15 +299,16 @@ def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             raw, start, _, doc, at = _windows(batch["bytes"].to_pylist(), batch["doc_id"].to_numpy(), batch["low"].to_numpy())
-            ids = span_hashes(_RANDOM[raw], start, start + LENGTH)
-            yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], names=["window", "doc_id", "start"])
+            ids = [pa.array(span_hashes(table[raw], start, start + LENGTH).view(np.int64)) for table in (_RANDOM, _OTHER)]
+            yield pa.record_batch([*ids, pa.array(doc), pa.array(at.astype(np.int32))], names=["window", "other", "doc_id", "start"])
 
 
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, start, end (bytes): stretches that earlier ones repeat; they may overlap."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = partitions(spark, 4)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark, 4), -(-size // PART_BYTES))
     records = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_buckets(parts), "part int, records binary")
     first = stored(records.groupBy("part").applyInArrow(_first_refinement, "doc_id long, low int, lead int, more int, open boolean"), "first-refinement")
     done = first.filter("not open").select("doc_id", F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
@@ -299,10 +318,12 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # few: each holds more than ``hot`` stretches
     plain = rows.join(frequent, "gram", "left_anti").withColumn("part", F.pmod(F.col("gram"), F.lit(parts)))
     refined = plain.groupBy("part").applyInArrow(_last_refinement, "doc_id long, start int, end int")
-    windows = rows.join(frequent, "gram", "left_semi").select("bytes", "doc_id", "low").mapInArrow(_identified, "window long, doc_id long, start int")
-    heads = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("head"))
-    late = windows.join(heads, "window").filter(F.struct("doc_id", "start") > F.col("head")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    return done.unionByName(stored(refined.unionByName(late), "refined"))
+    windows = rows.join(frequent, "gram", "left_semi").select("bytes", "doc_id", "low").mapInArrow(_identified, "window long, other long, doc_id long, start int")
+    heads = windows.groupBy("window", "other").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    late = windows.join(heads, ["window", "other"]).filter(F.struct("doc_id", "start") > F.col("head")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    out = done.unionByName(stored(refined.unionByName(late), "refined"))
+    drop(rows)
+    return out
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,13 +365,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in spans or ():
                 keep[s["start"] : s["end"]] = False
             out.append(None if t is None else np.frombuffer(t, dtype=np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
-        names = [c for c in batch.schema.names if c not in ("text", "gone")]
-        yield pa.record_batch([*(batch[c] for c in names), pa.array(out, pa.string())], names=[*names, "text"])
+        yield pa.record_batch([batch["row"], pa.array(out, pa.string())], names=["row", "text"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated passages cut from ``text``."""
+    """``docs`` with the repeated passages cut from ``text``; null texts stay null, other columns of any name stay."""
     gone = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    cols = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*cols).dtypes) + ", text string"
-    return docs.join(gone, "doc_id", "left").mapInArrow(_without, schema).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).join(gone, "doc_id", "left")
+    cut = rows.select("row", "text", "gone").mapInArrow(_without, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return cut.select(*(F.col("text") if c == "text" else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns))
