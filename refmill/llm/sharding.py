@@ -5,14 +5,15 @@ merges the runs of one size tier once there are ``FANOUT`` of them: Spark packs
 of the target size, so each task rewrites its shards into one file and nothing is shuffled; no key decides where a
 row goes, so none can be hot. Every change is a new manifest version: a small file that lists the runs, written
 aside and renamed to a name that must not exist yet, so readers see the old or the new version and one of two rival
-writers fails. ``vacuum`` deletes runs that the current version doesn't list.
+writers fails. ``vacuum`` deletes runs that none of the latest ``RETAIN`` versions lists.
 
 Layout: ``root/runs/<name>/*.parquet`` and ``root/manifests/v<number>.json``. The manifest holds one entry a run
 and runs merge by tiers, so it grows with the logarithm of the data.
 
 Edge cases: an empty arrival adds no run; repeated rows are kept, each once for each time it came; null values and
 any columns are kept, but all arrivals must have the same columns; a lost task is rewritten by Spark, and files of
-failed attempts are in no manifest. Paths may be of any store that Spark's Hadoop configuration reaches.
+failed attempts are in no manifest. The root may be in any store of Spark's Hadoop configuration whose rename is atomic
+and refuses a name that exists, as HDFS and local file systems do; plain object stores need a committer for that.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 20
 
 
+#: Versions that stay readable.
+RETAIN = 4
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -110,16 +115,18 @@ class ShardedDataset:
         return self.append_all(df, None)
 
     def append_all(self, df: DataFrame, arrival: str | None) -> int:
-        """Arrivals told apart by a column (not stored), written in one pass and committed in one version."""
-        base, known = self.version(), self.runs()
+        """Arrivals told apart by a column (not stored): written in one pass, each committed as a version of its own."""
+        base, runs = self.version(), self.runs()
         name = uuid.uuid4().hex
         out = df.write.option("compression", "zstd")
         if arrival:
             out = out.partitionBy(arrival)
         out.parquet(f"{self.root}/runs/{name}")
         parts = [f"{name}/{p}" for p in self._names(f"runs/{name}") if p.startswith(f"{arrival}=")] if arrival else [name]
-        new = [r for r in map(self._described, parts) if r]
-        return self._commit(base, known + new) if new else base
+        for run in filter(None, map(self._described, sorted(parts))):
+            runs = [*runs, run]
+            base = self._commit(base, runs)
+        return base
 
     @contextmanager
     def _packed(self):
@@ -152,10 +159,10 @@ class ShardedDataset:
             new["tier"] = max(new["tier"], full + 1)
             self._commit(base, [r for r in runs if r["tier"] != full] + [new])
 
-    def vacuum(self) -> None:
-        """Delete runs that the current version doesn't list. Not while others read older versions."""
-        fs = self._fs()
-        live = {r["name"] for r in self.runs()}
+    def vacuum(self, retain: int = RETAIN) -> None:
+        """Delete runs that none of the latest ``retain`` versions lists. Not while others read older ones."""
+        fs, now = self._fs(), self.version()
+        live = {r["name"] for v in range(max(1, now - retain + 1), now + 1) for r in self.runs(v)}
         for top in self._names("runs"):
             if top in live:
                 continue
@@ -168,11 +175,11 @@ class ShardedDataset:
                     fs.delete(self._path(f"runs/{p}"), True)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows, with _tier, _shard (file name) and _shard_bytes."""
+        """All rows, with _tier, _shard (file name) and _shard_bytes, which replace columns of these names."""
         out = None
         for r in self.runs(version):
             df = self.spark.read.parquet(f"{self.root}/runs/{r['name']}")
-            df = df.select("*", F.lit(r["tier"]).alias("_tier"), F.col("_metadata.file_name").alias("_shard"), F.col("_metadata.file_size").alias("_shard_bytes"))
+            df = df.select(*(f"`{c}`" for c in df.columns if c not in ("_tier", "_shard", "_shard_bytes")), F.lit(r["tier"]).alias("_tier"), F.col("_metadata.file_name").alias("_shard"), F.col("_metadata.file_size").alias("_shard_bytes"))
             out = df if out is None else out.unionByName(df)
         if out is None:
             raise ValueError("the dataset is empty")
@@ -191,9 +198,10 @@ def shard(docs: DataFrame, root: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     data = ShardedDataset(spark, root or scratch(spark, "shards"))
-    waves = docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int"))
-    for part in (waves.filter(F.col("__arrival") < EARLY), waves.filter(F.col("__arrival") >= EARLY)):
-        data.append_all(part, "__arrival")
+    arrival = next(n for n in ("arrival", *(f"arrival_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    waves = docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int"))
+    for part in (waves.filter(F.col(arrival) < EARLY), waves.filter(F.col(arrival) >= EARLY)):
+        data.append_all(part, arrival)
         data.compact()
         data.vacuum()
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -139,6 +139,20 @@ def test_repeated_passages(spark, monkeypatch, hot, witnesses):
     assert substrings.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_are_cut_from_texts(spark):
+    rows = [(1, "x" * 10 + "passage " * 20, "mine"), (2, "y" * 10 + "passage " * 20 + "é", "mine"), (3, None, None), (None, "passage " * 20, "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("row", F.lit(1))
+    got = {r["doc_id"]: r for r in substrings.without_repeats(df).collect()}
+    assert got[3]["text"] is None and got[None]["text"] == rows[3][1] and got[2]["gone"] == "mine"
+    assert got[2]["text"].startswith("y" * 10) and len(got[2]["text"]) < 60 and got[2]["text"].endswith("é")
+    assert list(substrings.without_repeats(df).columns) == df.columns
+
+
+def test_windows_of_equal_bytes():
+    raw = np.frombuffer((b"a" * 150) + (b"b" * 100) + (b"a" * 100), dtype=np.uint8)
+    assert substrings._same(raw, np.array([0, 0, 10]), np.array([250, 150, 50]), step=2).tolist() == [True, False, True]
+
+
 def test_refinement_buckets_equal_windows():
     rng = np.random.default_rng(1)
     raw = rng.integers(0, 2, 3000).astype(np.uint8)
@@ -213,6 +227,27 @@ def test_near_vectors(spark, cell, block):
     assert vecjoin.near_vectors(spark.createDataFrame([], VECS)).count() == 0
 
 
+@pytest.mark.parametrize("sparse", [0, vecjoin.SPARSE])
+def test_links_of_a_block(monkeypatch, sparse):
+    """Counts and components of one block, its links kept as indices or as bits."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(vecjoin, "SPARSE", sparse)
+    monkeypatch.setattr(vecjoin, "SLAB", 16)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 5))
+    x = centres[rng.integers(6, size=90)] + 0.2 * rng.normal(size=(90, 5))
+    side, n, ids = rng.integers(0, 2, size=90), rng.integers(1, 4, size=90), np.arange(100, 190)
+    for one in (side, np.full(90, 2)):
+        t = pa.table({"side": pa.array(one), "vec_id": pa.array(ids), "n": pa.array(n), "vec": pa.array(x.tolist(), pa.list_(pa.float64()))})
+        got = {r["vec_id"]: (r["links"], r["root"]) for r in vecjoin._linked(0.9, 5)(t).to_pylist()}
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = (u @ u.T >= 0.9) & ((one[:, None] != one[None, :]) | (one == 2)[:, None])
+        np.fill_diagonal(near, False)
+        want = joined(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(near), strict=True)])
+        assert got == {int(i): (int(n[near[k]].sum()), want[int(i)]) for k, i in enumerate(ids) if near[k].any()}
+
+
 @pytest.mark.parametrize("n", [15, 900])
 def test_nearest(spark, n):
     rng = np.random.default_rng(0)
@@ -249,6 +284,19 @@ def recall_of(spark, x):
     return shares
 
 
+def test_nearest_by_the_graph(spark, monkeypatch):
+    """Clusters, unequal norms and a third of near copies, with seeds that reach few of the rows, and turns that split."""
+    monkeypatch.setattr(ann, "SEEDS", 24)
+    monkeypatch.setattr(ann, "MEETING", 48)
+    monkeypatch.setattr(ann, "CELL", 64)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(25, 12))
+    x = (centres[rng.integers(25, size=2400)] + 0.4 * rng.normal(size=(2400, 12))) * rng.uniform(0.6, 1.6, size=(2400, 1))
+    x[::3] = centres[0] * 1.2 + 0.01 * rng.normal(size=(800, 12))
+    shares = recall_of(spark, x)
+    assert np.mean(list(shares.values())) >= 0.95
+
+
 def test_nearest_beside_a_large_norm(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16))
@@ -377,6 +425,49 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def tiers(sizes, fanout, smallest):
+    """Plain size-tiered merging of run sizes, arrival by arrival as the operator is called; a merge keeps its sum."""
+    def tier(size):
+        t, limit = 0, smallest
+        while size > limit:
+            t, limit = t + 1, limit * fanout
+        return t
+
+    runs = [(tier(s), s) for s in sizes]
+    while True:
+        full = next((t for t in sorted({t for t, _ in runs}) if sum(x == t for x, _ in runs) >= fanout), None)
+        if full is None:
+            return sorted(runs)
+        size = sum(s for t, s in runs if t == full)
+        runs = [r for r in runs if r[0] != full] + [(max(tier(size), full + 1), size)]
+
+
+def test_tiers_are_those_of_plain_merging(spark, monkeypatch):
+    """With sizes counted in rows, runs after compaction are those of a plain version, and every arrival is a version."""
+    monkeypatch.setattr(sharding, "SMALLEST", 10)
+    data = sharding.ShardedDataset(spark, scratch(spark, "test-tiers"))
+    described = data._described
+
+    def by_rows(name):
+        run = described(name)
+        return run and run | {"bytes": run["rows"], "tier": data.tier(run["rows"])}
+
+    monkeypatch.setattr(data, "_described", by_rows)
+    sizes = [3, 8, 30, 5, 9, 41, 2, 7, 33, 100]
+    rows = [(a, i) for a, n in enumerate(sizes) for i in range(n)]
+    data.append_all(spark.createDataFrame(rows, "a int, x int"), "a")
+    assert data.version() == len(sizes) and sorted(r["rows"] for r in data.runs()) == sorted(sizes)
+    assert data.read(3).count() < data.read().count() == len(rows)
+    data.compact()
+    assert sorted((r["tier"], r["rows"]) for r in data.runs()) == tiers(sizes, data.fanout, 10)
+    data.vacuum(retain=2)
+    assert data.read(data.version() - 1).count() == len(rows) == data.read().count()
+    data.vacuum(retain=1)
+    assert data.read().count() == len(rows)
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        data.read(3).count()
+
+
 def test_versions_and_conflicts(spark):
     data = sharding.ShardedDataset(spark, scratch(spark, "test-shards"))
     for _ in range(sharding.FANOUT):
@@ -388,5 +479,7 @@ def test_versions_and_conflicts(spark):
     assert data.read(1).count() == 10
     with pytest.raises(sharding.Conflict):
         data._commit(1, [])
-    data.vacuum()
+    data.vacuum(retain=1)
     assert data.read().count() == 40
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        data.read(1).count()
