@@ -22,6 +22,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 class Vocabulary(NamedTuple):
     text: list[bytes]  # of each id, blanks as blanks
     hashes: list[np.ndarray]  # by length: sorted hashes of the beginnings of that length, whole pieces included
+    starts: list[np.ndarray]  # by length: where the hashes of each top part start
     ids: list[np.ndarray]  # in the order of the hashes; -1 for what only begins a piece
     score: np.ndarray  # of each id
     byte_ids: np.ndarray
@@ -64,15 +66,17 @@ def vocabulary(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
     score = np.full(n, -np.inf)
     ranked = sorted(plain, key=lambda i: (-sp.get_score(i), i))
     score[ranked] = -alpha * np.log(np.arange(len(ranked)) + 2.7)
-    hashes, ids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
+    hashes, starts, ids = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
     for length in range(1, max(map(len, plain.values())) + 1):
         own = {p: i for i, p in plain.items() if len(p) == length}
         own = {p[:length]: -1 for p in plain.values() if len(p) > length} | own
         h = _span_hashes(_codes("".join(own)), np.arange(len(own)) * length, length)
         order = np.argsort(h)
         hashes.append(h[order])
+        tops = np.arange(8 << len(own).bit_length(), dtype=np.uint64) << _U(64 - 3 - len(own).bit_length())
+        starts.append(np.searchsorted(h[order], tops).astype(np.int32))
         ids.append(np.fromiter(own.values(), dtype=np.int32)[order])
-    return Vocabulary(text, hashes, ids, score, byte_ids, -alpha * np.log(len(ranked) + 2.7))
+    return Vocabulary(text, hashes, starts, ids, score, byte_ids, -alpha * np.log(len(ranked) + 2.7))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -96,6 +100,23 @@ def _span_hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return h
 
 
+def _found(h: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where each of ``h`` stands among sorted hashes, -1 for nowhere: by its top bits, then one after another."""
+    at = starts[(h >> _U(64 - (len(starts).bit_length() - 1))).astype(np.int64)]
+    out = np.full(len(h), -1, dtype=np.int64)
+    going = np.arange(len(h))
+    while len(going):
+        here = at[going]
+        inside = here < len(hashes)
+        going, here = going[inside], here[inside]
+        seen = hashes[here]
+        equal = seen == h[going]
+        out[going[equal]] = here[equal]
+        going = going[seen < h[going]]
+        at[going] += 1
+    return out
+
+
 class Lattice(NamedTuple):
     """Of distinct parts, laid end to end. Node ``base[u] + j`` is after j characters of part u."""
 
@@ -126,8 +147,8 @@ def lattice(parts: list[str], v: Vocabulary) -> Lattice:
             if not len(fits):
                 break
             h = h[going] * _BASE + c[fits + n - 1]
-            found = np.minimum(np.searchsorted(v.hashes[n], h), len(v.hashes[n]) - 1)
-            hit = v.hashes[n][found] == h
+            found = _found(h, v.hashes[n], v.starts[n])
+            hit = found >= 0
             fits, h, got = fits[hit], h[hit], v.ids[n][found[hit]]
             whole = got >= 0
             edges.append((at[fits[whole]] + n, n, got[whole], v.score[got[whole]]))
@@ -191,17 +212,16 @@ def sample(lat: Lattice, part: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray
 
 def encode(texts: list[str | None], keys: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, ids of each text)."""
-    index: dict[str, int] = {}
     each = [_PARTS.findall(f" {t}") if t else [] for t in texts]
     per_text = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
     total = int(per_text.sum())
-    part = np.fromiter((index.setdefault(p, len(index)) for ps in each for p in ps), dtype=np.int64, count=total)
     if not total:
         return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+    part, distinct = pd.factorize(np.array([p for ps in each for p in ps], dtype=object))
     place = np.arange(total) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     with np.errstate(over="ignore"):
         seed = _mixed(_mixed(np.repeat(keys.astype(np.uint64), per_text)) + (place.astype(np.uint64) + _U(1)) * _BASE)
-    pieces, count = sample(lattice(list(index), v), part, seed)
+    pieces, count = sample(lattice(list(distinct), v), part, seed)
     owner = np.repeat(np.repeat(np.arange(len(texts)), per_text), count)
     bare = pieces < 0
     if bare.any():  # a character as the ids of its bytes
