@@ -291,8 +291,11 @@ def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, d
 
     def expanded(ask: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """v, w, s, done: the neighbours of (query, node, last) that could enter a pool and aren't ``known``."""
-        pairs = ask.join(near, "node").select("query", F.explode("near").alias("w"), "last").filter("w <> query").distinct()
-        pairs = pairs.join(known.select(F.col("v").alias("query"), "w"), ["query", "w"], "left_anti") if known is not None else pairs
+        pairs = ask.join(near, "node").select("query", F.explode("near").alias("w"), "last", F.lit(False).alias("old"))
+        if known is not None:
+            pairs = pairs.unionByName(known.select(F.col("v").alias("query"), "w", F.lit(float("-inf")).alias("last"), F.lit(True).alias("old")))
+        # One shuffle by query, whose pairs its pool bounds, serves to drop what is known and to fetch its vector.
+        pairs = pairs.repartition("query").groupBy("query", "w").agg(F.max("last").alias("last"), F.max("old").alias("old")).filter("not old and w <> query").drop("old")
         theirs = nodes.select(F.col("node").alias("w"), F.col("code").alias("code_w"))
         found = pairs.join(asking, "query").join(theirs, "w").select("query", "w", "last", "code", "code_w").mapInArrow(_scored(dim), _EDGES)
         return found.withColumn("done", F.lit(False))

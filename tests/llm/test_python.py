@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -344,6 +345,23 @@ def test_held_out_accuracy(spark, module, label, parts, held):
     assert {(r["doc_id"], r["held_out"]) for r in rows} == {tuple(r) for r in check.collect()}
 
 
+def test_quality_weights_are_the_ridge_solution(spark):
+    """The sums of the partitions give the weights that a plain solution over all training rows has."""
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    label: dict = {}
+    for r in labels.collect():
+        if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            label[r["doc_id"]] = max(r["quality"], label.get(r["doc_id"], 0))
+    rows = [(quality.statistics(r["text"]), label[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in label]
+    x, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows], dtype=float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and len(x) > 300
+    z = model.lifted(x)
+    plain = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, plain, atol=1e-6)
+    assert (np.diff(model.value) >= 0).all()
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_scores_without_labels(spark, module):
     docs, labels = labelled(spark)
