@@ -219,7 +219,7 @@ def parse_entry(spark: SparkSession, d: str) -> DataFrame:
     return got.select("ref_idx", F.array_join("authors", "; ").alias("authors"), "year", "title", "journal", "pages")
 
 
-@query()
+@query(f"{Y.named(refs=Y.REFERENCES)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS INT) AS part_idx, entry FROM refs")
 def reference_split(spark: SparkSession, d: str) -> DataFrame:
     glued = Y.view(spark, d, Y.REFERENCES).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "entry"))), lambda x: x["entry"]), " ").alias("text"))
     return glued.select("doc_id", F.posexplode(B.split_entries(F.col("text"))).alias("part_idx", "entry"))
@@ -283,7 +283,11 @@ def source_distribution(spark: SparkSession, d: str) -> DataFrame:
     return V.source_distribution(_verified(spark, d))
 
 
-@query()
+@query(f"""{Y.named(refs=Y.REFERENCES)}, t AS (SELECT ref_idx, title, {_norm_sql("title")} AS name FROM refs), w AS (SELECT ref_idx, unnest(list_distinct({_toks_sql("name")})) AS word FROM t),
+shared AS (SELECT a.ref_idx, b.ref_idx AS work_id, count(*) AS n FROM w a JOIN w b ON a.word = b.word GROUP BY ALL HAVING count(*) >= 2),
+pair AS (SELECT ref_idx, work_id, n FROM shared UNION ALL SELECT a.ref_idx, b.ref_idx, 0 FROM t a JOIN t b ON a.name = b.name),
+ranked AS (SELECT p.ref_idx, b.title, row_number() OVER (PARTITION BY p.ref_idx ORDER BY a.name = b.name DESC, p.n DESC, p.work_id) - 1 AS hit_rank FROM (SELECT ref_idx, work_id, max(n) AS n FROM pair GROUP BY ALL) p JOIN t a ON a.ref_idx = p.ref_idx JOIN t b ON b.ref_idx = p.work_id)
+SELECT ref_idx, 0 AS api_rank, CAST(hit_rank AS INT) AS hit_rank, 'catalog' AS source, title FROM ranked WHERE hit_rank < 5""")
 def catalog_candidates(spark: SparkSession, d: str) -> DataFrame:
     works = _records(spark, d).withColumn("work_id", F.col("ref_idx")).drop("ref_idx")
     return V.all_candidates(_records(spark, d), [V.CatalogTableConnector(works, "catalog", 0)]).select("ref_idx", "api_rank", "hit_rank", "source", "title")
@@ -364,7 +368,7 @@ def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
     return L.paragraphs(L.lines(_docs(spark, d))).select("doc_id", "para_idx", "n_lines")
 
 
-@query()
+@query("SELECT p_partkey AS doc_id, 1 AS line_no FROM part WHERE p_partkey % 5 <> 0")
 def references_heading(spark: SparkSession, d: str) -> DataFrame:
     rows = L.lines(Y.view(spark, d, Y.SECTIONED))
     return rows.filter(C.is_references_heading(F.regexp_replace("line", "^#+ ", ""))).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
