@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, minhash, mixing, negatives, pieces, pii, quality, sharding, substrings, toxicity, vecjoin
+from . import alignment, ann, minhash, mixing, negatives, pieces, pii, quality, sharding, substrings, toxicity, vecjoin
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
     "op12_negatives": op12_negatives,
 }
 ORACLES = {"op1_pii": pii.oracle(), "op4_vecjoin": vecjoin.ORACLE, "op6_minhash": minhash.ORACLE, "op9_mixing": mixing.ORACLE, "op12_negatives": negatives.ORACLE}
