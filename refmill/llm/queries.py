@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, minhash, mixing, negatives, pieces, pii, quality, sharding, substrings, toxicity, vecjoin
+from . import alignment, ann, licenses, minhash, mixing, negatives, pieces, pii, quality, sharding, substrings, toxicity, vecjoin
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ann": op2_ann,
@@ -69,5 +73,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_alignment": op11_alignment,
     "op12_negatives": op12_negatives,
+    "op13_licenses": op13_licenses,
 }
-ORACLES = {"op1_pii": pii.oracle(), "op4_vecjoin": vecjoin.ORACLE, "op6_minhash": minhash.ORACLE, "op9_mixing": mixing.ORACLE, "op12_negatives": negatives.ORACLE}
+ORACLES = {"op1_pii": pii.oracle(), "op4_vecjoin": vecjoin.ORACLE, "op6_minhash": minhash.ORACLE, "op9_mixing": mixing.ORACLE, "op12_negatives": negatives.ORACLE, "op13_licenses": licenses.oracle()}
