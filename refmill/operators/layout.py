@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import bound, trimmed
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -13,6 +15,49 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", trimmed(F.col("line"))).filter("line <> ''")
 
 
+def anchors(values: Column, within: float) -> Column:
+    """The values that no earlier one of the array is near to: each starts a level.
+
+    A value belongs to the first level that is near (:func:`level_of`). Only distinct values are gone through, and levels
+    lie ``within`` apart, so heights on a page cost little however many lines or tokens share them.
+    """
+    near = lambda found, v: F.exists(found, lambda a: F.abs(a - v) < within)
+    return F.aggregate(F.array_distinct(values), F.array().cast("array<int>"), lambda found, v: F.when(near(found, v), found).otherwise(F.concat(found, F.array(v))))
+
+
+def level_of(found: Column, value: Column, within: float) -> Column:
+    return F.get(F.filter(found, lambda a: F.abs(a - value) < within), F.lit(0))
+
+
+def neighbours(rows: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of each element and the next."""
+    return F.zip_with(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, 2, F.size(rows)), use)
+
+
+#: Heights that make one line, and the gap that parts a line.
+LINE_HEIGHT, LINE_GAP = 4, 50
+
+
+def page_lines(tokens: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, text, min_x, max_x, y) of tokens (doc_id, page_no, item_no, str, x, y, width).
+
+    A token belongs to the first line within ``LINE_HEIGHT``, by the tokens' order; a gap of over ``LINE_GAP`` parts a
+    line; lines go down the page. One shuffle by page; blank tokens, and those without a place, are left out.
+    """
+    y = F.floor(F.col("y") + 0.5).cast("int").alias("y")
+    item = F.struct("item_no", F.col("x").cast("double").alias("x"), F.coalesce(F.col("width").cast("double"), F.lit(0.0)).alias("width"), "str", y)
+    pages = tokens.filter((trimmed(F.col("str")) != "") & F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    heights = anchors(F.transform("items", lambda t: t["y"]), LINE_HEIGHT)
+    placed = lambda h: F.array_sort(F.transform("items", lambda t: F.struct((-level_of(h, t["y"], LINE_HEIGHT)).alias("down"), t["x"].alias("x"), t["item_no"].alias("item_no"), (t["x"] + t["width"]).alias("end"), t["str"].alias("str"))))
+    starts = lambda ts: F.concat(F.array(F.lit(1)), neighbours(ts, lambda a, b: F.when((a["down"] == b["down"]) & (b["x"] - a["end"] <= LINE_GAP), 0).otherwise(1)))
+    flat = pages.select("doc_id", "page_no", F.explode(bound(bound(heights, placed), lambda ts: F.arrays_zip(ts.alias("t"), starts(ts).alias("new")))).alias("i")).select("doc_id", "page_no", "i.t.*", "i.new")
+    order = Window.partitionBy("doc_id", "page_no").orderBy("down", "x", "item_no")
+    runs = flat.withColumn("line_no", F.sum("new").over(order) - 1)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("x", "item_no", "str", "end"))), lambda t: t["str"])
+    lines = runs.groupBy("doc_id", "page_no", "line_no").agg(trimmed(F.array_join(words, " ")).alias("text"), F.min("x").alias("min_x"), F.max_by("end", F.struct("x", "item_no")).alias("max_x"), F.min(-F.col("down")).alias("y"))
+    return lines.withColumn("line_no", F.col("line_no").cast("int"))
+
+
 def running_form(line: Column) -> Column:
     """Lower case, blanks for page numbers, blanks joined."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"(?<![A-Za-z0-9_])\d{1,4}(?![A-Za-z0-9_])", " "), r"\s+", " "))

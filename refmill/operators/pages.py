@@ -1,25 +1,21 @@
-"""Lines of PDF pages: margins, running headers, columns, and paragraphs of bodies and bibliographies.
+"""Lines of PDF pages: margins, Markdown, and footnotes among a body's paragraphs.
 
 Lines are (doc_id, page_no, line_no, text, min_x, max_x, y); y grows upwards.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
-from ..functions.citations import is_references_heading
-from ..functions.text import B, bound, trimmed
+from ..functions.text import trimmed
 from .footnotes import ANY_QUOTE, REPEAT, shortened
 from .layout import without_running_lines
 
 # The margins of a page, and the distances that part lines.
 TOP, BOTTOM = 640, 25
 SAME_LINE, GUTTER = 6, 20
-_ORDER = ("page_no", "line_no")
-_APPENDIX = rf"(?i)^(?:EKLER|EK\s+\d+|APPENDIX|APPENDICES){B}"
 
 
 def within_margins(lines: DataFrame) -> DataFrame:
@@ -27,115 +23,7 @@ def within_margins(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", trimmed(F.col("text"))).filter(F.col("y").between(BOTTOM, TOP) & (F.length("text") > 1))
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """Lines with ``part``: body, heading, bibliography, or appendix (after the bibliography)."""
-    place = F.struct(*_ORDER)
-    head = lines.groupBy("doc_id").agg(F.min(F.when(is_references_heading(F.col("text")), place)).alias("head"))
-    rows = lines.join(head, "doc_id")
-    after = rows.filter(place > F.col("head")).groupBy("doc_id").agg(F.min(F.when(F.col("text").rlike(_APPENDIX), place)).alias("appendix"))
-    rows = rows.join(after, "doc_id", "left")
-    part = F.when(F.col("head").isNull() | (place < F.col("head")), "body").when(place == F.col("head"), "heading").when(F.col("appendix").isNotNull() & (place >= F.col("appendix")), "appendix").otherwise("bibliography")
-    return rows.withColumn("part", part).drop("head", "appendix")
-
-
-def _without_page_number(c: Column) -> Column:
-    return trimmed(F.regexp_replace(F.regexp_replace(trimmed(c), r"^\d{1,4}\s+", ""), r"\s+\d{1,4}$", ""))
-
-
-def without_headers(lines: DataFrame) -> DataFrame:
-    """Lines that are no running header: not repeated on three pages, not set apart at a page's ends, no bare number.
-
-    Documents of under five lines stay as they are. The usual gap of a page is the upper median of its content.
-    """
-    df = lines.withColumn("_t", trimmed(F.col("text"))).withColumn("_f", _without_page_number(F.col("text")))
-    repeated = lambda c, least: df.filter(F.length(c) >= least).groupBy("doc_id", c).agg(F.countDistinct("page_no").alias("n")).filter("n >= 3").select("doc_id", c, F.lit(True).alias(f"{c}_often"))
-    page = Window.partitionBy("doc_id", "page_no")
-    down = page.orderBy(F.desc("y"), "line_no")
-    df = df.withColumn("_n", F.count("*").over(page)).withColumn("_i", F.row_number().over(down)).withColumn("_gap", F.lag("y").over(down) - F.col("y")).withColumn("_next", F.col("y") - F.lead("y").over(down))
-    gap = F.when((F.col("_i") > 3) & (F.col("_gap") > 3) & (F.col("_gap") < 50), F.col("_gap"))
-    gaps = F.sort_array(F.collect_list(gap).over(page))
-    df = df.withColumn("_gaps", gaps).withColumn("_usual", F.get("_gaps", F.floor(F.size("_gaps") / 2).cast("int")))
-    second = F.max(F.when(F.col("_i") == 3, F.col("_gap"))).over(page)
-    df = df.withColumn("_second", second)
-    top = (F.col("_i") == 1) & (F.col("_next") > F.col("_usual") * 2) & ~R.starts_record(F.col("text"))
-    block = (F.col("_i") <= 2) & (F.col("_second") > F.col("_usual") * 2.5)
-    foot = (F.col("_i") == F.col("_n")) & (F.col("_gap") > F.col("_usual") * 2.5) & F.col("_t").rlike(r"^\d{1,4}$")
-    apart = (F.col("_n") >= 4) & F.col("_usual").isNotNull() & (top | block | foot)
-    df = df.withColumn("_apart", F.coalesce(apart, F.lit(False))).withColumn("_all", F.count("*").over(Window.partitionBy("doc_id")))
-    df = df.join(repeated("_t", 3), ["doc_id", "_t"], "left").join(repeated("_f", 5), ["doc_id", "_f"], "left")
-    goes = F.coalesce(F.col("_t_often"), F.lit(False)) | F.coalesce(F.col("_f_often"), F.lit(False)) | F.col("_apart") | F.col("_t").rlike(r"^\d{1,4}$")
-    return df.filter((F.col("_all") < 5) | ~goes).select(*lines.columns)
-
-
-def _gutter(page: pd.DataFrame) -> pd.DataFrame:
-    """The upper median middle of a page's gaps between lines of one height, if there are two."""
-    levels: list[tuple[float, list]] = []
-    for r in page.sort_values("line_no").itertuples():
-        level = next((x for x in levels if abs(x[0] - r.y) < SAME_LINE), None)
-        if level is None:
-            levels.append(level := (r.y, []))
-        level[1].append((r.min_x, r.max_x or r.min_x + 200))
-    middles = []
-    for _, row in levels:
-        row.sort()
-        middles += [(a[1] + b[0]) / 2 for a, b in zip(row, row[1:], strict=False) if b[0] - a[1] > GUTTER]
-    found = len(page) >= 3 and len(middles) >= 2
-    return pd.DataFrame({"doc_id": [page.iloc[0].doc_id], "middle": [sorted(middles)[len(middles) // 2]]} if found else {"doc_id": [], "middle": []})
-
-
-def in_columns(lines: DataFrame) -> DataFrame:
-    """Lines with ``reading``, their order: of two columns the left one first, if pages show a gutter."""
-    middle = lines.groupBy("doc_id", "page_no").applyInPandas(_gutter, "doc_id long, middle double").groupBy("doc_id").agg(F.avg("middle").alias("middle"))
-    rows = lines.join(middle, "doc_id", "left")
-    centre = (F.col("min_x") + F.when(F.col("max_x") > 0, F.col("max_x")).otherwise(F.col("min_x") + 100)) / 2
-    right = F.when(F.col("middle").isNull(), 0).when(centre < F.col("middle"), 0).otherwise(1)
-    down = F.when(F.col("middle").isNull(), F.col("line_no")).otherwise(-F.col("y"))
-    order = Window.partitionBy("doc_id").orderBy("page_no", right, down, "line_no")
-    return rows.withColumn("reading", F.row_number().over(order)).drop("middle")
-
-
-def _appended(text: Column, line: Column) -> Column:
-    """A line joined on: after a hyphen without a blank, and without the hyphen unless it is a link's."""
-    link = F.regexp_extract(text, r"(\S*)$", 1).rlike(r"/|http|www\.")
-    return F.when(F.endswith(text, F.lit("-")) & link, F.concat(text, line)).when(F.endswith(text, F.lit("-")), F.concat(F.regexp_replace(text, "-$", ""), line)).otherwise(F.concat(text, F.lit(" "), line))
-
-
-def bibliography_paragraphs(lines: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, page_no, text) of bibliography lines in reading order: one row an entry.
-
-    A line goes on if what there is ends in a hyphen, without a full stop, or with its year; if it starts like no entry
-    (a link, an access date, pages, lower case, an initial); or if it is indented on a page of hanging indents. The
-    lines of one document are folded in order.
-    """
-    page = Window.partitionBy("doc_id", "page_no")
-    order = Window.partitionBy("doc_id").orderBy("reading")
-    base = F.coalesce(F.min(F.when(F.length("text") > 15, F.col("min_x"))).over(page), F.lit(50.0))
-    df = lines.withColumn("_base", base)
-    df = df.withColumn("_hanging", F.avg((F.col("min_x") > F.col("_base") + 5).cast("int")).over(page) > 0.25)
-    t = trimmed(F.col("text"))
-    first = F.regexp_extract(t, r"(\p{L})", 1)
-    goes = (
-        t.rlike(r"(?i)^https?://") | t.rlike(rf"(?i)^\(?\s*(?:Son\s+Eri[şŞ]im|Eri[şŞ]im|Tarihi|Access(?:ed|\s+Date)?){B}") | t.rlike(rf"^\(?\s*\d{{1,4}}\s*[–-]\s*\d{{1,4}}{B}")
-        | first.rlike(r"\p{Ll}") | t.rlike(r"^[A-ZÇĞİÖŞÜ]\.(?:\s|$)")
-    )
-    same_page = F.lag("page_no").over(order) == F.col("page_no")
-    otherwise = ~R.starts_record(t) | (F.coalesce(same_page, F.lit(False)) & F.col("_hanging") & (F.col("min_x") > F.col("_base") + 4))
-    df = df.select("doc_id", F.struct("reading", "page_no", "text", goes.alias("goes"), otherwise.alias("else")).alias("line"))
-    rows = df.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-
-    def step(acc: Column, line: Column) -> Column:
-        current = F.element_at(acc, -1)
-        text = current["text"]
-        bare_end = bound(R.year_at(text), lambda y: (y["whole"] != "") & (F.length(trimmed(F.substr(text, y["at"] + F.length(y["whole"]) + 1))) < 5))
-        on = line["goes"] | F.endswith(text, F.lit("-")) | ~trimmed(text).rlike(r"[.!?][\"”»)\]]?\s*$") | bare_end | line["else"]
-        longer = F.struct(current["page_no"].alias("page_no"), _appended(text, line["text"]).alias("text"))
-        one = F.struct(line["page_no"].alias("page_no"), line["text"].alias("text"))
-        return F.when(F.size(acc) == 0, F.array(one)).when(on, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(one)))
-
-    folded = F.aggregate("lines", F.array().cast("array<struct<page_no:int,text:string>>"), step)
-    return rows.select("doc_id", F.posexplode(folded).alias("para_idx", "p")).select("doc_id", "para_idx", "p.page_no", "p.text")
-
-
+# Headings of sections, and how an entry starts.
 _HEADING = r"(?i)^(Kaynak[çÇ]a|Kaynaklar|References|Bibliography|Referanslar|Ekler|Ek\s+\d+|Appendix|Appendices)"
 _NEW_ENTRY = r"^(?:\d+[.)]\s*|\[\d+\]\s*)?[A-ZÇĞİÖŞÜ][a-zA-ZçğıöşüÇĞİÖŞÜ\s'-]+?,\s*[A-ZÇĞİÖŞÜ]"
 

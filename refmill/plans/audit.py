@@ -11,30 +11,39 @@ from ..functions.citations import is_references_heading
 from ..functions.text import visible
 from ..operators import bibliography as B
 from ..operators import citations as OC
+from ..operators import document as D
 from ..operators import footnotes as OF
-from ..operators import layout as L
 from ..operators import pages as P
+from .keeping import kept
 
 
 def paragraphs_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, text) of (doc_id, text): lines, blanks joined."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "text")).withColumn("text", visible(F.col("text")))
+    """(doc_id, para_idx, text, part) of (doc_id, text): lines, blanks joined; part is body, heading or bibliography.
 
+    Without a heading all is body. A document's lines are parted where they stand, without a shuffle.
+    """
+    lines = docs.select("doc_id", F.transform(F.split("text", "\n"), visible).alias("lines"))
+    head = F.array_position(F.transform("lines", is_references_heading), F.lit(True))
+    rows = lines.withColumn("head", head).select("doc_id", "head", F.posexplode("lines").alias("para_idx", "text"))
+    at = F.col("para_idx") + 1
+    part = F.when((F.col("head") == 0) | (at < F.col("head")), "body").when(at == F.col("head"), "heading").otherwise("bibliography")
+    return rows.select("doc_id", "para_idx", "text", part.alias("part"))
 
-def split_at_heading(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with ``part``: body, heading or bibliography. Without a heading all is body."""
-    first = paragraphs.groupBy("doc_id").agg(F.min(F.when(is_references_heading(F.col("text")), F.col("para_idx"))).alias("start"))
-    part = F.when(F.col("start").isNull() | (F.col("para_idx") < F.col("start")), "body").when(F.col("para_idx") == F.col("start"), "heading").otherwise("bibliography")
-    return paragraphs.join(first, "doc_id").withColumn("part", part).drop("start")
 
+def entries_of(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, ref_idx, para_idx, entry, display, keys, structured) of bibliography paragraphs, entries that run together apart.
 
-def references_of(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, ref_idx, para_idx, display, keys, structured) of bibliography paragraphs, entries that run together apart."""
-    bare = F.regexp_replace("text", r"^\[\d+\]\s*", "")
-    entries = paragraphs.filter("part = 'bibliography' and text <> ''").select("doc_id", "para_idx", F.posexplode(B.split_entries(bare)).alias("part_no", "entry"))
+    An entry that doesn't parse has nulls.
+    """
+    bare = F.regexp_replace("text", r"^\s*\[\d+\]\s*", "")
+    entries = paragraphs.filter("part = 'bibliography' and length(text) > 5").select("doc_id", "para_idx", F.posexplode(B.split_entries(bare)).alias("part_no", "entry"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx", "part_no")) - 1
-    entries = entries.withColumn("ref_idx", number.cast("long")).drop("part_no")
-    return R.parsed(entries).drop("entry")
+    return R.parsed(entries.withColumn("ref_idx", number.cast("long")).drop("part_no"), unparsed=True)
+
+
+def references_of(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, ref_idx, para_idx, display, keys, structured): the entries that parse."""
+    return entries_of(paragraphs).filter("keys is not null").drop("entry")
 
 
 FOOT_IDS = ("doc_id", "foot_ord", "part_idx")
@@ -46,7 +55,7 @@ def audited_footnotes(footnotes: DataFrame, references: DataFrame) -> dict[str,
     ``footnotes`` has doc_id, foot_ord, foot_id, text; ``references`` doc_id, ref_idx, keys, title, families. A part
     with keys is missing if no reference of its document owns one of them, and a part without keys is unresolved.
     """
-    parts = OF.resolved(footnotes, references)
+    parts = kept(OF.resolved(footnotes, references))
     gaps = OC.missing(parts.filter(F.size("keys") > 0), references, FOOT_IDS)
     order = F.struct("foot_ord", "part_idx", "foot_id", "part", "keys")
     groups = gaps.withColumn("display", F.col("part")).withColumn("group_key", OC.group_key()).groupBy("doc_id", "group_key").agg(F.array_sort(F.collect_list(order)).alias("items"))
@@ -62,19 +71,43 @@ def records(references: DataFrame, accessed: str) -> DataFrame:
     return rows.select("doc_id", "ref_idx", "r.*")
 
 
-def _audited(paragraphs: DataFrame, refs: DataFrame, footnotes: DataFrame | None, accessed: str) -> dict[str, DataFrame]:
-    """The tables of an audit, of (doc_id, para_idx, part, text) paragraphs and their references."""
+def isnad_bibliography(references: DataFrame) -> DataFrame:
+    """(doc_id, position, ref_idx, text): a document's bibliography in its own order, numbered from 1; empty entries go."""
+    rows = references.select("doc_id", "ref_idx", X.bibliography_entry(F.col("structured")).alias("text")).filter("text <> ''")
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_idx")).alias("position"), "ref_idx", "text")
+
+
+#: What ``diagnostics`` counts: column, kind of fact, and whether only flagged ones count.
+COUNTS = (
+    ("paragraphs", ("body", "heading", "bibliography"), False), ("body_paragraphs", ("body",), False), ("candidates", ("entry",), False), ("unparsed", ("entry",), True),
+    ("citations", ("citation",), False), ("missing", ("citation",), True), ("footnotes", ("footnote",), False), ("footnote_parts", ("footnote", "part"), False), ("unresolved_footnotes", ("footnote", "part"), True),
+)
+
+
+def diagnostics(paragraphs: DataFrame, entries: DataFrame, citations: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """One row a document: what ``COUNTS`` lists, references, and whether there is a bibliography; one aggregation.
+
+    Facts are a document, a kind and a flag: entries are flagged if they don't parse, citations if nothing owns them,
+    a footnote's parts if they don't resolve (the first part stands for the footnote).
+    """
+    fact = lambda df, kind, flag: df.select("doc_id", kind.alias("kind"), flag.alias("flag"))
+    facts = fact(paragraphs, F.col("part"), F.lit(False)).unionByName(fact(entries, F.lit("entry"), F.col("keys").isNull())).unionByName(fact(citations, F.lit("citation"), F.col("ref_idx").isNull()))
+    if parts is not None:
+        facts = facts.unionByName(fact(parts, F.when(F.col("part_idx") == 0, "footnote").otherwise("part"), F.size("keys") == 0))
+    of = lambda kinds, flagged: F.count_if(F.col("kind").isin(*kinds) & (F.col("flag") if flagged else F.lit(True)))
+    counts = facts.groupBy("doc_id").agg(*(of(kinds, flagged).alias(name) for name, kinds, flagged in COUNTS), (of(("heading",), False) > 0).alias("has_bibliography"))
+    return counts.withColumn("references", F.col("candidates") - F.col("unparsed"))
+
+
+def _audited(paragraphs: DataFrame, entries: DataFrame, footnotes: DataFrame | None, accessed: str) -> dict[str, DataFrame]:
+    """The tables of an audit, of (doc_id, para_idx, part, text) paragraphs and the bibliography's entries."""
+    refs = entries.filter("keys is not null").drop("entry")
     cites = OC.looked_up(OC.extracted(paragraphs.filter("part = 'body'")), refs)
-    out = {"citations": cites.drop("ref_idx"), "references": refs, "missing": OC.grouped(cites.filter("ref_idx is null")), "records": records(refs, accessed)}
-    whole = paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.col("part") == "body").alias("body_paragraphs"), F.max((F.col("part") == "heading").cast("int")).cast("boolean").alias("has_bibliography"))
-    counts = [cites.groupBy("doc_id").agg(F.count("*").alias("citations"), F.count_if(F.col("ref_idx").isNull()).alias("missing"))]
-    counts.append(refs.groupBy("doc_id").agg(F.count("*").alias("references")))
+    out = {"paragraphs": paragraphs, "citations": cites.drop("ref_idx"), "references": refs, "missing": OC.grouped(cites.filter("ref_idx is null")), "records": records(refs, accessed)}
+    out |= {"unparsed": entries.filter("keys is null").select("doc_id", "ref_idx", "para_idx", "entry"), "bibliography": isnad_bibliography(refs)}
     if footnotes is not None:
         out |= audited_footnotes(footnotes, _titled(refs))
-        counts.append(out["footnotes"].groupBy("doc_id").agg(F.count_distinct("foot_ord").alias("footnotes"), F.count_if(F.size("keys") == 0).alias("unresolved_footnotes")))
-    for c in counts:
-        whole = whole.join(c, "doc_id", "left")
-    return out | {"diagnostics": whole.fillna(0, [n for c in counts for n in c.columns if n != "doc_id"])}
+    return out | {"diagnostics": diagnostics(paragraphs, entries, cites, out.get("footnotes"))}
 
 
 def _titled(refs: DataFrame) -> DataFrame:
@@ -82,27 +115,23 @@ def _titled(refs: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, footnotes: DataFrame | None = None, accessed: str = "2024-01-31") -> dict[str, DataFrame]:
-    """Tables ``citations``, ``references``, ``missing`` (grouped), ``records`` and ``diagnostics`` of (doc_id, text) documents.
+    """Tables ``paragraphs``, ``citations``, ``references``, ``unparsed``, ``missing`` (grouped), ``records``,
+    ``bibliography`` and ``diagnostics`` of (doc_id, text) documents.
 
     With ``footnotes`` (doc_id, foot_ord, foot_id, text) also those of :func:`audited_footnotes`, which are counted too.
     """
-    paragraphs = split_at_heading(paragraphs_of(docs))
-    return _audited(paragraphs, references_of(paragraphs), footnotes, accessed)
+    paragraphs = paragraphs_of(docs)
+    return _audited(paragraphs, kept(entries_of(paragraphs)), footnotes, accessed)
 
 
 def audit_pages(lines: DataFrame, accessed: str = "2024-01-31") -> dict[str, DataFrame]:
     """The tables of :func:`audit`, footnotes included, of page lines (doc_id, page_no, line_no, text, min_x, max_x, y).
 
-    Margins, running lines and headers go, columns are put in order, and lines are joined to paragraphs and entries;
-    footnotes are the body's paragraphs that start with a number and cite something.
+    Running headers go and columns are put in order in the bibliography only; the body keeps every line inside the
+    margins. Footnotes are the body's paragraphs that start with a number and cite something.
     """
-    inside = P.within_margins(lines)
-    running = L.without_running_lines(inside.withColumn("line", F.col("text"))).drop("line")
-    parted = P.sections(P.in_columns(P.without_headers(running)))
-    body = L.paragraphs(parted.filter("part = 'body'").select("doc_id", F.col("reading").alias("line_no"), F.col("text").alias("line"), "page_no"))
-    entries = P.bibliography_paragraphs(parted.filter("part = 'bibliography'"))
-    refs = references_of(entries.withColumn("part", F.lit("bibliography")))
-    notes = P.footnotes_in_body(body, _titled(refs))
-    heads = parted.filter("part = 'heading'").select("doc_id", F.lit(-1).cast("long").alias("para_idx"), "text", "part")
-    paragraphs = body.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text", F.lit("body").alias("part")).unionByName(heads).unionByName(entries.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text", F.lit("bibliography").alias("part")))
-    return _audited(paragraphs, refs, notes, accessed)
+    paragraphs = kept(D.paragraphs(lines))
+    entries = kept(entries_of(paragraphs))
+    body = paragraphs.filter("part = 'body'")
+    notes = P.footnotes_in_body(body, _titled(entries.filter("keys is not null")))
+    return _audited(paragraphs, entries, notes, accessed)

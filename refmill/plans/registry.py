@@ -431,10 +431,9 @@ def _page_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{Y.named(refs=Y.REFERENCES)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS INT) AS para_idx, entry AS text FROM refs")
 def page_bibliography(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import pages
+    from ..operators import document
 
-    lines = pages.in_columns(pages.without_headers(pages.within_margins(_page_lines(spark, d))))
-    return pages.bibliography_paragraphs(lines).select("doc_id", "para_idx", "text")
+    return document.bibliography(_page_lines(spark, d)).select("doc_id", "para_idx", "text")
 
 
 @query()
@@ -484,3 +483,58 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     from ..sources import reports
 
     return reports.audit_report(_audited_notes(spark, d), "2024-01-31", footnotes=True)
+
+
+# -- whole page documents ---------------------------------------------------------------------------------------
+
+
+def _whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    return Y.view(spark, d, Y.PAGE_LINES)
+
+
+_PAGE_FACTS = f"""WITH p AS (SELECT {Y.DOC} AS doc_id, p_partkey, lower({Y.FIRST}) || ':' || {Y.YEAR} AS told, lower({Y.FAMILY}) || ':' || {Y.YEAR} AS cited FROM part),
+r AS (SELECT DISTINCT doc_id, unnest([cited, lower(upper(substr(p_name, 1, 1)) || left({Y.FAMILY}, 1)) || ':' || {Y.YEAR}]) AS key FROM p JOIN part USING (p_partkey) WHERE p_partkey % 3 <> 0),
+c AS (SELECT doc_id, p_partkey, unnest(CASE WHEN p_partkey % 7 = 0 THEN [told, cited, cited] ELSE [told, cited] END) AS key FROM p),
+m AS (SELECT c.*, NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = c.doc_id AND r.key = c.key) AS gone FROM c),
+n AS (SELECT doc_id, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN cited ELSE last_value(CASE WHEN p_partkey % 7 = 0 THEN cited END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p_partkey) END AS key FROM p WHERE p_partkey % 7 < 2),
+l AS (SELECT doc_id, p_partkey, k, row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, k) - 1 AS i FROM (SELECT doc_id, p_partkey, unnest([0, 1]) AS k FROM p WHERE p_partkey % 3 <> 0 UNION ALL SELECT DISTINCT doc_id, -1, 0 FROM p)),
+e AS (SELECT doc_id, count(*) FILTER (WHERE k = 0 AND (doc_id % 2 = 1 OR i % 40 < 20)) AS entries FROM l GROUP BY doc_id)"""
+
+
+@query(
+    _PAGE_FACTS
+    + """ SELECT doc_id, body + 1 + entries AS paragraphs, body AS body_paragraphs, listed + 1 AS candidates, 1::BIGINT AS unparsed, listed AS "references", citations, missing, notes AS footnotes, unresolved AS unresolved_footnotes
+  FROM (SELECT doc_id, sum(1 + (p_partkey % 10 = 0)::INT + (p_partkey % 7 < 2)::INT)::BIGINT AS body, count(*) FILTER (WHERE p_partkey % 3 <> 0) AS listed FROM p GROUP BY doc_id) JOIN e USING (doc_id)
+  JOIN (SELECT doc_id, count(*) AS citations, count(*) FILTER (WHERE gone) AS missing FROM m GROUP BY doc_id) USING (doc_id)
+  JOIN (SELECT doc_id, count(*) AS notes, count(*) FILTER (WHERE key IS NULL) AS unresolved FROM n GROUP BY doc_id) USING (doc_id)"""
+)
+def audit_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the audit of page documents, from lines to resolved footnotes."""
+    from .audit import audit_pages
+
+    return audit_pages(_whole_pages(spark, d))["diagnostics"].select("doc_id", "paragraphs", "body_paragraphs", "candidates", "unparsed", "references", "citations", "missing", "footnotes", "unresolved_footnotes")
+
+
+@query(_PAGE_FACTS + " SELECT doc_id, key AS group_key, count(*) AS occurrences FROM m WHERE gone GROUP BY doc_id, key")
+def missing_in_pages(spark: SparkSession, d: str) -> DataFrame:
+    from .audit import audit_pages
+
+    return audit_pages(_whole_pages(spark, d))["missing"].select("doc_id", "group_key", "occurrences")
+
+
+# Lines of the documents as pages of forty, and what each adds to its paragraph.
+_DOC_LINES = f"""SELECT doc_id, CAST(line_no // 40 + 1 AS INT) AS page_no, line_no, line FROM ({_LINES}) WHERE length(line) > 1"""
+
+
+@query(f"""WITH l AS ({_DOC_LINES}), b AS (SELECT *, lag(line) OVER w AS prev FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+o AS (SELECT *, prev IS NOT NULL AND (prev LIKE '%-' OR regexp_matches(line, '^\\p{{Ll}}') OR NOT regexp_matches(prev, '[.?!:]$')) AS goes_on FROM b),
+n AS (SELECT *, lead(goes_on) OVER (PARTITION BY doc_id ORDER BY line_no) AS more, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS para FROM o),
+x AS (SELECT *, CASE WHEN NOT goes_on OR prev LIKE '%-' THEN '' ELSE ' ' END || CASE WHEN line LIKE '%-' AND more AND NOT regexp_matches(regexp_extract(line, '(\\S*)$', 1), '/|http|www\\.') THEN left(line, length(line) - 1) ELSE line END AS piece FROM n)
+SELECT doc_id, CAST(para - 1 AS BIGINT) AS para_idx, min(page_no) AS page_no, 'body' AS part, md5(string_agg(piece, '' ORDER BY line_no)) AS text FROM x GROUP BY doc_id, para""")
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents' lines, forty a page."""
+    from ..operators import document
+
+    place = (F.lit(600) - 12 * (F.col("line_no") % 40)).cast("int").alias("y")
+    lines = L.paged(L.lines(_docs(spark, d)), 40).select("doc_id", "page_no", "line_no", F.col("line").alias("text"), F.lit(50.0).alias("min_x"), F.lit(500.0).alias("max_x"), place)
+    return document.paragraphs(lines).select("doc_id", "para_idx", "page_no", "part", F.md5("text").alias("text"))

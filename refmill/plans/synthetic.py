@@ -63,3 +63,24 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def named(**views: str) -> str:
     """A WITH clause of views for DuckDB."""
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in views.items())
+
+
+_LISTED_LINES = f"""SELECT {DOC} AS doc_id, p_partkey, k, CASE WHEN k = 0 THEN concat({FAMILY}, ', ', upper(substr(p_name, 1, 1)), '. (', {YEAR}, '). ', p_name, ' ', p_type, '.')
+    ELSE concat(p_brand, ' Journal, ', cast(p_size as string), '(', cast(p_partkey % 12 + 1 as string), '), ', cast(p_partkey % 100 + 1 as string), '-', cast(p_partkey % 100 + 9 as string), '.') END AS text
+  FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT DISTINCT {DOC}, cast(-1 as bigint), 0, '– – – – – – –.' FROM part"""
+
+#: Lines of a body: three a part, broken within a citation and a word; a line that many pages repeat, and notes.
+BODY_LINES = f"""SELECT {DOC} AS doc_id, p_partkey, k, CASE k WHEN 0 THEN concat({FIRST}, ' (', {YEAR}, ') says that earlier work (', {FAMILY}, ',') WHEN 1 THEN concat({YEAR}, ') on ', p_name, ' inter-') WHEN 2 THEN 'feres with it.'
+    WHEN 3 THEN 'Sample 1 was measured again and again.' WHEN 4 THEN CASE WHEN p_partkey % 7 = 0 THEN concat(cast(p_partkey % 100 as string), ' See (', {FAMILY}, ', ', {YEAR}, ').') ELSE concat(cast(p_partkey % 100 as string), ' Ibid., p. 5.') END END AS text
+  FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) WHERE k < 3 OR (k = 3 AND p_partkey % 10 = 0) OR (k = 4 AND p_partkey % 7 < 2)"""
+
+#: Pages of whole documents: thirty lines of body a page under a header in the margin, a heading, and a bibliography
+#: in one column, or in two where the document's number is even, with an entry that names nobody.
+PAGE_LINES = f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, k) - 1 AS n FROM ({BODY_LINES})),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey, k) - 1 AS n, 1 + doc_id % 2 AS one FROM ({_LISTED_LINES})),
+c AS (SELECT *, cast(floor(n / (40 / one)) as int) AS page, cast(floor(n % (40 / one) / 20) as int) AS col, cast(n % 20 as int) AS row FROM r)
+SELECT doc_id, cast(floor(n / 30) as int) + 1 AS page_no, cast(n % 30 as int) + 1 AS line_no, text, 50.0D AS min_x, 500.0D AS max_x, cast(600 - 12 * (n % 30) as int) AS y FROM b
+UNION ALL SELECT DISTINCT doc_id, cast(floor(n / 30) as int) + 1, 0, 'A Journal of Lines', 50.0D, 200.0D, 700 FROM b
+UNION ALL SELECT DISTINCT doc_id, 1000, 1, 'Kaynakça', 50.0D, 120.0D, 600 FROM b
+UNION ALL SELECT doc_id, 1001 + page, row * 2 + col + 1, text, 50.0D + col * 250 + k * 20, 250.0D + col * 250, cast(600 - 12 * row as int) FROM c"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed, visible
+from ..operators.layout import page_lines
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _BREAKS = {f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}tab": "\t"}
@@ -104,31 +105,6 @@ def pasted(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame([(f"pasted-{i}", t) for i, t in enumerate(texts)], "path string, text string")
 
 
-def _page_lines(items: pd.DataFrame) -> pd.DataFrame:
-    """Tokens of one page to lines: the first line within four units takes a token; gaps over fifty part a line."""
-    lines: list[tuple[float, list[tuple[float, float, str]]]] = []
-    for r in items.sort_values("item_no").itertuples():
-        if not str(r.str).strip():
-            continue
-        y = round(r.y)
-        line = next((x for x in lines if abs(x[0] - y) < 4), None)
-        if line is None:
-            lines.append(line := (y, []))
-        line[1].append((r.x, r.width, r.str))
-    out = []
-    for y, tokens in sorted(lines, key=lambda x: -x[0]):
-        tokens.sort(key=lambda t: t[0])
-        run: list[tuple[float, float, str]] = []
-        for t in [*tokens, None]:
-            if run and (t is None or t[0] - (run[-1][0] + run[-1][1]) > 50):
-                out.append((" ".join(x[2] for x in run).strip(), run[0][0], run[-1][0] + run[-1][1], int(y)))
-                run = []
-            if t is not None:
-                run.append(t)
-    keys = items.iloc[0]
-    return pd.DataFrame([(keys.doc_id, keys.page_no, i, *x) for i, x in enumerate(out)], columns=["doc_id", "page_no", "line_no", "text", "min_x", "max_x", "y"])
-
-
 def pdf_lines(tokens: DataFrame) -> DataFrame:
-    """(doc_id, page_no, line_no, text, min_x, max_x, y) of a token table; a page's tokens are one task's group."""
-    return tokens.groupBy("doc_id", "page_no").applyInPandas(_page_lines, "doc_id long, page_no int, line_no int, text string, min_x double, max_x double, y int")
+    """(doc_id, page_no, line_no, text, min_x, max_x, y) of a token table (doc_id, page_no, item_no, str, x, y, width)."""
+    return page_lines(tokens)
