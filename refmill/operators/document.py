@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions.citations import is_references_heading
 from ..functions.text import B, bound, trimmed
-from .layout import anchors, level_of, neighbours
+from .layout import anchors, by_document, level_of, neighbours
 from .pages import GUTTER, SAME_LINE, within_margins
 
 PARTS = ("body", "heading", "bibliography")
@@ -47,7 +47,7 @@ def _of(*keys: str, by: tuple = ()) -> WindowSpec:
 def parted(lines: DataFrame) -> DataFrame:
     """Lines inside the margins, dealt by document, with ``part``; what follows an appendix goes."""
     place = F.struct("page_no", "line_no")
-    rows = within_margins(lines.select("doc_id", "page_no", "line_no", "text", "min_x", "max_x", "y")).repartition("doc_id")
+    rows = by_document(within_margins(lines.select("doc_id", "page_no", "line_no", "text", "min_x", "max_x", "y")))
     rows = rows.withColumn("_head", F.min(F.when(is_references_heading(F.col("text")), place)).over(_of()))
     rows = rows.withColumn("_after", F.coalesce(place > F.col("_head"), F.lit(False)))
     rows = rows.withColumn("_end", F.min(F.when(F.col("_after") & F.col("text").rlike(_APPENDIX), place)).over(_of()))
@@ -189,7 +189,7 @@ def _entries(runs: DataFrame) -> DataFrame:
 
 def listed(lines: DataFrame) -> DataFrame:
     """Lines inside the margins, dealt by document, all of them a bibliography's."""
-    return within_margins(lines.select("doc_id", "page_no", "line_no", "text", "min_x", "max_x", "y")).repartition("doc_id").withColumn("part", F.lit("bibliography"))
+    return by_document(within_margins(lines.select("doc_id", "page_no", "line_no", "text", "min_x", "max_x", "y"))).withColumn("part", F.lit("bibliography"))
 
 
 def assembled(rows: DataFrame) -> DataFrame:

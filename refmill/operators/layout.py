@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.text import bound, trimmed
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """``df`` dealt by doc_id to the session's number of partitions: little data may be much work, so they stay apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of non-empty lines."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", trimmed(F.col("line"))).filter("line <> ''")

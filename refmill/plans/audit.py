@@ -14,6 +14,7 @@ from ..operators import citations as OC
 from ..operators import document as D
 from ..operators import footnotes as OF
 from ..operators import pages as P
+from ..operators.layout import by_document
 from .keeping import kept
 
 
@@ -120,7 +121,7 @@ def audit(docs: DataFrame, footnotes: DataFrame | None = None, accessed: str = "
 
     With ``footnotes`` (doc_id, foot_ord, foot_id, text) also those of :func:`audited_footnotes`, which are counted too.
     """
-    paragraphs = paragraphs_of(docs)
+    paragraphs = kept(by_document(paragraphs_of(docs)))
     return _audited(paragraphs, kept(entries_of(paragraphs)), footnotes, accessed)
 
 
