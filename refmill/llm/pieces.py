@@ -276,7 +276,8 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tup
     keep = tuple(docs.columns) if keep is None else keep
     keep = tuple(c for c in keep if c not in ("n_tokens", "token_ids", "lossless"))
     seeded = docs.select(*(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0"))).alias("key"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, token_ids array<int>, lossless boolean"
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens long, token_ids array<int>, lossless boolean"
     return seeded.mapInArrow(_encoder(model, alpha, list(keep)), schema)
 
 

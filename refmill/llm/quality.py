@@ -143,10 +143,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch[c] for c in keep] + [pa.array(model.score(_matrix(batch, "text")), pa.float64())], names=[*keep, "score"])
+            yield pa.record_batch([batch[f"kept{i}"] for i in range(len(keep))] + [pa.array(model.score(_matrix(batch, "text")), pa.float64())], names=[*keep, "score"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes) + "score double"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "score double"
+    return docs.select(*(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)), "text").mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

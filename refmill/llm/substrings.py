@@ -20,7 +20,9 @@ Stretches are equal if two 64-bit hashes agree, windows if their bytes do (two h
 matches never cross documents. Records go to parts whose number grows with the bytes of the texts.
 
 Edge cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; of equal rows with one doc_id neither is
-earlier; a row with a null doc_id loses nothing and makes others lose nothing; other columns are not read.
+earlier; rows that repeat a doc_id with another text are documents of their own, in the order of their texts' hashes;
+a row with a null doc_id loses nothing and makes others lose nothing; very long texts are worked on whole, an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, stored
+from .common import counted, drop, partitions, stored
 from .shingles import _RANDOM, mixed, slices, span_hashes
 
 _OTHER = np.random.default_rng(20_26).integers(1, 1 << 63, size=(256,), dtype=np.uint64)
@@ -47,6 +49,8 @@ WITNESSES = 64
 HOT = 100_000
 #: Bytes of text whose records make a part, if that gives more parts than four for each shuffle partition.
 PART_BYTES = 256 << 20
+#: Bytes of stretches whose windows are refined in one part, about: a window takes 40 bytes while that lasts.
+STRETCH_BYTES = 8 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -117,9 +121,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
 
 
-_FIELDS = ("gram", "stretch", "other", "doc", "low", "lead", "more", "flag")
-#: Of a record: bytes of its stretch before the q-gram, windows beyond the first, 0 plain, 1 refined already, 2 gone.
-_TYPES = (np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8)
+_FIELDS = ("gram", "stretch", "other", "doc", "nth", "low", "lead", "more", "flag")
+#: A record's ``nth`` tells texts of one doc_id apart, its ``lead`` are the bytes of its stretch before the q-gram, its
+#: ``more`` the windows beyond the first; its ``flag`` is 0 plain, 1 refined already, 2 gone, 3 beyond the witnesses.
+_TYPES = (np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8, np.uint8)
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -135,16 +140,16 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [t[c].to_numpy() for c in _FIELDS]
 
 
-def _later(gram: np.ndarray, stretch: np.ndarray, other: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(gram: np.ndarray, stretch: np.ndarray, other: np.ndarray, doc: np.ndarray, nth: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, head, gone): sorted by bucket and stretch, the heads of stretches, and what comes strictly after its head.
 
     Where stretches agree in one hash alone, later ones may count as heads; those are refined on.
     """
-    order = np.lexsort((low, doc, stretch, gram))
-    g, s, o, d, p = gram[order], stretch[order], other[order], doc[order], low[order]
+    order = np.lexsort((low, nth, doc, stretch, gram))
+    g, s, o, d, t, p = gram[order], stretch[order], other[order], doc[order], nth[order], low[order]
     head = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
     top = np.flatnonzero(head)[np.cumsum(head) - 1]
-    return order, head, (d != d[top]) | (p != p[top])
+    return order, head, (d != d[top]) | (t != t[top]) | (p != p[top])
 
 
 def _buckets(parts: int):
@@ -153,20 +158,21 @@ def _buckets(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()], batch["doc_id"].to_numpy(zero_copy_only=False)
+            numbers = batch["nth"].to_numpy(zero_copy_only=False)
             found = []
             for s in slices(texts):
                 raw, ends = _joined(texts[s])
                 at, low, high, gram, stretch, other = representatives(raw, ends)
                 owner = np.searchsorted(ends, at, side="right")
                 begin = np.concatenate([[0], ends[:-1]])[owner] if len(owner) else at
-                found.append((gram, stretch, other, ids[s][owner], (low - begin).astype(np.int32), (at - low).astype(np.uint8), (high - low).astype(np.uint8)))
+                found.append((gram, stretch, other, ids[s][owner], numbers[s][owner], (low - begin).astype(np.int32), (at - low).astype(np.uint8), (high - low).astype(np.uint8)))
             if not found:
                 continue
-            gram, stretch, other, doc, low, lead, more = (np.concatenate(c) for c in zip(*found, strict=True))
+            gram, stretch, other, doc, text_no, low, lead, more = (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(gram):
                 continue
-            order, head, gone = _later(gram, stretch, other, doc, low)
-            gram, stretch, other, doc, low, lead, more = (c[order] for c in (gram, stretch, other, doc, low, lead, more))
+            order, head, gone = _later(gram, stretch, other, doc, text_no, low)
+            gram, stretch, other, doc, text_no, low, lead, more = (c[order] for c in (gram, stretch, other, doc, text_no, low, lead, more))
             flag = np.where(gone, 2, 0).astype(np.uint8)
             # Different stretches of one q-gram, counted in this batch.
             new = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -185,21 +191,21 @@ def _buckets(parts: int):
             by_part = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by_part])) + 1
             rows = np.split(by_part, cuts)
-            yield pa.record_batch([pa.array(part[[r[0] for r in rows]].astype(np.int32)), pa.array([_pack([c[r] for c in (gram, stretch, other, doc, low, lead, more, flag)]) for r in rows], pa.binary())], names=["part", "records"])
+            yield pa.record_batch([pa.array(part[[r[0] for r in rows]].astype(np.int32)), pa.array([_pack([c[r] for c in (gram, stretch, other, doc, text_no, low, lead, more, flag)]) for r in rows], pa.binary())], names=["part", "records"])
 
     return run
 
 
 def _first_refinement(t: pa.Table) -> pa.Table:
     """Of one part: stretches that are gone (open false), and those to refine on (open true)."""
-    gram, stretch, other, doc, low, lead, more, flag = (np.concatenate(c) for c in zip(*(_unpack(b) for b in t["records"].to_pylist()), strict=True))
+    gram, stretch, other, doc, nth, low, lead, more, flag = (np.concatenate(c) for c in zip(*(_unpack(b) for b in t["records"].to_pylist()), strict=True))
     sure = flag >= 2
-    out = [(doc[sure], low[sure], lead[sure], more[sure], flag[sure] == 3)]
+    out = [(doc[sure], nth[sure], low[sure], lead[sure], more[sure], flag[sure] == 3)]
     rest = ~sure
-    gram, stretch, other, doc, low, lead, more, flag = (c[rest] for c in (gram, stretch, other, doc, low, lead, more, flag))
+    gram, stretch, other, doc, nth, low, lead, more, flag = (c[rest] for c in (gram, stretch, other, doc, nth, low, lead, more, flag))
     if len(gram):
-        order, head, gone = _later(gram, stretch, other, doc, low)
-        gram, doc, low, lead, more, flag = (c[order] for c in (gram, doc, low, lead, more, flag))
+        order, head, gone = _later(gram, stretch, other, doc, nth, low)
+        gram, doc, nth, low, lead, more, flag = (c[order] for c in (gram, doc, nth, low, lead, more, flag))
         new = np.concatenate([[True], gram[1:] != gram[:-1]])
         bucket = np.cumsum(new) - 1
         # A witness stands for stretches that were sent elsewhere.
@@ -207,9 +213,9 @@ def _first_refinement(t: pa.Table) -> pa.Table:
         # Of a frequent q-gram, every batch's witnesses go on: other batches may have equal windows.
         on = ((head & several) | (flag == 1)) & ~gone
         for keep, state in ((gone, False), (on, True)):
-            out.append((doc[keep], low[keep], lead[keep], more[keep], np.full(int(keep.sum()), state)))
-    doc, low, lead, more, state = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "low": pa.array(low, pa.int32()), "lead": pa.array(lead.astype(np.int32)), "more": pa.array(more.astype(np.int32)), "open": pa.array(state)})
+            out.append((doc[keep], nth[keep], low[keep], lead[keep], more[keep], np.full(int(keep.sum()), state)))
+    doc, nth, low, lead, more, state = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "nth": pa.array(nth, pa.int32()), "low": pa.array(low, pa.int32()), "lead": pa.array(lead.astype(np.int32)), "more": pa.array(more.astype(np.int32)), "open": pa.array(state)})
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +223,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
         spans = batch["spans"].to_pylist()
-        doc, low, lead, cut = [], [], [], []
-        for d, t, each in zip(batch["doc_id"].to_pylist(), texts, spans, strict=True):
+        doc, nth, low, lead, cut = [], [], [], [], []
+        for d, n, t, each in zip(batch["doc_id"].to_pylist(), batch["nth"].to_pylist(), texts, spans, strict=True):
             for s in each:
                 doc.append(d)
+                nth.append(n)
                 low.append(s["low"])
                 lead.append(s["lead"])
                 cut.append(t[s["low"] : s["low"] + s["more"] + LENGTH])
@@ -228,17 +235,17 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, ends = _joined(cut[s])
             at = ends - [len(c) for c in cut[s]] + lead[s]
             gram = span_hashes(_RANDOM[raw], at, at + Q) if len(at) else np.zeros(0, dtype=np.uint64)
-            yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(doc[s], pa.int64()), pa.array(low[s], pa.int32()), pa.array(cut[s], pa.binary())], names=["gram", "doc_id", "low", "bytes"])
+            yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(doc[s], pa.int64()), pa.array(nth[s], pa.int32()), pa.array(low[s], pa.int32()), pa.array(cut[s], pa.binary())], names=["gram", "doc_id", "nth", "low", "bytes"])
 
 
-def _windows(cut: list[bytes], doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(raw, start in raw, row, doc, start in its document) of every window of the stretches."""
+def _windows(cut: list[bytes], doc: np.ndarray, nth: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(raw, start in raw, row, doc, nth, start in its document) of every window of the stretches."""
     raw, ends = _joined(cut)
     size = np.array([len(c) for c in cut], dtype=np.int64)
     n = size - LENGTH + 1
     row = np.repeat(np.arange(len(cut)), n)
     k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return raw, (ends - size)[row] + k, row, doc[row], low[row].astype(np.int64) + k
+    return raw, (ends - size)[row] + k, row, doc[row], nth[row], low[row].astype(np.int64) + k
 
 
 def refine(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,54 +280,78 @@ def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 50_000) ->
     return np.concatenate([(view[a[i : i + step]] == view[b[i : i + step]]).all(axis=1) for i in range(0, len(a), step)])
 
 
-def _gone(raw: np.ndarray, start: np.ndarray, row: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.Table:
+def _gone(raw: np.ndarray, start: np.ndarray, row: np.ndarray, doc: np.ndarray, nth: np.ndarray, at: np.ndarray) -> pa.Table:
     """Intervals of windows that aren't the first of their bucket."""
     alive, bucket = refine(raw, start)
-    order = np.lexsort((at[alive], doc[alive], bucket))
+    order = np.lexsort((at[alive], nth[alive], doc[alive], bucket))
     alive, bucket = alive[order], bucket[order]
     head = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=bool)
     top = alive[head][np.cumsum(head) - 1]
-    late = (doc[alive] != doc[top]) | (at[alive] != at[top])
+    late = (doc[alive] != doc[top]) | (nth[alive] != nth[top]) | (at[alive] != at[top])
     alive, top = alive[late], top[late]
     late = np.sort(alive[_same(raw, start[alive], start[top])])
     new = np.concatenate([[True], (late[1:] != late[:-1] + 1) | (row[late[1:]] != row[late[:-1]])]) if len(late) else np.zeros(0, dtype=bool)
     first = late[new]
     last = late[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(late) - 1]])] if len(late) else late
-    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "start": pa.array(at[first].astype(np.int32)), "end": pa.array((at[last] + LENGTH).astype(np.int32))})
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "nth": pa.array(nth[first], pa.int32()), "start": pa.array(at[first].astype(np.int32)), "end": pa.array((at[last] + LENGTH).astype(np.int32))})
 
 
 def _last_refinement(t: pa.Table) -> pa.Table:
-    raw, start, row, doc, at = _windows(t["bytes"].to_pylist(), t["doc_id"].to_numpy(), t["low"].to_numpy())
-    return _gone(raw, start, row, doc, at)
+    return _gone(*_windows(t["bytes"].to_pylist(), t["doc_id"].to_numpy(), t["nth"].to_numpy(), t["low"].to_numpy()))
 
 
 def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of a frequent q-gram's stretches with its identifier."""
     for batch in batches:
         if batch.num_rows:
-            raw, start, _, doc, at = _windows(batch["bytes"].to_pylist(), batch["doc_id"].to_numpy(), batch["low"].to_numpy())
+            raw, start, _, doc, nth, at = _windows(batch["bytes"].to_pylist(), batch["doc_id"].to_numpy(), batch["nth"].to_numpy(), batch["low"].to_numpy())
             ids = [pa.array(span_hashes(table[raw], start, start + LENGTH).view(np.int64)) for table in (_RANDOM, _OTHER)]
-            yield pa.record_batch([*ids, pa.array(doc), pa.array(at.astype(np.int32))], names=["window", "other", "doc_id", "start"])
+            yield pa.record_batch([*ids, pa.array(doc), pa.array(nth), pa.array(at.astype(np.int32))], names=["window", "other", "doc_id", "nth", "start"])
+
+
+#: Rows of a table of (doc_id, text hash, number) that may be broadcast: 24 bytes each.
+BROADCAST_ROWS = 100_000
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, nth, <others>): texts that share a doc_id get numbers by their hash, equal rows the same one.
+
+    Nearly always 0: only ids with several texts are joined, broadcast if they are few.
+    """
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    each = hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("_hash")).alias("all")).filter(F.size("all") > 1)
+    numbers, n = counted(each.select("doc_id", F.posexplode("all").alias("nth", "_hash")), "texts-of-one-id")
+    if not n:
+        return docs.withColumn("nth", F.lit(0))
+    numbers = F.broadcast(numbers) if n <= BROADCAST_ROWS else numbers
+    return hashed.join(numbers, ["doc_id", "_hash"], "left").drop("_hash").withColumn("nth", F.coalesce("nth", F.lit(0)))
+
+
+_WHO = ("doc_id", "nth")
 
 
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, start, end (bytes): stretches that earlier ones repeat; they may overlap."""
+    """doc_id, nth, start, end (bytes): stretches of :func:`told_apart` texts that earlier ones repeat; they may overlap."""
     spark = docs.sparkSession
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.filter("doc_id is not null").select("doc_id", "nth", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark, 4), -(-size // PART_BYTES))
     records = docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_buckets(parts), "part int, records binary")
-    first = stored(records.groupBy("part").applyInArrow(_first_refinement, "doc_id long, low int, lead int, more int, open boolean"), "first-refinement")
-    done = first.filter("not open").select("doc_id", F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
-    spans = first.filter("open").select("doc_id", "low", "lead", "more").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("low", "lead", "more")).alias("spans"))
-    rows = stored(docs.join(spans, "doc_id").mapInArrow(_cut_out, "gram long, doc_id long, low int, bytes binary"), "stretches")
-    frequent = rows.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
+    first = stored(records.groupBy("part").applyInArrow(_first_refinement, "doc_id long, nth int, low int, lead int, more int, open boolean"), "first-refinement")
+    done = first.filter("not open").select(*_WHO, F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
+    spans = first.filter("open").select(*_WHO, "low", "lead", "more").distinct().groupBy(*_WHO).agg(F.collect_list(F.struct("low", "lead", "more")).alias("spans"))
+    rows = stored(docs.join(spans, list(_WHO)).mapInArrow(_cut_out, "gram long, doc_id long, nth int, low int, bytes binary"), "stretches")
+    per = rows.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size"))
+    totals = per.agg(F.sum("size")).first()[0] or 0
+    parts = max(parts, -(-totals // STRETCH_BYTES))  # windows of a part are held at once
+    frequent = per.filter(F.col("n") > hot).select("gram")
     # few: each holds more than ``hot`` stretches
     plain = rows.join(frequent, "gram", "left_anti").withColumn("part", F.pmod(F.col("gram"), F.lit(parts)))
-    refined = plain.groupBy("part").applyInArrow(_last_refinement, "doc_id long, start int, end int")
-    windows = rows.join(frequent, "gram", "left_semi").select("bytes", "doc_id", "low").mapInArrow(_identified, "window long, other long, doc_id long, start int")
-    heads = windows.groupBy("window", "other").agg(F.min(F.struct("doc_id", "start")).alias("head"))
-    late = windows.join(heads, ["window", "other"]).filter(F.struct("doc_id", "start") > F.col("head")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    refined = plain.groupBy("part").applyInArrow(_last_refinement, "doc_id long, nth int, start int, end int")
+    windows = rows.join(frequent, "gram", "left_semi").select("bytes", *_WHO, "low").mapInArrow(_identified, "window long, other long, doc_id long, nth int, start int")
+    place = F.struct(*_WHO, "start")
+    heads = windows.groupBy("window", "other").agg(F.min(place).alias("head"))
+    late = windows.join(heads, ["window", "other"]).filter(place > F.col("head")).select(*_WHO, "start", (F.col("start") + LENGTH).alias("end"))
     out = done.unionByName(stored(refined.unionByName(late), "refined"))
     drop(rows)
     return out
@@ -351,8 +382,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    gone = stored(repeated(docs, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
+    docs = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = stored(repeated(docs, hot).groupBy(*_WHO).agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+    rows = docs.select(*_WHO, "text").join(gone, list(_WHO), "left")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -370,9 +402,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``; null texts stay null, other columns of any name stay."""
-    gone = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).join(gone, "doc_id", "left")
+    told = told_apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")))
+    gone = repeated(told).groupBy(*_WHO).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    rows = told.join(gone, list(_WHO), "left")
     cut = rows.select("row", "text", "gone").mapInArrow(_without, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return cut.select(*(F.col("text") if c == "text" else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns))

@@ -10,7 +10,9 @@ sample of labelled rows. Its size is bounded too, so it is small enough to go to
 
 Edge cases: a null or empty text has no hit and gets the curve's value for none; without labels, or with one class
 only, the seed lexicon and a fixed curve hold; repeated rows and equal texts get equal scores; an empty table gives an
-empty result; a null doc_id is not held out; very long texts are scored whole. Other columns are not read; those that
+empty result; a null doc_id is not held out; very long texts are scored whole, in time proportional to their length
+(and to the logarithm of the exceptions in them); a document labelled twice counts as toxic if either label says so.
+Other columns are not read; those that
 are asked to be kept stay, but for one named ``score``, which the score replaces.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -152,8 +155,12 @@ def features(folded: str, find) -> tuple[float, float, float]:
     hits = [(end - n + 1, end, w) for end, (n, w) in find.iter(folded)]
     if not hits:
         return 0.0, 0.0, 0.0
-    spared = [(s, e) for s, e, w in hits if w is None]
-    each = Counter(folded[s : e + 1] for s, e, w in hits if w is not None and not any(a <= s and e <= b for a, b in spared))
+    starts, reach = [], []  # of the exceptions by start: the furthest end so far
+    for s, e in sorted((s, e) for s, e, w in hits if w is None):
+        starts.append(s)
+        reach.append(max(e, reach[-1] if reach else e))
+    spared = lambda s, e: (k := bisect_right(starts, s)) > 0 and reach[k - 1] >= e
+    each = Counter(folded[s : e + 1] for s, e, w in hits if w is not None and not spared(s, e))
     weights = {folded[s : e + 1]: w for s, e, w in hits if w is not None}
     if not each:
         return 0.0, 0.0, 0.0
@@ -192,7 +199,7 @@ def _scored(lexicon: dict[str, float], curve: np.ndarray, keep: list[str]):
         find = automaton(lexicon)
         for batch in batches:
             x = np.array([features(fold(t.as_py()), find) for t in batch["text"]], dtype=float).reshape(-1, 3)
-            yield pa.record_batch([batch[c] for c in keep] + [pa.array(sigmoid(x @ curve[:-1] + curve[-1]))], names=[*keep, "score"])
+            yield pa.record_batch([batch[f"kept{i}"] for i in range(len(keep))] + [pa.array(sigmoid(x @ curve[:-1] + curve[-1]))], names=[*keep, "score"])
 
     return run
 
@@ -201,8 +208,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], keep: tup
     """The ``keep`` columns and a score from 0 to 1 of each row's text."""
     lexicon, curve = model
     keep = tuple(c for c in dict.fromkeys(keep) if c != "score")
-    cols = [*dict.fromkeys([*keep, "text"])]
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes) + "score double"
+    cols = [*(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)), "text"]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "score double"
     return docs.select(*cols).mapInArrow(_scored(lexicon, curve, list(keep)), schema)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refmill.llm import alignment, licenses, negatives
+from refmill.llm import alignment, learning, licenses, negatives, pieces, quality, toxicity
 from refmill.llm.common import importable
 
 
@@ -279,3 +279,39 @@ def test_long_licence_texts_take_time_in_proportion():
 
 def test_there_are_hundreds_of_rules_and_all_compile():
     assert len(licenses.rules()) > 300 and len(licenses.Scanner().compiled) == len(licenses.rules())
+
+
+# --- what earlier operators owe
+
+
+def test_toxicity_of_megabytes_of_hits_and_exceptions():
+    import time
+
+    find = toxicity.automaton({f" {w} ": 3.0 for w in toxicity.SEED})
+    began = time.process_time()
+    got = toxicity.features(toxicity.fold("you idiot trash can take out the trash clown fish " * 160_000), find)
+    assert got[:2] == (3.0, 3.0) and time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("module", [toxicity, quality, pieces])
+def test_kept_columns_may_have_any_name(spark, module):
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, `a.b` string")
+    if module is pieces:
+        got = pieces.tokenize(docs, keep=("a.b",))
+    else:
+        labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+        got = module.score(docs, module.fit(docs, labels), keep=("a.b",))
+    assert got.select("`a.b`").first()[0] == "x"
+
+
+def test_isotonic_curve_is_the_best_non_decreasing_fit():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 40):
+        x, y, w = np.sort(rng.random(n)), (rng.random(n) < 0.5).astype(float), rng.random(n) + 0.1
+        at, value = learning.isotonic(x, y, w)
+        # The best fit at i is the largest, over starts, of the least mean over ends.
+        mean = lambda a, b: (y[a:b] * w[a:b]).sum() / w[a:b].sum()  # noqa: B023, E731
+        best = np.array([max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)])
+        got = np.interp(x, at, value)
+        inner = (best > 0) & (best < 1)
+        assert np.allclose(got[inner], best[inner]) and (np.diff(got) >= 0).all()

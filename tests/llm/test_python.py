@@ -124,22 +124,50 @@ def passages():
 def test_repeated_passages(spark, monkeypatch, hot, witnesses):
     monkeypatch.setattr(substrings, "WITNESSES", witnesses)
     rows = passages()
-    first, want = {}, {}
-    for d, t in rows:
-        raw = (t or "").encode()
-        mark = bytearray(len(raw))
-        for i in range(len(raw) - 99):
-            if first.setdefault(raw[i : i + 100], (d, i)) < (d, i):
-                mark[i : i + 100] = b"\1" * 100
-        runs = sum(1 for k, _ in itertools.groupby(mark) if k)
-        want[d] = (len(raw), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(raw, mark, strict=True) if not m)).hexdigest())
     got = substrings.report(spark.createDataFrame(rows, DOCS).repartition(5), hot=hot).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
+    assert Counter(map(tuple, got)) == Counter(plain_repeats(spark, rows))
     assert substrings.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def plain_repeats(spark, rows):
+    """The report by a table of all strings; texts of one id in the order of their hashes."""
+    hashed = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(rows)], "i int, t string").select("i", F.xxhash64("t").alias("h"))
+    at = {r["i"]: r["h"] for r in hashed.collect()}
+    first, out = {}, []
+    raws = [(d, at[i], (t or "").encode()) for i, (d, t) in enumerate(rows)]
+    for d, h, raw in raws:
+        for i in range(len(raw) - 99 if d is not None else 0):
+            first[raw[i : i + 100]] = min(first.get(raw[i : i + 100], (d, h, i)), (d, h, i))
+    for d, h, raw in raws:
+        mark = bytearray(len(raw))
+        for i in range(len(raw) - 99 if d is not None else 0):
+            if first[raw[i : i + 100]] < (d, h, i):
+                mark[i : i + 100] = b"\1" * 100
+        out.append((d, len(raw), sum(mark), sum(1 for k, _ in itertools.groupby(mark) if k), hashlib.sha256(bytes(x for x, m in zip(raw, mark, strict=True) if not m)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("few", [substrings.BROADCAST_ROWS, 1])
+def test_rows_that_repeat_an_id_are_told_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", few)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    a, b, c = letters(700), letters(1_000), letters(400)
+    rows = [(1, a), (2, "x" + a), (2, b), (2, "short"), (3, b + c), (3, c), (3, c), (4, None), (4, a[:300] + c), (None, a), (None, "y" + a), (5, ""), (5, c + c)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert Counter(map(tuple, substrings.report(df.repartition(4)).collect())) == Counter(plain_repeats(spark, rows))
+    texts = Counter((r["doc_id"], r["text"]) for r in substrings.without_repeats(df).collect())
+    assert texts[2, b] == 1 and texts[2, "short"] == 1 and texts[None, a] == 1 and texts[1, a] == 1
+
+
+def test_a_text_of_megabytes_loses_what_it_repeats(spark):
+    rng = np.random.default_rng(4)
+    once = rng.integers(97, 123, 2_500_000).astype(np.uint8).tobytes().decode()
+    got = {r["doc_id"]: r for r in substrings.report(spark.createDataFrame([(1, once + "-" + once), (2, once[500:900])], DOCS)).collect()}
+    assert (got[1]["n_bytes"], got[1]["n_removed"], got[1]["n_spans"]) == (5_000_001, 2_500_000, 1)
+    assert (got[2]["n_removed"], got[1]["kept_sha256"]) == (400, hashlib.sha256((once + "-").encode()).hexdigest())
+
+
 def test_passages_are_cut_from_texts(spark):
     rows = [(1, "x" * 10 + "passage " * 20, "mine"), (2, "y" * 10 + "passage " * 20 + "é", "mine"), (3, None, None), (None, "passage " * 20, "mine")]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("row", F.lit(1))
