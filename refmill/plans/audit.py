@@ -15,7 +15,7 @@ from ..operators import document as D
 from ..operators import footnotes as OF
 from ..operators import pages as P
 from ..operators.layout import by_document
-from .keeping import kept
+from ..operators.keeping import kept
 
 
 def paragraphs_of(docs: DataFrame) -> DataFrame:

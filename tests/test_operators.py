@@ -87,21 +87,21 @@ def test_best_match_takes_the_first_of_ties(spark):
     assert (s["total"], s["found"], s["rate"], s["high_confidence"]) == (2, 1, 50, 1)
 
 
-@pytest.mark.parametrize("part", [1_000, 3])
-def test_catalog_candidates_of_common_words(spark, part):
+@pytest.mark.parametrize(("part", "least", "words"), [(1_000, 2, 9), (3, 2, 9), (1_000, 1, 30), (1_000, 2, 30)])
+def test_catalog_candidates_of_common_words(spark, part, least, words):
     """Every word is in many of the works, as in the view that the query reads."""
     rng = random.Random(2)
-    vocab = [f"w{i}" for i in range(9)]
-    titles = [" ".join(rng.sample(vocab, rng.randrange(1, 5))) for _ in range(150)] + ["Unseen w1 W2", "the of", ""]
+    vocab = [f"w{i}" for i in range(words)]
+    titles = [" ".join(rng.sample(vocab[: rng.choice((4, words))], rng.randrange(1, 5 if words < 10 else 4))) for _ in range(50)] + [" ".join(rng.sample(vocab, rng.randrange(1, min(9, words)))) for _ in range(100)] + ["Unseen w1 W2", "the of", ""]
     works = spark.createDataFrame([(i, t, [], 2000, "", "", "") for i, t in enumerate(titles[:140])], "work_id long, title string, authors array<string>, year int, journal string, doi string, isbn string")
     refs = spark.createDataFrame(list(enumerate(titles)), "ref_idx long, title string")
     got = {}
-    connector = V.CatalogTableConnector(works.withColumn("journal", F.col("work_id").cast("string")), "c", 0, part=part)
+    connector = V.CatalogTableConnector(works.withColumn("journal", F.col("work_id").cast("string")), "c", 0, least=least, part=part)
     for r in connector.candidates(refs).collect():
         got.setdefault(r["ref_idx"], {})[r["hit_rank"]] = int(r["journal"])
     for i, t in enumerate(titles):
         mine = t.lower().split()
-        hits = [(t.lower() != o, -n, k) for k, o in enumerate(titles[:140]) if (n := len(set(mine) & set(o.split()))) >= 2 or t.lower() == o]
+        hits = [(t.lower() != o, -n, k) for k, o in enumerate(titles[:140]) if (n := len(set(mine) & set(o.split()))) >= least or t.lower() == o]
         assert [got.get(i, {}).get(k) for k in range(len(got.get(i, {})))] == [k for _, _, k in sorted(hits)[:5]]
 
 
