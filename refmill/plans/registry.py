@@ -187,12 +187,33 @@ def footnote_split(spark: SparkSession, d: str) -> DataFrame:
     return OF.parts(_footnotes(spark, d)).select("foot_ord", "part_idx", "part")
 
 
-@query()
+_SPACED = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_TIERS = f"""{Y.named(foot=Y.FOOTNOTES, refs=Y.LISTED)}, p AS (SELECT *, {_SPACED.format("part")} AS clean, regexp_matches(part, '[“"‘«''”’»]') AS marked,
+  {_SPACED.format("regexp_extract(part, '[“]([^”]+)[”]', 1)")} AS quoted, regexp_matches(part, '[“][^”]+[”]') AS has_quote,
+  CASE WHEN regexp_matches(part, '^[(][A-Za-z]+, [0-9]{{4}}[)]$') THEN lower(regexp_extract(part, '^[(]([A-Za-z]+)', 1)) || ':' || regexp_extract(part, '([0-9]{{4}})[)]$', 1) END AS inline,
+  CASE WHEN regexp_matches(part, '^[A-Za-z]+, Q[.] .* [0-9]{{4}}[.]$') THEN lower(regexp_extract(part, '^([A-Za-z]+)', 1)) || ':' || regexp_extract(part, '([0-9]{{4}})[.]$', 1) END AS written FROM ({_PARTED})),
+t AS (SELECT doc_id, ref_idx, lower(family) AS family, lower(family) || ':' || year AS key, {_SPACED.format("title")} AS title FROM refs),
+c AS (SELECT p.doc_id, foot_ord, part_idx, ref_idx, key, contains(clean, title) OR (has_quote AND (contains(title, quoted) OR contains(quoted, title))) AS holds, string_split(clean, ' ') AS words,
+  list_filter(string_split(title, ' '), lambda w: length(w) > 2) AS long_words, string_split(title, ' ')[1] AS first FROM p JOIN t ON p.doc_id = t.doc_id AND list_contains(string_split(clean, ' '), t.family) WHERE inline IS NULL AND written IS NULL),
+s AS (SELECT *, CASE WHEN len(long_words) = 0 THEN 0.0 ELSE len(list_filter(long_words, lambda w: list_contains(words, w))) / len(long_words) END AS share FROM c),
+b AS (SELECT doc_id, foot_ord, part_idx, key AS short FROM s WHERE holds OR (share > 0 AND (share >= 0.3 OR (length(first) > 2 AND list_contains(words, first))))
+  QUALIFY row_number() OVER (PARTITION BY foot_ord, part_idx ORDER BY CASE WHEN holds THEN 0 ELSE 1 END, CASE WHEN holds THEN 0.0 ELSE -share END, ref_idx) = 1),
+o AS (SELECT p.*, b.short, coalesce(inline, written, short) AS own, coalesce(inline, written, short) IS NULL AND regexp_matches(part, '^Ibid') AS again FROM p LEFT JOIN b USING (doc_id, foot_ord, part_idx)),
+h AS (SELECT *, CASE WHEN again THEN last_value(own IGNORE NULLS) OVER w ELSE own END AS key FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY foot_ord, part_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+resolved AS (SELECT *, CASE WHEN again THEN last_value(CASE WHEN key IS NOT NULL THEN foot_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY foot_ord, part_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS resolved_from,
+  CASE WHEN inline IS NOT NULL THEN 'footnote-inline' WHEN written IS NOT NULL THEN 'footnote-fulltext' WHEN short IS NOT NULL THEN 'footnote-shortened' WHEN key IS NOT NULL THEN 'footnote-repeat' ELSE 'footnote-unresolved' END AS kind FROM h)"""
+
+
+@query(_TIERS + " SELECT foot_ord, part_idx, kind, coalesce(key, '') AS keys, resolved_from FROM resolved")
 def footnote_resolved(spark: SparkSession, d: str) -> DataFrame:
     return OF.resolved(_footnotes(spark, d), _references(spark, d)).select("foot_ord", "part_idx", "kind", _sorted_keys(), "resolved_from")
 
 
-@query()
+@query(
+    _TIERS
+    + """ SELECT foot_ord, arg_min(kind, CASE WHEN kind = 'footnote-unresolved' THEN 1000 ELSE 0 END + part_idx) AS kind, count(*) AS n_parts, coalesce(array_to_string(list_sort(list_distinct(list(key) FILTER (WHERE key IS NOT NULL))), '|'), '') AS keys
+  FROM resolved GROUP BY foot_ord"""
+)
 def footnote_kinds(spark: SparkSession, d: str) -> DataFrame:
     return OF.rolled_up(OF.resolved(_footnotes(spark, d), _references(spark, d))).select("foot_ord", "kind", "n_parts", _sorted_keys())
 

@@ -35,11 +35,12 @@ NOTES = f"""SELECT {DOC} AS doc_id, p_partkey AS foot_ord, cast(p_partkey as str
   CASE WHEN p_partkey % 3 = 0 THEN concat('(', {FAMILY}, ', ', {YEAR}, ')') WHEN p_partkey % 3 = 1 THEN concat('Ibid., p. ', cast(p_size as string), '.') ELSE concat('Nothing is cited in note ', cast(p_size as string), '.') END AS text
 FROM part"""
 
-#: Footnotes of four kinds.
+#: Footnotes of five kinds: in parentheses, repeated, shortened with a quotation, written out, and one that names a title.
 FOOTNOTES = f"""SELECT {DOC} AS doc_id, p_partkey AS foot_ord, cast(p_partkey as string) AS foot_id,
   CASE WHEN p_partkey % 4 = 0 THEN concat('(', {FAMILY}, ', ', {YEAR}, ')')
     WHEN p_partkey % 4 = 1 THEN concat('Ibid., p. ', cast(p_size as string), '.')
     WHEN p_partkey % 4 = 2 THEN concat({FAMILY}, ', “', p_name, ' ', p_type, '; more”, ', cast(p_size as string), '; ', {FIRST}, ', other.')
+    WHEN p_partkey % 8 = 7 THEN concat({FAMILY}, ', Q. The written-out title. ', {YEAR}, '.')
     ELSE concat('A note on ', p_name, '.') END AS text
 FROM part"""
 
