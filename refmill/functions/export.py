@@ -87,6 +87,11 @@ def record(number: Column, display: Column, s: Column, accessed: str) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
+def short_authors(authors: Column, most: int = 3) -> Column:
+    """The first names, with 'vd.' for more."""
+    return F.concat(F.array_join(F.slice(authors, 1, most), ", "), F.when(F.size(authors) > most, " vd.").otherwise(""))
+
+
 def paragraph_list(paragraphs: Column) -> Column:
     """Numbers of paragraphs as a list to be read; a dash for none."""
     return F.when(F.size(paragraphs) > 0, F.array_join(F.transform(paragraphs, lambda p: p.cast("string")), ", ")).otherwise("-")

@@ -62,3 +62,13 @@ def in_turkish_order(groups: DataFrame) -> DataFrame:
     """``groups`` with ``position``, from 1 in each document: by the displayed text as Turkish sorts it."""
     order = Window.partitionBy("doc_id").orderBy(F.collate("display", "tr"), "display", "group_key")
     return groups.withColumn("position", F.row_number().over(order))
+
+
+#: Citations of a document that a list shows.
+SHOWN = 80
+
+
+def shown(citations: DataFrame, most: int = SHOWN) -> DataFrame:
+    """The first ``most`` citations of each document with ``position``, from 1; no more travel than may be shown."""
+    order = Window.partitionBy("doc_id").orderBy("para_idx", "cit_no")
+    return citations.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)

@@ -559,3 +559,47 @@ def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     place = (F.lit(600) - 12 * (F.col("line_no") % 40)).cast("int").alias("y")
     lines = L.paged(L.lines(_docs(spark, d)), 40).select("doc_id", "page_no", "line_no", F.col("line").alias("text"), F.lit(50.0).alias("min_x"), F.lit(500.0).alias("max_x"), place)
     return document.paragraphs(lines).select("doc_id", "para_idx", "page_no", "part", F.md5("text").alias("text"))
+
+
+# -- from texts to catalogues -----------------------------------------------------------------------------------
+
+_HITS = f"""{Y.named(numbered=Y.REFERENCES, works=Y.WORKS)}, refs AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS INT) AS ref_no FROM numbered),
+t AS (SELECT ref_idx, {_norm_sql("title")} AS name FROM refs), k AS (SELECT api_rank, work_id, {_norm_sql("title")} AS name FROM works),
+tw AS (SELECT ref_idx, unnest(list_distinct({_toks_sql("name")})) AS word FROM t), kw AS (SELECT api_rank, work_id, unnest(list_distinct({_toks_sql("name")})) AS word FROM k),
+met AS (SELECT ref_idx, api_rank, work_id, count(*) AS n FROM tw JOIN kw USING (word) GROUP BY ALL HAVING count(*) >= 2 UNION ALL SELECT ref_idx, api_rank, work_id, 0 FROM t JOIN k USING (name)),
+cands AS (SELECT m.ref_idx, m.api_rank, m.work_id, row_number() OVER (PARTITION BY m.ref_idx, m.api_rank ORDER BY t.name = k.name DESC, m.n DESC, m.work_id) - 1 AS hit_rank
+  FROM (SELECT ref_idx, api_rank, work_id, max(n) AS n FROM met GROUP BY ALL) m JOIN t USING (ref_idx) JOIN k ON k.api_rank = m.api_rank AND k.work_id = m.work_id QUALIFY hit_rank < 5),
+pair AS (SELECT r.ref_idx, c.api_rank, c.hit_rank, w.source, r.title AS rt, w.title AS ct, r.journal AS rj, w.journal AS cj, CAST(r.year AS INT) AS ry, w.year AS cy, lower(r.family) AS rs, lower(w.family) AS cs, '' AS rd, '' AS cd
+  FROM cands c JOIN refs r USING (ref_idx) JOIN works w ON w.api_rank = c.api_rank AND w.work_id = c.work_id), scored AS ({_SCORED.split("), scored AS (")[1]}"""
+
+
+def _verification(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    from .verification import verification
+
+    r = Y.view(spark, d, Y.REFERENCES)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "entry"))), lambda x: x["entry"])
+    docs = r.groupBy("doc_id").agg(F.concat(F.lit("Body.\nReferences\n"), F.array_join(lines, "\n")).alias("text"))
+    works = Y.view(spark, d, Y.WORKS).withColumn("authors", F.array("author")).withColumn("doi", F.lit("")).withColumn("isbn", F.lit(""))
+    return verification(docs, [V.CatalogTableConnector(works.filter(F.col("source") == name), name, i) for i, name in enumerate(("openalex", "crossref"))])
+
+
+@query(_HITS + _BEST[len(_SCORED) :] + " SELECT doc_id, ref_no, found, source, match_title, score, confidence FROM verified JOIN refs USING (ref_idx)")
+def verification(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts: their bibliographies, parsed, against two catalogues."""
+    got = _verification(spark, d)["results"]
+    return got.select("doc_id", F.col("ref_idx.ref_no").alias("ref_no"), "found", "source", "match_title", "score", "confidence")
+
+
+@query(f"{Y.named(cited=_CITED)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, cit_no) AS INT) AS position, para_idx, display FROM cited QUALIFY position <= 80")
+def citations_shown(spark: SparkSession, d: str) -> DataFrame:
+    """A report of each document's first eighty citations."""
+    return OC.shown(_citations(spark, d)).select("doc_id", "position", "para_idx", "display")
+
+
+@query(_ITEMS + """ SELECT cast(floor(ref_idx / 100) as bigint) AS doc_id, CAST(row_number() OVER (PARTITION BY cast(floor(ref_idx / 100) as bigint) ORDER BY ref_idx) AS INT) AS position, ref_idx FROM items""")
+def isnad_bibliography(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's bibliography in its own order."""
+    from . import audit
+
+    rows = _structured(spark, d).select(F.floor(F.col("ref_idx") / 100).alias("doc_id"), "ref_idx", F.col("s").alias("structured"))
+    return audit.isnad_bibliography(rows).select("doc_id", "position", "ref_idx")

@@ -85,3 +85,9 @@ SELECT doc_id, cast(floor(n / 30) as int) + 1 AS page_no, cast(n % 30 as int) +
 UNION ALL SELECT DISTINCT doc_id, cast(floor(n / 30) as int) + 1, 0, 'A Journal of Lines', 50.0D, 200.0D, 700 FROM b
 UNION ALL SELECT DISTINCT doc_id, 1000, 1, 'Kaynakça', 50.0D, 120.0D, 600 FROM b
 UNION ALL SELECT doc_id, 1001 + page, row * 2 + col + 1, text, 50.0D + col * 250 + k * 20, 250.0D + col * 250, cast(600 - 12 * row as int) FROM c"""
+
+
+#: Two catalogues: half the parts as they are cited, with years that are off by up to two, and all with other titles, names and journals.
+WORKS = f"""SELECT 'openalex' AS source, 0 AS api_rank, p_partkey AS work_id, concat(p_name, ' ', p_type) AS title, {FAMILY} AS family, concat({FAMILY}, ', ', upper(substr(p_name, 1, 1)), '.') AS author, cast(1950 + p_partkey % 70 + p_partkey % 3 as int) AS year,
+  concat(p_brand, ' Journal') AS journal FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'crossref', 1, p_partkey, concat(p_type, ' of ', p_name, CASE WHEN p_partkey % 5 = 0 THEN ' revisited' ELSE '' END), concat({FAMILY}, 'x'), concat({FAMILY}, 'x, Q.'), cast(1950 + p_partkey % 70 as int), concat(p_brand, ' Review') FROM part"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trimmed, visible
 from ..operators.layout import page_lines
+from ..operators.pages import document_markdown
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _BREAKS = {f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}tab": "\t"}
@@ -88,14 +89,27 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text) of a folder of mixed files, by their endings: docx, txt, or unsupported with a null text."""
+TEXT_ENDINGS = ("txt", "text", "md")
+
+
+def read_any(spark: SparkSession, path: str, tokens: DataFrame | None = None) -> DataFrame:
+    """(path, kind, text) of a folder of mixed files, by their endings: docx, txt, pdf, or unsupported with a null text.
+
+    Each kind has its reader, and their rows make one table. PDF files are decoded elsewhere: ``tokens`` (path, page_no,
+    item_no, str, x, y, width) holds what they say; one without tokens is unsupported. A broken DOCX has a null text.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"])
-    docx = paragraphs(docx_parts(files.filter("ending = 'docx'"))).groupBy("path").agg(F.lit("docx").alias("kind"), F.array_join(lines, "\n").alias("text"))
-    other = files.filter("ending <> 'docx'")
-    plain = F.col("ending").isin("txt", "text", "md")
-    return docx.unionByName(other.select("path", F.when(plain, "txt").otherwise("unsupported").alias("kind"), F.when(plain, F.decode("content", "UTF-8")).alias("text")))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == "paragraph", F.struct("idx", visible(F.col("raw_text")).alias("text"))))), lambda x: x["text"])
+    docx = docx_parts(files.filter("ending = 'docx'")).groupBy("path").agg(F.lit("docx").alias("kind"), F.when(F.max("error").isNull(), F.array_join(lines, "\n")).alias("text"))
+    plain = files.filter(F.col("ending").isin(*TEXT_ENDINGS)).select("path", F.lit("txt").alias("kind"), F.decode("content", "UTF-8").alias("text"))
+    other = files.select("path", "ending").filter((F.col("ending") != "docx") & ~F.col("ending").isin(*TEXT_ENDINGS))
+    if tokens is not None:
+        said = document_markdown(page_lines(tokens.withColumnRenamed("path", "doc_id"))).select(F.col("doc_id").alias("path"), "text")
+        other = other.join(said, "path", "left")
+    else:
+        other = other.withColumn("text", F.lit(None).cast("string"))
+    text = F.when(F.col("ending") == "pdf", F.col("text"))
+    return docx.unionByName(plain).unionByName(other.select("path", F.when(text.isNotNull(), "pdf").otherwise("unsupported").alias("kind"), text.alias("text")))
 
 
 def pasted(spark: SparkSession, texts: list[str]) -> DataFrame:
