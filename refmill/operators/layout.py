@@ -77,21 +77,44 @@ def paged(rows: DataFrame, per_page: int) -> DataFrame:
     return rows.withColumn("page_no", F.floor(F.col("line_no") / per_page).cast("int") + 1)
 
 
+def _last_page(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``n_pages``, if they don't have it: what is grouped by document afterwards stays where it is."""
+    return rows if "n_pages" in rows.columns else rows.withColumn("n_pages", F.max("page_no").over(Window.partitionBy("doc_id")))
+
+
+def enough_pages(pages: Column) -> Column:
+    return pages >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n_pages") * LEAST_SHARE))
+
+
 def running_lines(rows: DataFrame, least_length: int = 8) -> DataFrame:
     """(doc_id, form, pages): a document's lines that stand on enough of its pages, page numbers aside.
 
-    ``rows`` has doc_id, page_no (from 1) and line. Pages are gathered before rows are shuffled: a form travels once.
+    ``rows`` has doc_id, page_no (from 1) and line, and n_pages if it is known. Pages are gathered before rows are
+    shuffled: a form travels once. Lower case makes a line twice as long at most.
     """
-    pages = rows.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
-    forms = rows.select("doc_id", "page_no", running_form(F.col("line")).alias("form")).filter(F.length("form") >= least_length)
-    forms = forms.groupBy("doc_id", "form").agg(F.size(F.collect_set("page_no")).cast("long").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    return forms.join(pages, "doc_id").filter(F.col("pages") >= F.ceil(F.col("n_pages") * LEAST_SHARE)).drop("n_pages")
+    rows = _last_page(rows).filter((F.col("n_pages") >= LEAST_PAGES) & (F.length("line") * 2 >= least_length))
+    forms = rows.select("doc_id", "n_pages", "page_no", running_form(F.col("line")).alias("form")).filter(F.length("form") >= least_length)
+    pages = F.size(F.collect_set("page_no")).cast("long").alias("pages")
+    return forms.groupBy("doc_id", "n_pages", "form").agg(pages).filter(enough_pages(F.col("pages"))).select("doc_id", "form", "pages")
+
 
+def paged_lines(docs: DataFrame, per_page: int) -> DataFrame:
+    """(doc_id, n_pages, page_no, line) of the non-empty lines of (doc_id, text), a page for so many lines of the text.
 
-def without_running_lines(rows: DataFrame) -> DataFrame:
-    """``rows`` whose form isn't a running line of their document."""
-    running = running_lines(rows).select("doc_id", F.col("form").alias("_form"))
-    return rows.withColumn("_form", running_form(F.col("line"))).join(running, ["doc_id", "_form"], "left_anti").drop("_form")
+    A document's pages are counted where it stands, before its lines are rows.
+    """
+    page = lambda i: F.floor(i / per_page).cast("int") + 1
+    each = F.filter(F.transform(F.transform(F.split("text", "\n"), trimmed), lambda t, i: F.struct(page(i).alias("page_no"), t.alias("line"))), lambda x: x["line"] != "")
+    whole = docs.select("doc_id", each.alias("_lines")).filter(F.size("_lines") > 0)
+    return whole.select("doc_id", F.element_at("_lines", -1)["page_no"].alias("n_pages"), F.explode("_lines").alias("_l")).select("doc_id", "n_pages", "_l.*")
+
+
+def without_running_lines(rows: DataFrame, least_length: int = 8) -> DataFrame:
+    """``rows`` whose form isn't a running line of their document; one shuffle, by document."""
+    form = F.when(F.length("line") * 2 >= least_length, running_form(F.col("line")))
+    found = _last_page(rows).withColumn("_form", F.when(F.length(form) >= least_length, form))
+    found = found.withColumn("_pages", F.size(F.collect_set(F.when(F.col("_form").isNotNull(), F.col("page_no"))).over(Window.partitionBy("doc_id", "_form"))))
+    return found.filter(~enough_pages(F.col("_pages"))).select(*rows.columns)
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:

@@ -378,7 +378,7 @@ f AS (SELECT DISTINCT doc_id, page_no, trim(regexp_replace(regexp_replace(lower(
   SELECT doc_id, form, count(*) AS pages FROM f JOIN n USING (doc_id) WHERE length(form) >= 8 GROUP BY doc_id, form, n_pages HAVING count(*) >= greatest(3, ceil(n_pages * 0.4))""")
 def running_lines(spark: SparkSession, d: str) -> DataFrame:
     """Of documents in pages of four lines."""
-    return L.running_lines(L.paged(L.lines(_docs(spark, d)), 4))
+    return L.running_lines(L.paged_lines(_docs(spark, d), 4))
 
 
 @query(f"""WITH l AS ({_LINES}), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM l),
@@ -457,7 +457,8 @@ def page_bibliography(spark: SparkSession, d: str) -> DataFrame:
     return document.bibliography(_page_lines(spark, d)).select("doc_id", "para_idx", "text")
 
 
-@query()
+@query(f"""{Y.named(refs=Y.REFERENCES)}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) - 1 AS i FROM refs), p AS (SELECT *, CAST(i // 5 + 1 AS INT) AS page_no, lead(i // 5) OVER (PARTITION BY doc_id ORDER BY i) IS NOT DISTINCT FROM i // 5 AS more FROM n)
+  SELECT doc_id, page_no, chr(10) || '## ' || page_no || ' Journal of Lines' || chr(10) || chr(10) || chr(10) || string_agg(CASE WHEN more THEN entry ELSE regexp_extract(entry, '^(.*) (\\S+ \\S+)$', 1) END, chr(10) || chr(10) ORDER BY i) AS text FROM p GROUP BY doc_id, page_no""")
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import pages
 
@@ -499,7 +500,14 @@ def verification_records(spark: SparkSession, d: str) -> DataFrame:
     return records(rows, "2024-01-31").select("ref_idx", "id", "title", "author", "year", "type", "doi", "verification_kind", "verification_label", "query")
 
 
-@query()
+@query(_AUDITED + """, gaps AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY foot_ord) AS n FROM keyed k WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = k.doc_id AND r.key = k.key)),
+g AS (SELECT doc_id, key, max(text) FILTER (WHERE n = 1) AS display, count(*) AS times FROM gaps GROUP BY doc_id, key),
+m AS (SELECT doc_id, count(*) AS n, string_agg('- ' || display || ' | ' || times || ' times', chr(10) ORDER BY display, key) AS lines FROM g GROUP BY doc_id),
+u AS (SELECT doc_id, string_agg('- ' || foot_id || ': ' || text, chr(10) ORDER BY foot_ord) AS lines FROM keyed WHERE key IS NULL GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) AS n, string_agg('- ' || entry || ' | scholar-needed', chr(10) ORDER BY ref_idx) AS lines FROM refs GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS notes, count(*) FILTER (WHERE key IS NULL) AS unresolved FROM keyed GROUP BY doc_id)
+  SELECT doc_id, concat_ws(chr(10), 'Date: 2024-01-31', 'Citations in footnotes: ' || notes, 'References: ' || e.n, 'Sources missing: ' || coalesce(m.n, 0), 'Footnotes not resolved: ' || unresolved, '', 'Sources missing:', coalesce(m.lines, ''), '', 'Footnotes not resolved:', coalesce(u.lines, ''), '', 'Records:', coalesce(e.lines, '')) AS report
+  FROM a JOIN e USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN u USING (doc_id)""")
 def audit_report(spark: SparkSession, d: str) -> DataFrame:
     from ..sources import reports
 
