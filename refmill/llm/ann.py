@@ -11,7 +11,8 @@ of nodes; the meeting at a hub is dealt out in turns, by another hash in each ro
 Building and search compare the vectors themselves in double precision, so near copies are told apart however many and
 close they are; vectors travel as 32-bit floats if that loses nothing, else as doubles. Vectors of different norms get one more component that brings them to the largest
 norm, so that a node's nearest neighbours are those by inner product. It is kept apart: a row of large norm takes no
-precision from the others. Equal vectors are one node that knows as many of its smallest ids as a result can hold.
+precision from the others, even where its square overflows (graph and search see such rows scaled down; results are
+scored on the originals). Equal vectors are one node that knows as many of its smallest ids as a result can hold.
 
 Index and searches cover every row; only pivots are a sample, bounded by ``MOST_PIVOTS``.
 
@@ -51,14 +52,26 @@ def _part(column: str, parts: int):
     return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int").alias("part")
 
 
+#: Norms beyond 2**LARGEST would overflow when squared: such vectors are halved until they are within, for the graph only.
+LARGEST = 500
+
+
+def within_range(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a matrix, brought within 2**LARGEST by powers of two, and the norms as they were."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    unit = np.sqrt(((x / np.where(top > 0, top, 1.0)[:, None]) ** 2).sum(axis=1))
+    size = np.log2(np.maximum(top, np.finfo(float).tiny)) + np.log2(np.maximum(unit, 1.0))
+    with np.errstate(over="ignore"):
+        return np.ldexp(x, np.minimum(0, np.floor(LARGEST - size)).astype(int)[:, None]), top * unit
+
+
 def _coded(dim: int, most: float, kind: type):
     """vec -> its bytes, the component that fills its norm up to ``most``, and its norm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b["vec"], dim)
-            norm = np.sqrt((x * x).sum(axis=1))
-            fill = np.sqrt(np.maximum(0.0, most * most - norm * norm))
+            x, norm = within_range(matrix(b["vec"], dim))
+            fill = np.sqrt(np.maximum(0.0, most * most - (x * x).sum(axis=1)))
             yield pa.record_batch([b["node"], pa.array([c.tobytes() for c in x.astype(kind)], pa.binary()), pa.array(fill), pa.array(norm)], names=["node", "code", "fill", "norm"])
 
     return run
@@ -328,7 +341,9 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     some = good.withColumn("nth", nth).filter(F.col("nth") <= top + 1)
     grouped = stored(some.groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
     wide = F.exists("vec", lambda x: x.cast("float").cast("double") != x)
-    total, most, wide = grouped.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))), F.max(wide)).first()
+    top_of = F.array_max(F.transform("vec", F.abs))
+    norm = top_of * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / top_of) * (x / top_of)))
+    total, most, wide = grouped.agg(F.count("*"), F.max(F.least(norm, F.lit(2.0**LARGEST))), F.max(wide)).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)

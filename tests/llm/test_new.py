@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refmill.llm import alignment, learning, licenses, negatives, pieces, quality, toxicity
+from refmill.llm import alignment, ann, learning, licenses, negatives, pieces, quality, toxicity
 from refmill.llm.common import importable
 
 
@@ -315,3 +315,28 @@ def test_isotonic_curve_is_the_best_non_decreasing_fit():
         got = np.interp(x, at, value)
         inner = (best > 0) & (best < 1)
         assert np.allclose(got[inner], best[inner]) and (np.diff(got) >= 0).all()
+
+
+def test_norms_that_overflow_when_squared_hide_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEEDS", 24)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 16))
+    x[7] *= 1e160 / np.linalg.norm(x[7])
+    x[8] *= 1e200
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    with np.errstate(over="ignore"):
+        s = x[::20] @ x.T
+    hits = 0
+    for k, q in enumerate(range(0, 600, 20)):
+        s[k, q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s[k], kind="stable")[:20].tolist()))
+    assert hits / (30 * 20) >= 0.95
+
+
+def test_scaling_keeps_direction_and_small_rows():
+    x = np.array([[3.0, 4.0], [3e160, 4e160], [1.5e308, 1.5e308], [5e-324, 0.0]])
+    y, norm = ann.within_range(x)
+    assert (y[0] == x[0]).all() and (y[3] == x[3]).all() and norm[0] == 5.0
+    assert np.isfinite((y * y).sum(axis=1)).all() and y[1, 0] / y[1, 1] == 0.75 and 2.0**499 <= np.hypot(*y[1]) <= 2.0**500
