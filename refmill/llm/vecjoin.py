@@ -44,13 +44,22 @@ SLACK = 1e-6
 CORE, REST, COPY = 0, 1, 2
 
 
+#: Vectors times pivots that are looked at together, and rows of a batch of copies.
+AT_ONCE, BATCH = 1 << 20, 10_000
+#: Cosine of two pivots beyond which the plane between them says nothing.
+ALIKE = 1 - 1e-9
+
+
 def _placed(pivots: np.ndarray, radius: np.ndarray | None, r: float):
-    """Rows (cell, kind, angle, ...) of each vector: its home, and with radii known its copies."""
+    """Rows (cell, kind, angle, ...) of each vector: its home, and with radii known its copies.
+
+    Memory is bounded however many pivots there are and copies a vector gets: few vectors meet the pivots together,
+    and copies leave in batches.
+    """
     chord = 2 * np.sin(r / 2)
-    between = np.sqrt(np.maximum(1e-300, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))) if len(pivots) <= 512 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 2_000):
+        for b in batches_of(batches, max(1, min(2_000, AT_ONCE // len(pivots)))):
             u = unit(matrix(b["vec"], pivots.shape[1]))
             cos = u @ pivots.T
             angle = np.arccos(np.clip(cos, -1, 1))
@@ -60,13 +69,16 @@ def _placed(pivots: np.ndarray, radius: np.ndarray | None, r: float):
             if radius is not None:
                 reach = (angle - own[:, None] <= 2 * r + SLACK) & (angle <= radius[None, :] + r + SLACK)
                 reach &= np.arange(len(pivots))[None, :] < home[:, None]
+                alike = pivots[home] @ pivots.T
+                gap = np.sqrt(np.maximum(2 - 2 * np.minimum(alike, ALIKE), 1e-9))
+                reach &= (alike > ALIKE) | ((cos[np.arange(len(u)), home][:, None] - cos) / gap <= chord + SLACK)
                 i, p = np.nonzero(reach)
-                gap = between[home[i], p] if between is not None else np.sqrt(np.maximum(1e-300, ((pivots[home[i]] - pivots[p]) ** 2).sum(axis=1)))
-                near = (cos[i, home[i]] - cos[i, p]) / gap <= chord + SLACK
-                i, p = i[near], p[near]
                 row, cell, kind = np.concatenate([row, i]), np.concatenate([cell, p]), np.concatenate([kind, np.full(len(i), COPY)])
-            take = b.take(pa.array(row))
-            yield pa.record_batch([take["vec_id"], take["n"], pa.array(cell.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(angle[row, cell]), take["vec"]], names=["vec_id", "n", "cell", "kind", "angle", "vec"])
+            at = angle[row, cell]
+            for a in range(0, len(row), BATCH):
+                k = slice(a, a + BATCH)
+                take = b.take(pa.array(row[k]))
+                yield pa.record_batch([take["vec_id"], take["n"], pa.array(cell[k].astype(np.int32)), pa.array(kind[k].astype(np.int32)), pa.array(at[k]), take["vec"]], names=["vec_id", "n", "cell", "kind", "angle", "vec"])
 
     return run
 
@@ -75,29 +87,36 @@ _PLACED = "vec_id long, n long, cell int, kind int, angle double, vec array<doub
 
 
 def _blocked(chunks: dict[tuple[int, int], int], r: float):
-    """Rows (block, side, ...) of each placed vector, for every block it has a part in.
+    """Rows (cell, left, right, side, ...) of each placed vector, for every block it has a part in.
 
     Chunks of the core meet chunks of the rest and of copies that can link with it; chunks of the rest meet each
-    other and the copies. A chunk is named by its kind and a hash of the id.
+    other and the copies. A chunk is named by its kind and a hash of the id; a block by its cell and its two chunks.
     """
 
+    cells = max((c for c, _ in chunks), default=0) + 1
+    number = np.zeros((cells, 3), dtype=np.int64)
+    for (c, k), n in chunks.items():
+        number[c, k] = n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 4_000):
-            cells, kinds, near = b["cell"].to_numpy(), b["kind"].to_numpy(), b["angle"].to_numpy() <= 1.5 * r + 2 * SLACK
-            spread = mixed(b["vec_id"].to_numpy().view(np.uint64))
-            row, name, side = [], [], []
-            for i, (c, k) in enumerate(zip(cells.tolist(), kinds.tolist(), strict=True)):
-                own = int(spread[i]) % chunks[c, k]
-                for other in (REST, COPY) if k == CORE else (CORE, REST, COPY) if k == REST else (CORE, REST):
-                    if CORE in (k, other) and k != CORE and not near[i]:
-                        continue
-                    for j in range(chunks.get((c, other), 0)):
-                        left, right = sorted(((k, own), (other, j)))
-                        row.append(i)
-                        name.append(f"{c}:{left[0]}.{left[1]}:{right[0]}.{right[1]}")
-                        side.append(2 if left == right else 0 if (k, own) == left else 1)
-            take = b.take(pa.array(row, pa.int64()))
-            yield pa.record_batch([pa.array(name, pa.string()), pa.array(side, pa.int32()), take["vec_id"], take["n"], take["vec"]], names=["block", "side", "vec_id", "n", "vec"])
+            cell, kind, near = b["cell"].to_numpy().astype(np.int64), b["kind"].to_numpy().astype(np.int64), b["angle"].to_numpy() <= 1.5 * r + 2 * SLACK
+            own = (mixed(b["vec_id"].to_numpy().view(np.uint64)) % number[cell, kind].astype(np.uint64)).astype(np.int64)
+            for other in (CORE, REST, COPY):
+                meets = (kind != other) if other != REST else np.ones(len(kind), dtype=bool)  # only the rest meets its own kind
+                if other == CORE:
+                    meets &= near
+                times = np.where(meets, number[cell, other], 0)
+                row = np.repeat(np.arange(len(kind)), times)
+                theirs = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                mine = kind[row] << 32 | own[row]
+                that = other << 32 | theirs
+                left, right = np.minimum(mine, that), np.maximum(mine, that)
+                side = np.where(mine == that, 2, np.where(mine == left, 0, 1))
+                for a in range(0, len(row), BATCH):
+                    k = slice(a, a + BATCH)
+                    take = b.take(pa.array(row[k], pa.int64()))
+                    yield pa.record_batch([pa.array(cell[row[k]].astype(np.int32)), pa.array(left[k]), pa.array(right[k]), pa.array(side[k].astype(np.int32)), take["vec_id"], take["n"], take["vec"]], names=["cell", "left", "right", "side", "vec_id", "n", "vec"])
 
     return run
 
@@ -164,8 +183,8 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
         radius[s["cell"]] = s["radius"]
     placed = stored(distinct.select("vec_id", "n", "vec").mapInArrow(_placed(pivots, radius, r), _PLACED), "placed")
     chunks = {(c["cell"], c["kind"]): -(-c["count"] // block) for c in placed.groupBy("cell", "kind").count().collect()}  # at most three rows a cell
-    blocks = placed.mapInArrow(_blocked(chunks, r), "block string, side int, vec_id long, n long, vec array<double>")
-    got = stored(blocks.groupBy("block").applyInArrow(_linked(threshold, dim), "vec_id long, links long, root long"), "block-links")
+    blocks = placed.mapInArrow(_blocked(chunks, r), "cell int, left long, right long, side int, vec_id long, n long, vec array<double>")
+    got = stored(blocks.groupBy("cell", "left", "right").applyInArrow(_linked(threshold, dim), "vec_id long, links long, root long"), "block-links")
     links = got.select("vec_id", "links")
     edges = got.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
     cores = [(s["cell"], s["core_id"], s["core_n"]) for s in stats if s["core_id"] is not None]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refmill.llm import alignment, ann, learning, licenses, negatives, pieces, quality, toxicity
+from refmill.llm import alignment, ann, learning, licenses, negatives, pieces, quality, toxicity, vecjoin
 from refmill.llm.common import importable
 
 
@@ -340,3 +340,43 @@ def test_scaling_keeps_direction_and_small_rows():
     y, norm = ann.within_range(x)
     assert (y[0] == x[0]).all() and (y[3] == x[3]).all() and norm[0] == 5.0
     assert np.isfinite((y * y).sum(axis=1)).all() and y[1, 0] / y[1, 1] == 0.75 and 2.0**499 <= np.hypot(*y[1]) <= 2.0**500
+
+
+def test_many_pivots_and_copies_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    pivots = vecjoin.unit(rng.normal(size=(4_096, 64)))
+    x = rng.normal(size=(400, 64))
+    batch = pa.record_batch([pa.array(range(400), pa.int64()), pa.array([1] * 400, pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["vec_id", "n", "vec"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in vecjoin._placed(pivots, np.full(4_096, 1.2), float(np.arccos(0.9)))(iter([batch])))
+    assert rows > 100 * 400 and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("few", [50, 1 << 20])
+def test_vectors_are_placed_alike_in_any_batches(monkeypatch, few):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vecjoin, "AT_ONCE", few)
+    monkeypatch.setattr(vecjoin, "BATCH", 7 if few == 50 else vecjoin.BATCH)
+    rng = np.random.default_rng(3)
+    r = float(np.arccos(0.9))
+    pivots = vecjoin.unit(rng.normal(size=(9, 5)))
+    pivots[4] = pivots[2] * (1 - 1e-16)
+    x = rng.normal(size=(200, 5))
+    u = vecjoin.unit(x)
+    angle = np.arccos(np.clip(u @ pivots.T, -1, 1))
+    home = angle.argmin(axis=1)
+    radius = np.array([angle[home == c, c].max(initial=-np.inf) for c in range(9)])
+    batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array([1] * 200, pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["vec_id", "n", "vec"])
+    cells = {}
+    for b in vecjoin._placed(pivots, radius, r)(iter([batch])):
+        for v, c in zip(b["vec_id"].to_pylist(), b["cell"].to_pylist(), strict=True):
+            cells.setdefault(v, []).append(c)
+    assert all(len(c) == len(set(c)) for c in cells.values())
+    for i, j in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist():
+        assert min(home[i], home[j]) in cells[i] and min(home[i], home[j]) in cells[j]
