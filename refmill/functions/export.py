@@ -87,6 +87,12 @@ def record(number: Column, display: Column, s: Column, accessed: str) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
+def shown_size(n: Column) -> Column:
+    """Bytes as B, KB or MB, with one decimal from a kilobyte on."""
+    part = lambda unit, name: F.concat(F.format_string("%.1f", n / float(unit)), F.lit(f" {name}"))
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, part(1 << 10, "KB")).otherwise(part(1 << 20, "MB"))
+
+
 def short_authors(authors: Column, most: int = 3) -> Column:
     """The first names, with 'vd.' for more."""
     return F.concat(F.array_join(F.slice(authors, 1, most), ", "), F.when(F.size(authors) > most, " vd.").otherwise(""))

@@ -604,10 +604,28 @@ def citations_shown(spark: SparkSession, d: str) -> DataFrame:
     return OC.shown(_citations(spark, d)).select("doc_id", "position", "para_idx", "display")
 
 
-@query(_ITEMS + """ SELECT cast(floor(ref_idx / 100) as bigint) AS doc_id, CAST(row_number() OVER (PARTITION BY cast(floor(ref_idx / 100) as bigint) ORDER BY ref_idx) AS INT) AS position, ref_idx FROM items""")
+_OF_DOC = "CAST(floor(ref_idx / 100) AS BIGINT)"
+
+
+@query(f"SELECT {_OF_DOC} AS doc_id, CAST(row_number() OVER (PARTITION BY {_OF_DOC} ORDER BY ref_idx) AS INT) AS position, ref_idx, bibliography AS text FROM ({ORACLES['isnad_format']})")
 def isnad_bibliography(spark: SparkSession, d: str) -> DataFrame:
     """Each document's bibliography in its own order."""
     from . import audit
 
     rows = _structured(spark, d).select(F.floor(F.col("ref_idx") / 100).alias("doc_id"), "ref_idx", F.col("s").alias("structured"))
-    return audit.isnad_bibliography(rows).select("doc_id", "position", "ref_idx")
+    return audit.isnad_bibliography(rows).select("doc_id", "position", "ref_idx", "text")
+
+
+@query(
+    f"""SELECT doc_id, md5(string_agg(ris, chr(10) ORDER BY ref_idx)) AS ris, md5(string_agg(bibtex, chr(10) || chr(10) ORDER BY ref_idx)) AS bibtex, count(*) AS n
+  FROM (SELECT {_OF_DOC} AS doc_id, * FROM ({ORACLES['ris']}) JOIN ({ORACLES['bibtex']}) USING (ref_idx)) GROUP BY doc_id"""
+)
+def export_files(spark: SparkSession, d: str) -> DataFrame:
+    """The export files of each document: RIS, BibTeX, and the number of items of the JSON array."""
+    from ..sources import reports
+
+    s = _structured(spark, d)
+    rows = s.select(F.floor(F.col("ref_idx") / 100).alias("doc_id"), "ref_idx", X.ris(F.col("display"), F.col("s")).alias("ris"), X.bibtex(F.col("display"), F.col("s")).alias("bibtex"), X.csl(F.col("ref_idx"), F.col("display"), F.col("s"), "2024-01-31").alias("csl"))
+    whole = reports.export_files(rows)
+    n = F.size(F.from_json("csl", "array<struct<id:string,title:string>>")).cast("long")
+    return whole.select("doc_id", F.md5("ris").alias("ris"), F.md5("bibtex").alias("bibtex"), n.alias("n"))

@@ -24,6 +24,14 @@ def csl_json(records: DataFrame, column: str = "csl") -> DataFrame:
     return records.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("text"))
 
 
+def export_files(records: DataFrame) -> DataFrame:
+    """(doc_id, ris, bibtex, csl): all files of a document, of (doc_id, ref_idx, ris, bibtex, csl), in one aggregation."""
+    rows = F.array_sort(F.collect_list(F.struct("ref_idx", "ris", "bibtex", F.to_json("csl").alias("csl"))))
+    joined = lambda name, sep: F.array_join(F.transform("rows", lambda x: x[name]), sep)
+    files = records.groupBy("doc_id").agg(rows.alias("rows"))
+    return files.select("doc_id", joined("ris", "\n").alias("ris"), joined("bibtex", "\n\n").alias("bibtex"), F.concat(F.lit("["), joined("csl", ","), F.lit("]")).alias("csl"))
+
+
 def write_lines(df: DataFrame, path: str, column: str) -> None:
     df.select(column).write.text(path)
 

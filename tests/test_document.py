@@ -186,6 +186,8 @@ def test_approved_records_and_shown_lists(spark):
     cites = spark.createDataFrame([(d, p, c, f"{d}-{p}-{c}") for d in (1, 2) for p in range(50) for c in range(d)], "doc_id long, para_idx int, cit_no int, display string")
     got = OC.shown(cites).groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("display", "position").alias("last"))
     assert {r["doc_id"]: (r["n"], r["last"]) for r in got.collect()} == {1: (50, "1-49-0"), 2: (80, "2-39-1")}
+    sizes = spark.createDataFrame([(0,), (1_023,), (1_024,), (1_536,), (1_048_576,), (5_452_595,)], "n long")
+    assert [r[0] for r in sizes.select(X.shown_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 MB", "5.2 MB"]
     names = spark.createDataFrame([(["A", "B", "C"],), (["A", "B", "C", "D"],), ([],)], "a array<string>")
     assert [r[0] for r in names.select(X.short_authors(F.col("a"))).collect()] == ["A, B, C", "A, B, C vd.", ""]
 
