@@ -629,3 +629,46 @@ def export_files(spark: SparkSession, d: str) -> DataFrame:
     whole = reports.export_files(rows)
     n = F.size(F.from_json("csl", "array<struct<id:string,title:string>>")).cast("long")
     return whole.select("doc_id", F.md5("ris").alias("ris"), F.md5("bibtex").alias("bibtex"), n.alias("n"))
+
+
+# -- entries of several kinds -----------------------------------------------------------------------------------
+
+_STYLED = Y.named(refs=Y.VARIED)
+_VARIED_TITLE = "CASE style WHEN 0 THEN 'The ' || name || ' ' || kind WHEN 1 THEN 'On ' || name || ', ' || kind WHEN 2 THEN 'Pages of ' || name WHEN 3 THEN 'History of ' || kind ELSE 'A chapter on ' || name END"
+
+
+@query(
+    _STYLED
+    + f""" SELECT ref_idx, CASE style WHEN 0 THEN family || '; ' || first || '; Anderson' ELSE family END AS families, year, {_VARIED_TITLE} AS title,
+  CASE style WHEN 0 THEN brand || ' Journal, ' || size || '(2), 4-9' WHEN 1 THEN brand || ' Journal, 3(2), 1-9' WHEN 4 THEN 'In Doe, A. (Ed.), Book of ' || kind || ' (pp. 1-9)' ELSE '' END AS container,
+  CASE WHEN style > 2 THEN 'Press House' ELSE '' END AS publisher, CASE style WHEN 3 THEN 'Ankara' WHEN 4 THEN 'London' ELSE '' END AS place, CASE style WHEN 2 THEN 'https://a.example/' || ref_idx ELSE '' END AS url,
+  CASE style WHEN 2 THEN 'web' WHEN 3 THEN 'book' WHEN 4 THEN 'chapter' ELSE 'article' END AS type, CASE style WHEN 2 THEN 'Accessed: 03.04.2021' ELSE '' END AS access_date,
+  CASE style WHEN 0 THEN 6 ELSE 2 END AS n_keys FROM refs"""
+)
+def varied_records(spark: SparkSession, d: str) -> DataFrame:
+    """Structured records of entries of five kinds."""
+    from ..functions import records as R
+
+    got = R.parsed(Y.view(spark, d, Y.VARIED).select("ref_idx", "entry"))
+    names = F.array_join(F.transform("structured.authors", lambda a: a["family"]), "; ").alias("families")
+    return got.select("ref_idx", names, *(f"structured.{c}" for c in ("year", "title", "container", "publisher", "place", "url", "type", "access_date")), F.size("keys").alias("n_keys"))
+
+
+@query(
+    _STYLED
+    + f""" SELECT ref_idx, CASE style WHEN 0 THEN family || ', ' || initial || '.; ' || first || ', Q.; Anderson, Z.' WHEN 3 THEN family || ', ' || first ELSE family || ', ' || initial || '.' END AS authors, CASE WHEN style <> 3 THEN CAST(year AS INT) END AS year,
+  {_VARIED_TITLE} AS title, CASE style WHEN 2 THEN 'https:// a.example/ ' || ref_idx || '. (Accessed: 03.04.2021)' WHEN 3 THEN 'Ankara: Press House, ' || year WHEN 4 THEN 'In Doe, A. (Ed.), Book of ' || kind || ' (pp. 1-9). Press House, London' ELSE brand || ' Journal' END AS journal,
+  CASE style WHEN 0 THEN '4-9' WHEN 1 THEN '1-9' WHEN 4 THEN '1-9' ELSE '' END AS pages FROM refs"""
+)
+def varied_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields for a catalogue's comparison, of entries of five kinds."""
+    got = B.parsed(Y.view(spark, d, Y.VARIED).select("ref_idx", "entry"))
+    return got.select("ref_idx", F.array_join("authors", "; ").alias("authors"), "year", "title", "journal", "pages")
+
+
+@query(_STYLED + """, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) AS i FROM refs) SELECT doc_id, CAST(i - 1 AS INT) AS ref_no, CASE WHEN style = 3 THEN '[' || i || '] ' ELSE '' END || entry AS entry FROM n""")
+def varied_references(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered bibliographies between a heading and an appendix, parted."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "entry"))), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["entry"]))
+    docs = Y.view(spark, d, Y.VARIED).groupBy("doc_id").agg(F.concat(F.lit("Body.\n## Kaynaklar\n"), F.array_join(lines, "\n"), F.lit("\nAPPENDIX\nmore")).alias("text"))
+    return B.references(docs).select("doc_id", F.col("ref_idx").alias("ref_no"), "entry")

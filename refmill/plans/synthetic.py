@@ -91,3 +91,14 @@ UNION ALL SELECT doc_id, 1001 + page, row * 2 + col + 1, text, 50.0D + col * 250
 WORKS = f"""SELECT 'openalex' AS source, 0 AS api_rank, p_partkey AS work_id, concat(p_name, ' ', p_type) AS title, {FAMILY} AS family, concat({FAMILY}, ', ', upper(substr(p_name, 1, 1)), '.') AS author, cast(1950 + p_partkey % 70 + p_partkey % 3 as int) AS year,
   concat(p_brand, ' Journal') AS journal FROM part WHERE p_partkey % 2 = 0
 UNION ALL SELECT 'crossref', 1, p_partkey, concat(p_type, ' of ', p_name, CASE WHEN p_partkey % 5 = 0 THEN ' revisited' ELSE '' END), concat({FAMILY}, 'x'), concat({FAMILY}, 'x, Q.'), cast(1950 + p_partkey % 70 as int), concat(p_brand, ' Review') FROM part"""
+
+
+_INITIAL = "upper(substr(p_name, 1, 1))"
+#: Entries of five kinds: three authors, a quoted title, a broken link with its date of access, a book with a bare year, a chapter.
+VARIED = f"""SELECT p_partkey AS ref_idx, {DOC} AS doc_id, p_partkey % 5 AS style, {FAMILY} AS family, {FIRST} AS first, {_INITIAL} AS initial, {YEAR} AS year, p_name AS name, p_type AS kind, p_brand AS brand, cast(p_size as string) AS size,
+  CASE p_partkey % 5 WHEN 0 THEN concat({FAMILY}, ', ', {_INITIAL}, '., ', {FIRST}, ', Q., & Anderson, Z. (', {YEAR}, '). The ', p_name, ' ', p_type, '. ', p_brand, ' Journal, ', cast(p_size as string), '(2), 4-9.')
+    WHEN 1 THEN concat({FAMILY}, ', ', {_INITIAL}, '. (', {YEAR}, '). “On ', p_name, ', ', p_type, '.” ', p_brand, ' Journal, 3(2), 1-9.')
+    WHEN 2 THEN concat({FAMILY}, ', ', {_INITIAL}, '. (', {YEAR}, '). Pages of ', p_name, '. https:// a.example/ ', cast(p_partkey as string), '. (Accessed: 03.04.2021).')
+    WHEN 3 THEN concat({FAMILY}, ', ', {FIRST}, '. History of ', p_type, '. Ankara: Press House, ', {YEAR}, '.')
+    ELSE concat({FAMILY}, ', ', {_INITIAL}, '. (', {YEAR}, '). A chapter on ', p_name, '. In Doe, A. (Ed.), Book of ', p_type, ' (pp. 1-9). Press House, London.') END AS entry
+FROM part"""
