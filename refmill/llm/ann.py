@@ -333,9 +333,9 @@ def search(nodes: DataFrame, lists: DataFrame, queries: DataFrame, total: int, d
 def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id ``every`` divides."""
     spark = df.sparkSession
-    good = stored(usable(df).withColumn("key", F.xxhash64("vec")), "vectors")
-    dim = common_length(good)
-    good = good.filter(F.size("vec") == dim)
+    every_row = stored(usable(df).withColumn("key", F.xxhash64("vec")), "vectors")
+    dim = common_length(every_row)
+    good = every_row.filter(F.size("vec") == dim)
     # The smallest ids of a node suffice: row_number's limit is applied before rows are shuffled.
     nth = F.row_number().over(Window.partitionBy("key", "vec").orderBy("vec_id"))
     some = good.withColumn("nth", nth).filter(F.col("nth") <= top + 1)
@@ -361,7 +361,9 @@ def nearest(df: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     each = scored.join(grouped.select(F.col("node").alias("w"), "ids"), "w").join(asked.withColumnRenamed("node", "v"), "v")
     each = each.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    result = stored(each.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"), "nearest")
+    drop(every_row, grouped, nodes, asked, lists)
+    return result
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 from .graph import components
 from .shingles import mixed
 from .vectors import batches_of, common_length, matrix, unit, usable
@@ -163,9 +163,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
     """vec_id, n_links, component_id, kept for every row of ``df`` (vec_id, embedding)."""
     r = float(np.arccos(threshold))
     good = usable(df)
-    good = stored(good.withColumn("key", F.xxhash64("vec")), "vectors")
-    dim = common_length(good)
-    good = good.filter(F.size("vec") == dim)
+    every = stored(good.withColumn("key", F.xxhash64("vec")), "vectors")
+    dim = common_length(every)
+    good = every.filter(F.size("vec") == dim)
     # Equal vectors are one: the digest groups them before the vector itself is compared.
     distinct = stored(good.groupBy("key", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "distinct-vectors")
     total = distinct.count()
@@ -199,7 +199,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
     each = each.select("key", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
     each = good.select("vec_id", "key", "vec").join(each, ["key", "vec"]).select("vec_id", "n_links", "component_id")
     out = out.join(each, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = stored(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "joined")
+    drop(every, distinct, placed, got)
+    return out
 
 
 def report(df: DataFrame) -> DataFrame:
