@@ -4,7 +4,8 @@ One pass over the texts gives each a digest of its shingle set, a signature and
 digest, aggregated before they are shuffled, and each set goes on as one node. Bands propose candidates. A candidate
 pair's signatures are compared batch by batch, and the pair is dropped as soon as the posterior probability of its
 similarity reaching the threshold is under ``MISS``; survivors are verified on their whole shingle sets. Signatures
-keep eight bits of each minimum: unequal minima then agree once in 256 times, which can only spare a pair.
+keep eight bits of each minimum: unequal minima then agree once in 256 times, which can only spare a pair. Whole sets are sent
+once a part, in which up to ``HUB_PAIRS`` pairs of a node meet.
 
 In a band's bucket every member is first compared with two others, its hubs. Only members of buckets that hold several
 components after that are compared with all others, in blocks of ``BLOCK`` by ``BLOCK`` and only across components, and
@@ -25,7 +26,8 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import counted, drop, stored
@@ -43,6 +45,8 @@ MISS = 1e-6
 BLOCK, TOGETHER, AT_ONCE = 512, 64, 1 << 14
 #: Members of blocks in one part, with signatures and with sets: a task takes a part at a time.
 PART_ROWS, PART_SETS = 20_000, 2_000
+#: Pairs of one node that meet its set in one part, and bytes of the sets in a part (about: hubs' chunks are not cut).
+HUB_PAIRS, PART_BYTES = 512, 32 << 20
 #: Ids that may be broadcast: 8 bytes each, 16 MB at most. Beyond, the texts are shuffled to the ids.
 BROADCAST_IDS = 2_000_000
 
@@ -185,16 +189,21 @@ def _pruned(least: np.ndarray):
 
 
 def _verified(threshold: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, left, right = batch["a"].to_pylist(), batch["set_a"], [_set(x) for x in batch["set_b"].to_pylist()]
-            keep = np.zeros(len(a), dtype=bool)
-            for _, same in itertools.groupby(range(len(a)), key=a.__getitem__):  # the join leaves pairs of one ``a`` together
-                run = list(same)
-                for i in range(0, len(run), TOGETHER):
-                    at = run[i : i + TOGETHER]
-                    keep[at] = similar(_set(left[at[0]].as_py()), [right[k] for k in at], threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    """Of a part's rows, sets (node, shingles) and pairs (node, other): the pairs that are similar."""
+
+    def run(part: pa.Table) -> pa.Table:
+        full = part.filter(pc.is_null(part["other"]))
+        at = {node: i for i, node in enumerate(full["node"].to_pylist())}
+        of = lambda node: _set(full["shingles"][at[node]].as_py())
+        pairs = part.select(["node", "other"]).filter(pc.is_valid(part["other"])).sort_by("node")
+        hub, other = (pairs[c].to_pylist() for c in ("node", "other"))
+        keep = np.zeros(len(hub), dtype=bool)
+        for node, same in itertools.groupby(range(len(hub)), key=hub.__getitem__):
+            same = list(same)
+            for i in range(0, len(same), TOGETHER):
+                some = same[i : i + TOGETHER]
+                keep[some] = similar(of(node), [of(other[k]) for k in some], threshold)
+        return pairs.filter(pa.array(keep)).rename_columns(["a", "b"])
 
     return run
 
@@ -289,6 +298,21 @@ def _shingled(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(_sets(width), "node long, shingles binary")
 
 
+def _dealt(pairs: DataFrame, n: int, parts: int) -> DataFrame:
+    """(part, node, other) of ``n`` pairs: those of one node in one part, so its set is sent once; a hub's in several.
+
+    A node of more than ``HUB_PAIRS`` pairs is a hub, of which there are 2 * n / ``HUB_PAIRS`` at most.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().filter(F.col("count") > HUB_PAIRS)
+    hubs = few(degrees.select("node", F.ceil(F.col("count") / HUB_PAIRS).alias("chunks")), 2 * n // HUB_PAIRS)
+    for x in "ab":
+        pairs = pairs.join(hubs.select(F.col("node").alias(x), F.col("chunks").alias(f"chunks_{x}")), x, "left")
+    turned = F.col("chunks_a").isNull() & F.col("chunks_b").isNotNull()
+    pairs = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"), F.coalesce("chunks_a", "chunks_b", F.lit(1)).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("other"), "chunks")
+    return pairs.select(F.pmod(F.xxhash64("node", chunk), F.lit(parts)).alias("part"), "node", "other")
+
+
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, int]:
     """Those of ``pairs`` (a, b) that are similar, and their number: pruned on signatures, then verified on whole sets."""
     least = least_matches(threshold[0] / threshold[1])
@@ -297,10 +321,14 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, thres
     pruned = pairs.join(b, "b").join(a, "a").select(*_PAIR, "sig_a", "sig_b").mapInArrow(_pruned(least), ", ".join(f"{c} long" for c in _PAIR))
     pruned, n = counted(pruned, "survivors")
     ends = [pruned.select(F.col(x).alias("node"), F.col(f"doc_{x}").alias("doc_id"), F.col(f"hash_{x}").alias("text_hash")) for x in "ab"]
-    sets = stored(_shingled(docs, ends[0].unionByName(ends[1]).distinct(), width), "sets", 2 * n)
-    sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    links = pruned.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(threshold), "a long, b long")
+    seen = Observation()
+    size = (F.sum(F.length("shingles")).alias("bytes"), F.count("*").alias("n"))
+    sets = stored(_shingled(docs, ends[0].unionByName(ends[1]).distinct(), width).observe(seen, *size), "sets", 2 * n)
+    each = (seen.get.get("bytes") or 0) / max(1, seen.get.get("n") or 0)
+    dealt = _dealt(pruned.select("a", "b"), n, max(1, -(-int(each * 2 * n) // PART_BYTES)))
+    needed = dealt.select("part", F.explode(F.array("node", "other")).alias("node")).distinct()
+    rows = needed.join(sets, "node").withColumn("other", F.lit(None).cast("long")).unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+    links = rows.groupBy("part").applyInArrow(_verified(threshold), "a long, b long")
     out = counted(links, "links")
     drop(pruned, sets)
     return out

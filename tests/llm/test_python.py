@@ -60,6 +60,9 @@ def joined(ids, linked):
 @pytest.mark.parametrize("block", [512, 4])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    if block < 512:  # hubs in several parts, and several parts at all
+        monkeypatch.setattr(minhash, "HUB_PAIRS", 2)
+        monkeypatch.setattr(minhash, "PART_BYTES", 4096)
     rows = near_copies()
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4), width=4).collect()
     sets = word_sets([r for r in rows if r[0] is not None], 4)
