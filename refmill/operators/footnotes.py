@@ -92,9 +92,9 @@ def shortened_candidates(words: DataFrame, titles: DataFrame, few: int = FEW) ->
     The family is a word of the part. A family of more than ``few`` titles in its document is looked up by postings of
     their rarest words, so that a name which stands in every note doesn't pair each note with each of its titles.
     """
-    families = titles.groupBy("doc_id", "family").agg((F.count("*") > few).alias("many"), F.bool_or((F.size(F.split("title", " ")) < 3) & (F.length("title") > 2)).alias("short_titles"))
+    sized = titles.withColumn("many", F.count("*").over(Window.partitionBy("doc_id", "family")) > few)
+    families = sized.groupBy("doc_id", "family").agg(F.first("many").alias("many"), F.bool_or((F.size(F.split("title", " ")) < 3) & (F.length("title") > 2)).alias("short_titles"))
     met = words.select(*_PART, F.explode(F.array_distinct("words")).alias("family")).join(families, ["doc_id", "family"])
-    sized = titles.join(families.select("doc_id", "family", "many"), ["doc_id", "family"])
     direct = met.filter("not many").join(sized.filter("not many").select("doc_id", "family", "ref_idx"), ["doc_id", "family"])
     sought = met.filter("many").join(words, [*_PART]).select(*_PART, "family", F.explode(_sought(F.col("short_titles"))).alias("key"))
     posted = sought.join(_postings(sized.filter("many").drop("many")), ["doc_id", "family", "key"])
