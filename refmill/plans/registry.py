@@ -64,7 +64,7 @@ _PAIRS = "SELECT a.p_partkey AS k, a.p_name AS x, b.p_name AS y FROM part a JOIN
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet")
+    p = Y.parts(spark, d)
     return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x")).join(p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("y")), "k")
 
 

@@ -57,8 +57,14 @@ CANDIDATES = f"""SELECT p_partkey AS ref_idx, k AS api_rank, j AS hit_rank, CASE
 FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1)"""
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part``, dealt over all tasks: a row is a few bytes of a file but much work, and files are parted by bytes."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").repartition(n, "p_partkey")
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=parts(spark, sf_dir))
 
 
 def named(**views: str) -> str:
