@@ -9,3 +9,27 @@ def test_rows_of_a_small_file_are_dealt_over_tasks(spark):
     for name in ("citations_parenthetical", "citation_keys", "record_parse", "varied_fields", "footnote_split"):
         tasks = registry.QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) == 4 and min(t["count"] for t in tasks) > 0, name
+
+
+def test_texts_are_parted_by_patterns_compiled_once(spark):
+    from refmill.functions import text as T
+
+    rows = spark.createDataFrame([("a , b,c",), ("",), (",",), ("a,￿ ,b",), ("plain",), (None,)], "t string")
+    for pattern in (r"\s*,\s*", r",(?=\S)"):
+        got = rows.select(T.split_at(F.col("t"), pattern).alias("x"), F.split("t", pattern).alias("y")).collect()
+        assert [r["x"] for r in got] == [r["y"] for r in got]
+
+
+def test_keys_of_plain_names_are_those_of_any_name(spark):
+    from refmill.functions import text as T
+
+    rows = [("O'Neill-Smith", "2020A"), ("Öztürk", "n. d."), ("YILMAZ", "1999b"), ("Yılmaz", "ts."), ("İnan", "20 20."), ("", "")]
+    got = spark.createDataFrame(rows, "a string, y string").select(T.key(F.col("a"), F.col("y")).alias("k")).collect()
+    assert [r["k"] for r in got] == ["oneillsmith:2020a", "ozturk:nodate", "yilmaz:1999b", "yılmaz:nodate", "inan:2020", ":"]
+
+
+def test_blanks_at_the_ends_go_before_a_next_line_sign_they_stay(spark):
+    from refmill.functions import text as T
+
+    rows = spark.createDataFrame([("﻿  a b 　\n",), ("a \x85",), (" \t ",), (None,)], "t string")
+    assert [r["t"] for r in rows.select(T.trimmed(F.col("t")).alias("t")).collect()] == ["a b", "a \x85", "", None]
