@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, trimmed
+from ..functions.text import SPACE, split_at, trimmed
 
 # Headings that open a bibliography, and those that end it.
 _HEADER = r"(?:^|\n)\s*(?:#+\s*)?(?i:Kaynak[çÇ]a|Kaynaklar|References|Bibliography|Referanslar)\s*\n"
@@ -54,7 +54,7 @@ def _parted(marked: Column) -> Column:
 
 def split_entries(text: Column) -> Column:
     """Entries that run together, parted before 'Name ... (year)'; a part without a year goes to the one before."""
-    pieces = F.filter(F.split(trimmed(text), _BOUNDARY), lambda p: p != "")
+    pieces = F.filter(split_at(trimmed(text), _BOUNDARY), lambda p: p != "")
 
     first = lambda p, i: F.when((i > 0) & ~p.rlike(_YEAR), p).when(i > 0, F.concat(F.lit(_MARK), trimmed(p))).otherwise(trimmed(p))
     merged = _parted(F.transform(pieces, first))
@@ -99,7 +99,8 @@ def parsed(entries: DataFrame, text: str = "entry") -> DataFrame:
     quoted = F.col("_after").rlike(quote_re)
     head = F.when(quoted, F.regexp_extract("_after", quote_re, 0)).otherwise(F.regexp_extract("_after", title_re, 0))
     df = df.withColumn("_rest", F.regexp_replace(F.substr(F.col("_after"), F.length(head) + 1), r"^[\s,]+", ""))
-    plain = F.split("_b", r"\.\s+")
+    df = df.withColumn("_plain", F.when(~dated, split_at(F.col("_b"), r"\.\s+")))
+    plain = F.col("_plain")
     title = F.when(quoted, F.regexp_extract("_after", quote_re, 1)).otherwise(F.regexp_extract("_after", title_re, 1))
     several = F.size(plain) >= 2
     df = df.withColumn("year", F.when(dated, F.regexp_extract("_b", year_re, 1).cast("int")))
