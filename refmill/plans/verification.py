@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bibliography as B
 from ..operators import verification as V
+from ..operators.keeping import kept
 
 
 def bibliography_of(text: Column) -> Column:
@@ -20,7 +21,8 @@ def verification(docs: DataFrame, connectors: list[V.CatalogTableConnector]) ->
     References are numbered over all documents by (doc_id, ref_no), in the column ``ref_idx``: a struct.
     """
     entries = B.references(docs, bibliography_of).withColumnRenamed("ref_idx", "ref_no")
-    refs = B.parsed(entries).withColumn("ref_idx", F.struct("doc_id", "ref_no"))
+    # Each catalogue reads the references several times, and so do scores and results.
+    refs = kept(B.parsed(entries).withColumn("ref_idx", F.struct("doc_id", "ref_no")))
     candidates = V.all_candidates(refs, connectors)
     results = V.verified(refs, candidates).join(refs.select("ref_idx", "original_text", "authors", "year", "doi", "isbn"), "ref_idx").withColumn("doc_id", F.col("ref_idx.doc_id"))
     return {"references": refs, "candidates": candidates, "results": results, "statistics": V.statistics(results), "sources": V.source_distribution(results)}

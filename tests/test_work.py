@@ -33,3 +33,14 @@ def test_blanks_at_the_ends_go_before_a_next_line_sign_they_stay(spark):
 
     rows = spark.createDataFrame([("﻿  a b 　\n",), ("a \x85",), (" \t ",), (None,)], "t string")
     assert [r["t"] for r in rows.select(T.trimmed(F.col("t")).alias("t")).collect()] == ["a b", "a \x85", "", None]
+
+
+def test_references_are_parsed_once_for_all_catalogues(spark):
+    from refmill.operators import verification as V
+    from refmill.plans.verification import verification
+
+    docs = spark.createDataFrame([(1, "Body.\nReferences\nLee, K. (2020). A tale of two tables. Data Journal, 3(2), 1-9.\nKim, J. (1999). Rows and columns. Data Journal, 4(2), 1-9.")], "doc_id long, text string")
+    works = spark.createDataFrame([(1, "A tale of two tables", ["Lee, K."], 2020, "Data Journal", "", "")], "work_id long, title string, authors array<string>, year int, journal string, doi string, isbn string")
+    got = verification(docs, [V.CatalogTableConnector(works, "one", 0), V.CatalogTableConnector(works, "two", 1)])
+    assert got["references"]._jdf.queryExecution().analyzed().toString().startswith("LogicalRDD")
+    assert {(r["ref_no"], r["found"], r["source"]) for r in got["results"].select("ref_idx.ref_no", "found", "source").collect()} == {(0, True, "one"), (1, False, None)}
