@@ -34,10 +34,11 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
 def entries_of(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, ref_idx, para_idx, entry, display, keys, structured) of bibliography paragraphs, entries that run together apart.
 
-    An entry that doesn't parse has nulls.
+    An entry that doesn't parse has nulls. Entries are dealt once more, as what a window shuffles is put into few tasks
+    by its bytes, and parsing is much work for few bytes.
     """
     bare = F.regexp_replace("text", r"^\s*\[\d+\]\s*", "")
-    entries = paragraphs.filter("part = 'bibliography' and length(text) > 5").select("doc_id", "para_idx", F.posexplode(B.split_entries(bare)).alias("part_no", "entry"))
+    entries = by_document(paragraphs.filter("part = 'bibliography' and length(text) > 5").select("doc_id", "para_idx", F.posexplode(B.split_entries(bare)).alias("part_no", "entry")))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx", "part_no")) - 1
     return R.parsed(entries.withColumn("ref_idx", number.cast("long")).drop("part_no"), unparsed=True)
 

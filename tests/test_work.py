@@ -52,3 +52,14 @@ def test_years_of_written_out_notes(spark):
     notes = [("Lee, K., Rows. 1999. https://a.example/2020", ["lee:1999"]), ("Lee, K. (see 2001a), Rows of 1999.", ["lee:2001a"]), ("No year here.", None), (None, None)]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notes)], "i int, t string").select("i", R.full_text_keys(F.col("t")).alias("k"))
     assert [k and k[:1] for _, k in sorted(map(tuple, rows.collect()))] == [k for _, k in notes]
+
+
+def test_entries_of_few_bytes_are_parsed_by_all_tasks(spark):
+    from refmill.plans import audit as A
+
+    entries = "\n".join(f"Lee, K. ({y}). A tale of two tables. Data Journal, 3(2), 1-9." for y in (2001, 2002))
+    docs = spark.createDataFrame([(i, f"Body.\nReferences\n{entries}") for i in range(40)], "doc_id long, text string")
+    got = A.kept(A.entries_of(A.kept(A.paragraphs_of(docs))))
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and sum(t["count"] for t in tasks) == 80
+    assert {tuple(r) for r in got.filter("doc_id = 7").select("ref_idx", "structured.year").collect()} == {(0, "2001"), (1, "2002")}
