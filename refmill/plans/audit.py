@@ -86,18 +86,21 @@ COUNTS = (
 )
 
 
-def diagnostics(paragraphs: DataFrame, entries: DataFrame, citations: DataFrame, parts: DataFrame | None) -> DataFrame:
+def diagnostics(paragraphs: DataFrame, entries: DataFrame, citations: DataFrame | None, parts: DataFrame | None) -> DataFrame:
     """One row a document: what ``COUNTS`` lists, references, and whether there is a bibliography; one aggregation.
 
     Facts are a document, a kind and a flag: entries are flagged if they don't parse, citations if nothing owns them,
-    a footnote's parts if they don't resolve (the first part stands for the footnote).
+    a footnote's parts if they don't resolve (the first part stands for the footnote). Without ``citations`` there are
+    no counts of them.
     """
     fact = lambda df, kind, flag: df.select("doc_id", kind.alias("kind"), flag.alias("flag"))
-    facts = fact(paragraphs, F.col("part"), F.lit(False)).unionByName(fact(entries, F.lit("entry"), F.col("keys").isNull())).unionByName(fact(citations, F.lit("citation"), F.col("ref_idx").isNull()))
+    facts = fact(paragraphs, F.col("part"), F.lit(False)).unionByName(fact(entries, F.lit("entry"), F.col("keys").isNull()))
+    if citations is not None:
+        facts = facts.unionByName(fact(citations, F.lit("citation"), F.col("ref_idx").isNull()))
     if parts is not None:
         facts = facts.unionByName(fact(parts, F.when(F.col("part_idx") == 0, "footnote").otherwise("part"), F.size("keys") == 0))
     of = lambda kinds, flagged: F.count_if(F.col("kind").isin(*kinds) & (F.col("flag") if flagged else F.lit(True)))
-    counts = facts.groupBy("doc_id").agg(*(of(kinds, flagged).alias(name) for name, kinds, flagged in COUNTS), (of(("heading",), False) > 0).alias("has_bibliography"))
+    counts = facts.groupBy("doc_id").agg(*(of(kinds, flagged).alias(name) for name, kinds, flagged in COUNTS if citations is not None or kinds != ("citation",)), (of(("heading",), False) > 0).alias("has_bibliography"))
     return counts.withColumn("references", F.col("candidates") - F.col("unparsed"))
 
 
@@ -109,6 +112,7 @@ def _audited(paragraphs: DataFrame, entries: DataFrame, footnotes: DataFrame | N
     out |= {"unparsed": entries.filter("keys is null").select("doc_id", "ref_idx", "para_idx", "entry"), "bibliography": isnad_bibliography(refs)}
     if footnotes is not None:
         out |= audited_footnotes(footnotes, _titled(refs))
+        out["footnote_diagnostics"] = diagnostics(paragraphs, entries, None, out["footnotes"])
     return out | {"diagnostics": diagnostics(paragraphs, entries, cites, out.get("footnotes"))}
 
 
@@ -120,7 +124,8 @@ def audit(docs: DataFrame, footnotes: DataFrame | None = None, accessed: str = "
     """Tables ``paragraphs``, ``citations``, ``references``, ``unparsed``, ``missing`` (grouped), ``records``,
     ``bibliography`` and ``diagnostics`` of (doc_id, text) documents.
 
-    With ``footnotes`` (doc_id, foot_ord, foot_id, text) also those of :func:`audited_footnotes`, which are counted too.
+    With ``footnotes`` (doc_id, foot_ord, foot_id, text) also those of :func:`audited_footnotes`, which are counted too,
+    and ``footnote_diagnostics``: the diagnostics but for citations in the text, which need not be looked for then.
     """
     paragraphs = kept(by_document(paragraphs_of(docs)))
     return _audited(paragraphs, kept(entries_of(paragraphs)), footnotes, accessed)

@@ -488,7 +488,7 @@ def unresolved_footnotes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_AUDITED + " SELECT doc_id, count(*) AS footnotes, count(*) FILTER (WHERE key IS NULL) AS unresolved_footnotes FROM keyed GROUP BY doc_id")
 def footnote_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return _audited_notes(spark, d)["diagnostics"].select("doc_id", "footnotes", "unresolved_footnotes")
+    return _audited_notes(spark, d)["footnote_diagnostics"].select("doc_id", "footnotes", "unresolved_footnotes")
 
 
 @query(_ITEMS + """ SELECT ref_idx, 'src-' || row_number() OVER (PARTITION BY cast(floor(ref_idx / 100) as bigint) ORDER BY ref_idx) AS id, title, given || ' ' || family AS author, year, type, doi, CASE WHEN type = 'web' THEN 'web' WHEN type = 'book' THEN 'google' ELSE 'scholar' END AS verification_kind,

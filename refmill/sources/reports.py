@@ -71,7 +71,7 @@ def audit_report(tables: dict[str, DataFrame], run_date: str, footnotes: bool =
     """
     line = lambda df, order, text: df.groupBy("doc_id").agg(_ordered(text, order, "\n").alias("lines"))
     shown = F.concat(F.lit("- "), F.col("display"), F.lit(" | "), F.col("occurrences").cast("string"), F.lit(" times"))
-    diagnostics = tables["diagnostics"]
+    diagnostics = tables["footnote_diagnostics" if footnotes and "footnote_diagnostics" in tables else "diagnostics"]
     counts = [("Citations in footnotes", "footnotes"), ("References", "references"), ("Sources missing", "missing_sources"), ("Footnotes not resolved", "unresolved_footnotes")] if footnotes else [("Citations", "citations"), ("References", "references"), ("Sources missing", "missing_sources"), ("Citations missing", "missing")]
     groups = OC.in_turkish_order(tables["missing_footnotes" if footnotes else "missing"])
     where = F.lit("") if footnotes else F.concat(F.lit(" | paragraph "), X.paragraph_list(F.col("paragraphs")))

@@ -63,3 +63,15 @@ def test_entries_of_few_bytes_are_parsed_by_all_tasks(spark):
     tasks = got.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == 4 and sum(t["count"] for t in tasks) == 80
     assert {tuple(r) for r in got.filter("doc_id = 7").select("ref_idx", "structured.year").collect()} == {(0, "2001"), (1, "2002")}
+
+
+def test_footnotes_are_counted_without_looking_for_citations(spark):
+    from refmill.plans.audit import audit
+
+    docs = spark.createDataFrame([(1, "Told (Lee, 2020) and (Kim, 1999).\nReferences\nLee, K. (2020). A tale of two tables. Data Journal, 3(2), 1-9."), (2, "Nothing.")], "doc_id long, text string")
+    notes = spark.createDataFrame([(1, 1, "1", "(Lee, 2020)"), (1, 2, "2", "Nothing cited.")], "doc_id long, foot_ord long, foot_id string, text string")
+    tables = audit(docs, notes)
+    got = tables["footnote_diagnostics"]
+    assert {"citations", "missing"} == set(tables["diagnostics"].columns) - set(got.columns)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in tables["diagnostics"].select(*got.columns).collect()}
+    assert "posexplode" in tables["diagnostics"]._jdf.queryExecution().analyzed().toString() and "posexplode" not in got._jdf.queryExecution().analyzed().toString()
