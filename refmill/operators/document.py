@@ -128,14 +128,15 @@ def _pieces(rows: DataFrame) -> DataFrame:
 
     A hyphen at its end goes, and no blank follows, unless the word before is a link, which keeps it. A word may reach
     over several lines: those that hold no blank and follow a hyphen. Signs of a link are four characters at most, so
-    three lines before tell whether one reaches over their borders.
+    three lines before tell whether one reaches over their borders. Only lines that end with a hyphen, which are all that
+    a chain has before its last one, are looked through for their last word.
     """
     bare = F.regexp_replace(F.col("text"), "-$", "")
     whole = F.col("_on") & F.col("_before").endswith("-") & ~F.col("text").rlike(r"\s")
     rows = rows.withColumn("_pos", F.row_number().over(_of("part", by=_READ))).withColumn("_word", F.sum(F.when(whole, 0).otherwise(1)).over(_of("part", by=_READ)))
     chain = _of("part", "_word", by=("_pos",))
-    last = F.regexp_extract(bare, r"(\S*)$", 1)
-    over = F.concat(*(F.coalesce(F.lag(last, k).over(chain), F.lit("")) for k in (3, 2, 1)), F.regexp_extract("text", r"(\S*)$", 1))
+    last = lambda c: F.when(F.col("text").endswith("-"), F.regexp_extract(c, r"((?<!\S)\S*)$", 1))
+    over = F.concat(*(F.coalesce(F.lag(last(bare), k).over(chain), F.lit("")) for k in (3, 2, 1)), last(F.col("text")))
     rows = rows.withColumn("_link", F.max(over.rlike(_LINK_MARK).cast("int")).over(chain) == 1)
     goes_on = F.coalesce(F.lead("_on").over(_of("part", by=_READ)), F.lit(False))
     kept = F.when(F.col("text").endswith("-") & goes_on & ~F.col("_link"), bare).otherwise(F.col("text"))

@@ -199,3 +199,21 @@ def test_isnad_bibliography_keeps_its_order(spark):
     assert [r["entry"] for r in got["unparsed"].collect()] == ["– – – – –."]
     d = got["diagnostics"].first()
     assert (d["candidates"], d["unparsed"], d["references"], d["missing"]) == (3, 1, 2, 0)
+
+
+def test_long_words_in_a_line_cost_their_length(spark):
+    word = "a" * 200_000
+    rows = [(1, 1, 1, f"{word} b", 50.0, 500.0, 600), (1, 1, 2, f"{word} hy-", 50.0, 500.0, 588), (1, 1, 3, f"phen {word}.", 50.0, 500.0, 576), (1, 1, 4, "See http://a.example/x-", 50.0, 500.0, 564), (1, 1, 5, "y.", 50.0, 500.0, 552)]
+    lines = spark.createDataFrame(rows, LINES)
+    began = time.time()
+    got = [r["text"] for r in D.paragraphs(lines).orderBy("para_idx").select("text").collect()]
+    assert got == [f"{word} b {word} hyphen {word}.", "See http://a.example/x-y."]
+    assert time.time() - began < 60
+
+
+def test_headings_of_bibliographies_hold_one_of_few_words(spark):
+    from refmill.functions import citations as C
+
+    rows = [("Kaynakça", True), ("  KAYNAKLAR: ", True), ("5. Reference  list", True), ("IV) References / Kaynakça", True), ("bibliography", True), ("References are many", False), ("A list", False), ("", False), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("t", "want", C.is_references_heading(F.col("t")).alias("got")).collect()
+    assert [r["t"] for r in got if r["got"] != r["want"]] == []
