@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 def kept(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the checkpoint folder, which executors and driver share.
 
-    Its partitioning stays known, so what is grouped by the same keys is not shuffled again. Where no folder is set, a
-    local master gets a temporary one; on a cluster that is an error.
+    With adaptive execution its partitioning isn't known any more, so what is grouped by the same keys is shuffled once
+    more. Where no folder is set, a local master gets a temporary one; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
